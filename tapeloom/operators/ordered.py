@@ -209,9 +209,13 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 
 
 def drawdown(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "max_drawdown"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "max_drawdown",
+    from_zero: bool = True,
 ) -> DataFrame:
-    """Largest fall of the running total from its running peak (the peak starts at 0)."""
+    """Largest fall of the running total from its running peak.
+
+    The peak starts at 0, or without ``from_zero`` at the first total.
+    """
     lay = lay_out(df.select(*keys, *order, F.col(value).alias("_r")), keys, order)
     total = lay.df.withColumn("_cum", F.sum("_r").over(lay.so_far()))
     total = total.withColumn("_peak", F.max("_cum").over(lay.so_far()))
@@ -226,10 +230,8 @@ def drawdown(
     scope = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = scope.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    blocks = blocks.withColumn(
-        "_top",
-        F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_hi")).over(before)),
-    )
+    top = F.max(F.col("_base") + F.col("_hi")).over(before)
+    blocks = blocks.withColumn("_top", F.greatest(F.lit(0.0), top) if from_zero else top)
     worst = F.greatest(F.lit(0.0), F.col("_drop"), F.col("_top") - F.col("_base") - F.col("_lo"))
     return blocks.groupBy(*keys).agg(F.max(worst).alias(name))
 
