@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import drawdown, quantiles, running_sums, value_ranks
+from tapeloom.operators.ordered import quantiles, running_sums, value_ranks
+from tapeloom.session import pin
 
 
 def _c(name: str) -> Column:
@@ -115,6 +116,7 @@ def threshold_table(df: DataFrame, candidates: DataFrame, order: Sequence[str],
     by the highest candidate they reach and each block of time keeps a drawdown summary per
     candidate; see ``_drawdowns``.
     """
+    candidates = pin(candidates)
     cuts = candidates.agg(F.array_sort(F.collect_list("threshold")).alias("cuts"))  # <= 512 values
     rows = df.join(F.broadcast(cuts))
     # number of candidates <= p, found by halving over the sorted array
@@ -124,7 +126,8 @@ def threshold_table(df: DataFrame, candidates: DataFrame, order: Sequence[str],
         return F.when(F.coalesce(fits, F.lit(False)), found + jump).otherwise(found)
 
     lo = F.aggregate(F.sequence(F.lit(9), F.lit(0)), F.lit(0), halve)
-    rows = rows.withColumn("reach", lo)
+    # The five summaries below all read these rows.
+    rows = pin(rows.select(*order, y, p, profit, lo.alias("reach")))
     r = _c(profit)
     by = rows.groupBy("reach").agg(
         F.count(F.lit(1)).alias("n"), F.sum(_c(y)).alias("pos"), F.sum(r).alias("s"), F.sum(r * r).alias("q"),

@@ -259,7 +259,7 @@ def risk_parity(returns: DataFrame, assets: Sequence[str]) -> DataFrame:
     while len(trees) > 1:
         keys = sorted(trees)
         _, a, b = min((dist[np.ix_(trees[x], trees[y])].min(), x, y) for x in keys for y in keys if x < y)
-        trees[max(trees) + 1] = trees.pop(a) + trees.pop(b)
+        trees[keys[-1] + 1] = trees.pop(a) + trees.pop(b)
     order = next(iter(trees.values()))
     weight, todo = np.ones(n), [order]
 

@@ -2,7 +2,8 @@
 
 Most operators here are defined on rows in time order per key.  A plain
 ``Window.partitionBy(key)`` puts each key into one task.  That is fine while the largest key
-fits a task, which is measured; beyond it rows are numbered in (key, order) order by a range
+fits a task, which is measured (so an input is read twice: ``pin`` costly ones first);
+beyond it rows are numbered in (key, order) order by a range
 shuffle, cut into blocks of equal size, and each block receives copies of the neighbouring
 rows its frames reach into.  Unbounded frames are finished with a small table of block
 summaries.  Both ways give the same values.
@@ -22,12 +23,24 @@ from tapeloom.session import block_rows, pin, shuffle_partitions
 BLOCK, POS, OWN = "_block", "_pos", "_own"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key (of the whole table without keys)."""
+HASH_GROUPS = 65_536
+
+
+def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
+    """True when no key (the whole table without keys) has more than ``limit`` rows.
+
+    Keys are counted in hash groups first, which shuffles a bounded number of rows however
+    many keys there are; a group bounds its keys from above.  Only when some group is larger
+    are the keys themselves counted.
+    """
     if not keys:
-        return df.count()
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
+        return df.count() <= limit
+
+    def largest(*by):
+        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(HASH_GROUPS)).alias("_h")
+    return largest(hashed) <= limit or largest(*keys) <= limit
 
 
 def number_rows(df: DataFrame, order: Sequence[str], pos: str = POS) -> DataFrame:
@@ -124,7 +137,7 @@ def lay_out(
 ) -> Layout:
     """Prepare ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead."""
     limit = block_rows(df.sparkSession)
-    if largest_group(df, keys) <= limit:
+    if fits_one_task(df, keys, limit):
         flat = df if keys else df.withColumn(BLOCK, F.lit(0))
         return Layout(flat, tuple(keys), tuple(order), False)
     numbered = number_rows(df, [*keys, *order])
@@ -252,7 +265,7 @@ def value_ranks(
         .agg(F.count(F.lit(1)).alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()])
     )
     return running_sums(
-        small, keys, ["value"], {"upto": F.col("cnt"), **{f"upto_{n}": F.col(n) for n in sums}}
+        pin(small), keys, ["value"], {"upto": F.col("cnt"), **{f"upto_{n}": F.col(n) for n in sums}}
     )
 
 
@@ -260,7 +273,7 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, also for keys too long for one task."""
-    if largest_group(df, keys) <= block_rows(df.sparkSession):
+    if fits_one_task(df, keys, block_rows(df.sparkSession)):
         return df.groupBy(*keys).agg(
             *[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()]
         )
@@ -303,7 +316,7 @@ def scan_in_rounds(
     limit = block_rows(spark)
     lay_cols = [*keys, *order, *values]
     src = df.select(*lay_cols)
-    if largest_group(src, keys) <= limit:
+    if fits_one_task(src, keys, limit):
         numbered, rounds = src.withColumn("_round", F.lit(0)), 1
     else:
         numbered = pin(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import drawdown, over_rows, row_index, value_ranks
+from tapeloom.operators.ordered import drawdown, running_sums, value_ranks
 
 YEAR_SECONDS = 365 * 24 * 3600
 
@@ -128,10 +128,8 @@ def stress(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     30 % of limit orders cancelled, at least one, the others halved).
     """
     rows = df.select(*keys, *order, _c(value).cast("double").alias("r"), _c(is_limit).alias("lim"))
-    rows = row_index(rows, keys, order, "_i")
-    from tapeloom.operators.ordered import running_sums
-
-    rows = running_sums(rows, keys, order, {"_lim_i": _c("lim").cast("long")})
+    one = F.lit(1).cast("long")
+    rows = running_sums(rows, keys, order, {"_i": one, "_lim_i": _c("lim").cast("long")}).withColumn("_i", _c("_i") - 1)
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_pop("r").alias("_s"), F.sum(_c("lim").cast("long")).alias("_l")
     )

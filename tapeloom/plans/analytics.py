@@ -27,8 +27,8 @@ def halves(spark, sf):
 HALVES = """b AS (SELECT 'value' AS feature, value AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL SELECT 'user_id', user_id FROM events WHERE ts < TIMESTAMP '2024-01-16'),
 r AS (SELECT 'value' AS feature, value AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' UNION ALL SELECT 'user_id', user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16')"""
 PSI = f"""{HALVES}, c AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS cuts FROM b GROUP BY 1),
-xb AS (SELECT feature, least(len(list_filter(cuts, k -> k <= v)), len(cuts) - 1) AS bin, v >= cuts[1] AND v <= cuts[-1] AS ok FROM b JOIN c USING (feature)),
-xr AS (SELECT feature, least(len(list_filter(cuts, k -> k <= v)), len(cuts) - 1) AS bin, v >= cuts[1] AND v <= cuts[-1] AS ok FROM r JOIN c USING (feature)),
+xb AS (SELECT feature, least(len(list_filter(cuts, lambda k: k <= v)), len(cuts) - 1) AS bin, v >= cuts[1] AND v <= cuts[-1] AS ok FROM b JOIN c USING (feature)),
+xr AS (SELECT feature, least(len(list_filter(cuts, lambda k: k <= v)), len(cuts) - 1) AS bin, v >= cuts[1] AND v <= cuts[-1] AS ok FROM r JOIN c USING (feature)),
 pb AS (SELECT feature, bin, count_if(ok) / (SELECT count(*) FROM b WHERE b.feature = xb.feature) AS e FROM xb GROUP BY 1, 2),
 pr AS (SELECT feature, bin, count_if(ok) / (SELECT count(*) FROM r WHERE r.feature = xr.feature) AS a FROM xr WHERE ok GROUP BY 1, 2),
 psi AS (SELECT feature, sum((coalesce(e, 0) - coalesce(a, 0)) * ln((coalesce(e, 0) + 1e-6) / (coalesce(a, 0) + 1e-6))) AS psi FROM pb FULL JOIN pr USING (feature, bin) GROUP BY 1)"""

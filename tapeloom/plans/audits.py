@@ -62,13 +62,13 @@ def shadow_accuracy(spark, sf):
 WITH m AS (SELECT model_idx, CASE WHEN chosen = 1 THEN 'chosen' ELSE 'shadow' END AS role, CASE WHEN chosen = 1 OR action = CASE WHEN probability > 0.5 THEN 'buy' ELSE 'sell' END
     THEN coalesce(t.profit, 0) ELSE -coalesce(t.profit, 0) END AS mp FROM decisions d LEFT JOIN trades t ON t.ticket = d.decision_id)
 SELECT model_idx, role, count(*) AS trades, count_if(mp > 0) AS wins, avg((mp > 0)::INT) AS win_rate, sum(mp) AS profit FROM m GROUP BY 1, 2""",
-    ctes="trades decisions", doubles="win_rate profit", digits=3)
+    ctes="trades decisions", doubles="win_rate profit", digits=5)
 def model_audit(spark, sf):
     return A.model_audit(base.decisions(spark, sf).drop("profit"), session_trades(spark, sf).select("decision_id", "profit"))
 
 
 @query("shadow_trade_stats", """
-SELECT model_idx, avg((profit > 0)::INT) AS accuracy, sum(profit) AS profit FROM decisions WHERE action = 'shadow' GROUP BY 1""", ctes="decisions", doubles="accuracy profit", digits=3)
+SELECT model_idx, avg((profit > 0)::INT) AS accuracy, sum(profit) AS profit FROM decisions WHERE action = 'shadow' GROUP BY 1""", ctes="decisions", doubles="accuracy profit", digits=5)
 def shadow_trade_stats(spark, sf):
     return A.shadow_trade_stats(base.decisions(spark, sf).filter("action = 'shadow'"))
 
@@ -134,7 +134,7 @@ REPLAY = "rp AS (SELECT *, probability * 0.5::DOUBLE + (decision_id % 10) / 20.0
 WITH {REPLAY}, f AS (SELECT profit, profit > 0 AS won, probability >= 0.5 AS was, new_probability >= 0.5 AS now FROM rp)
 SELECT avg((was = won)::INT) AS accuracy_old, avg((now = won)::INT) AS accuracy_new, coalesce(-sum(profit) FILTER (was AND NOT now), 0) AS profit_delta,
     count_if(now AND won) AS tp, count_if(now AND NOT won) AS fp, count_if(NOT now AND NOT won) AS tn, count_if(NOT now AND won) AS fn, count_if(was <> now) AS divergences FROM f""",
-    ctes="decisions", doubles="accuracy_old accuracy_new profit_delta", digits=3)
+    ctes="decisions", doubles="accuracy_old accuracy_new profit_delta", digits=5)
 def replay_comparison(spark, sf):
     return A.replay_comparison(replayed(spark, sf), "probability", "new_probability", "profit", 0.5)
 

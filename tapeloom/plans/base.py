@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalar import HOUR_US, micros
+from tapeloom.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,7 +116,8 @@ def closed_trades(spark, folder):
     """ticket, symbol, direction, open_time, close_time, profit, one row per closed order."""
     from tapeloom.operators.matching import pair_open_close
 
-    return pair_open_close(trade_log(spark, folder), "ticket", "event_time", ["symbol", "order_type"]).withColumns(
+    pairs = pair_open_close(pin(trade_log(spark, folder)), "ticket", "event_time", ["symbol", "order_type"])
+    return pairs.withColumns(
         {
             "direction": F.when(F.col("order_type") == 0, 1).otherwise(-1),
             "decision_id": F.when(F.col("ticket") % 4 == 0, F.col("ticket")),
@@ -146,7 +148,7 @@ def matched(spark, folder):
     """Every prediction with the trade it owns, if any."""
     from tapeloom.operators.matching import match_predictions
 
-    return match_predictions(predictions(spark, folder), closed_trades(spark, folder), 60)
+    return pin(match_predictions(predictions(spark, folder), pin(closed_trades(spark, folder)), 60))
 
 
 def decisions(spark, folder):

@@ -22,8 +22,8 @@ DAY = 86_400_000_000
 @query("triple_barrier", f"""
 WITH f AS (SELECT symbol, id, bid, bid + 1.5 * (bid * 0.1::DOUBLE) AS tp, bid - 1.0 * (bid * 0.1::DOUBLE) AS sl, list(bid) OVER ({TICK} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS f,
     lead(bid, 5) OVER w AS l5, lead(bid, 20) OVER w AS l20 FROM ticks WINDOW w AS ({TICK})),
-h AS (SELECT *, coalesce(len(f), 0) AS n, coalesce(list_position(list_transform(f, v -> v >= tp), true), coalesce(len(f), 0) + 1) AS tpt,
-    coalesce(list_position(list_transform(f, v -> v <= sl), true), coalesce(len(f), 0) + 1) AS slt FROM f)
+h AS (SELECT *, coalesce(len(f), 0) AS n, coalesce(list_position(list_transform(f, lambda v: v >= tp), true), coalesce(len(f), 0) + 1) AS tpt,
+    coalesce(list_position(list_transform(f, lambda v: v <= sl), true), coalesce(len(f), 0) + 1) AS slt FROM f)
 SELECT symbol, id, tp AS take_profit, sl AS stop_loss, n::INT AS horizon_len, CASE WHEN tpt = 0 THEN n + 1 ELSE tpt END::INT AS tp_time, CASE WHEN slt = 0 THEN n + 1 ELSE slt END::INT AS sl_time,
     (CASE WHEN tpt = 0 THEN n + 1 ELSE tpt END <= CASE WHEN slt = 0 THEN n + 1 ELSE slt END AND CASE WHEN tpt = 0 THEN n + 1 ELSE tpt END <= n)::INT::DOUBLE AS meta_label,
     coalesce((l5 > bid)::INT, 0)::DOUBLE AS label_h5, coalesce((l20 > bid)::INT, 0)::DOUBLE AS label_h20 FROM h""", ctes="ticks", doubles="take_profit stop_loss")
@@ -218,12 +218,12 @@ def cross_symbol_expression(spark, sf):
 
 
 @query("polynomial_terms", """
-SELECT event_id, value * value AS "value^2", value * user_id AS "value*user_id", user_id * user_id * value AS "value*user_id^2" FROM events""")
+SELECT event_id, value * value AS sq, value * user_id AS cross_term, value * user_id * user_id AS cubic FROM events""", doubles="sq cross_term cubic", digits=4)
 def polynomial_terms(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.round("value", 2).alias("value"), F.col("user_id").cast("double").alias("user_id"))
     terms = S.polynomial_terms(["event_id", "value", "user_id"], 3, excluded=["event_id"])
-    pick = ["value^2", "value*user_id", "value*user_id^2"]
-    return e.select("event_id", *[terms[n].alias(n) for n in pick])
+    pick = {"sq": "value^2", "cross_term": "value*user_id", "cubic": "value*user_id^2"}
+    return e.select("event_id", *[terms[n].alias(c) for c, n in pick.items()])
 
 
 @query("quantile_clip", """
@@ -284,9 +284,9 @@ def yeo_johnson(spark, sf):
 
 
 @query("power_transform_fit", """
-WITH l AS (SELECT unnest([-1.0, 0.5, 1.5]::DOUBLE[]) AS lambda),
-y AS (SELECT lambda, value - 20 AS x, CASE WHEN value >= 20 THEN (pow(value - 19, lambda) - 1) / lambda ELSE -(pow(21 - value, 2 - lambda) - 1) / (2 - lambda) END AS y FROM events, l)
-SELECT lambda, -count(*) / 2 * ln(var_pop(y)) + (lambda - 1) * sum(sign(x) * ln(abs(x) + 1)) AS log_likelihood FROM y GROUP BY 1""", doubles="log_likelihood", digits=3)
+WITH l AS (SELECT unnest([-1.0, 0.5, 1.5]::DOUBLE[]) AS lam),
+y AS (SELECT lam, value - 20 AS x, CASE WHEN value >= 20 THEN (pow(value - 19, lam) - 1) / lam ELSE -(pow(21 - value, 2 - lam) - 1) / (2 - lam) END AS y FROM events, l)
+SELECT lam AS "lambda", -count(*) / 2 * ln(var_pop(y)) + (lam - 1) * sum(sign(x) * ln(abs(x) + 1)) AS log_likelihood FROM y GROUP BY 1""", doubles="log_likelihood", digits=3)
 def power_transform_fit(spark, sf):
     e = table(spark, sf, "events").select((F.col("value") - 20.0).alias("x"))
     return SC.power_grid(e, "x", [-1.0, 0.5, 1.5])

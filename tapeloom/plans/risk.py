@@ -12,6 +12,7 @@ from tapeloom.operators.ordered import drawdown
 from tapeloom.operators.quality import net_of_costs
 from tapeloom.plans import base
 from tapeloom.plans.base import query
+from tapeloom.session import pin
 
 MATCH = "trades preds matched"
 FEE, BPS = 1.5, 25.0
@@ -27,8 +28,8 @@ def hits(spark, sf):
 
 def evaluation(spark, sf):
     """The one-row report of matching predictions to trades."""
-    trades = base.closed_trades(spark, sf)
-    matched = base.matched(spark, sf).persist()
+    trades = pin(base.closed_trades(spark, sf))
+    matched = pin(M.match_predictions(base.predictions(spark, sf), trades, 60))
     won = matched.filter("is_match")
     p = F.col("profit")
     net = net_of_costs(p, FEE, BPS)
@@ -83,7 +84,7 @@ SELECT tp AS matched_events, pe AS predicted_events, ae AS actual_events, pe - t
     expected_return, downside_risk, expected_return - downside_risk AS risk_reward, sharpe_ratio, sortino_ratio, sharpe_ratio_net, sortino_ratio_net, expected_return_net,
     (SELECT max(d) FROM dd) AS max_drawdown, var_95, cvar, es_95, roc_auc, pr_auc, (SELECT avg((p - y) * (p - y)) FROM scores) AS brier_score,
     (SELECT sum(abs(prob_true - prob_pred) * n) / sum(n) FROM bins) AS ece, sharpe_ratio * annual AS sharpe_ratio_annualised, sortino_ratio * annual AS sortino_ratio_annualised
-FROM s, c, (SELECT var_95, cvar, es_95 FROM tail), auc""", digits=4, ctes=MATCH,
+FROM s, c, (SELECT var_95, cvar, es_95 FROM tail), auc""", digits=5, ctes=MATCH,
     doubles="accuracy recall precision gross_profit gross_loss profit_factor expectancy expected_return downside_risk risk_reward sharpe_ratio sortino_ratio sharpe_ratio_net sortino_ratio_net expected_return_net max_drawdown var_95 cvar es_95 roc_auc pr_auc brier_score ece sharpe_ratio_annualised sortino_ratio_annualised")
 def evaluation_report(spark, sf):
     return evaluation(spark, sf)
@@ -92,7 +93,7 @@ def evaluation_report(spark, sf):
 @query("profit_factors", f"""
 WITH s AS (SELECT symbol, {PROFIT_SQL} FROM matched WHERE is_match GROUP BY 1)
 SELECT symbol, gross_profit, gross_loss, gross_profit / nullif(gross_loss, 0) AS profit_factor, (gross_profit - gross_loss) / n AS expectancy, expected_return,
-    downside_risk, expected_return - downside_risk AS risk_reward FROM s""", digits=4, ctes=MATCH,
+    downside_risk, expected_return - downside_risk AS risk_reward FROM s""", digits=5, ctes=MATCH,
     doubles="gross_profit gross_loss profit_factor expectancy expected_return downside_risk risk_reward")
 def profit_factors(spark, sf):
     return R.grouped(hits(spark, sf), ["symbol"], R.profit_columns(F.col("profit")))
@@ -126,14 +127,14 @@ def annualised_ratios(spark, sf):
 
 @query("max_drawdown", f"""
 WITH {drawdown_sql("trades", "close_time, ticket", "profit", "symbol")}
-SELECT symbol, max(d) AS max_drawdown FROM dd GROUP BY 1""", ctes="trades", doubles="max_drawdown", digits=3)
+SELECT symbol, max(d) AS max_drawdown FROM dd GROUP BY 1""", ctes="trades", doubles="max_drawdown", digits=5)
 def max_drawdown(spark, sf):
     return drawdown(base.closed_trades(spark, sf), ["symbol"], ["close_time", "ticket"], "profit")
 
 
 @query("tail_risk", f"""
 WITH hit AS (SELECT profit FROM trades), {TAIL}
-SELECT * FROM tail""", ctes="trades", doubles="var_rank var_loss var_95 cvar es_95", digits=3)
+SELECT * FROM tail""", ctes="trades", doubles="var_rank var_loss var_95 cvar es_95", digits=5)
 def tail_risk(spark, sf):
     return R.tail_risk(base.closed_trades(spark, sf), [], "profit")
 
@@ -141,7 +142,7 @@ def tail_risk(spark, sf):
 @query("tail_risk_by_symbol", """
 WITH s AS (SELECT symbol, profit, row_number() OVER (PARTITION BY symbol ORDER BY profit) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM trades)
 SELECT symbol, max(profit) FILTER (i = floor(n * 0.05::DOUBLE)) AS var_rank, quantile_cont(profit, 0.05) AS var_95, avg(profit) FILTER (i < ceil(n * 0.05::DOUBLE)) AS cvar FROM s GROUP BY 1""",
-    ctes="trades", doubles="var_rank var_95 cvar", digits=3)
+    ctes="trades", doubles="var_rank var_95 cvar", digits=5)
 def tail_risk_by_symbol(spark, sf):
     return R.tail_risk(base.closed_trades(spark, sf), ["symbol"], "profit").select("symbol", "var_rank", "var_95", "cvar")
 
@@ -167,7 +168,7 @@ def budget_compliance(spark, sf):
 def strategies(spark, sf):
     """Return series per strategy: trades by symbol with order types and slippage."""
     t = base.closed_trades(spark, sf)
-    return t.select(
+    return pin(t).select(
         F.col("symbol").alias("strategy"), "close_time", "ticket", "profit",
         F.when(F.col("ticket") % 4 == 0, " Limit ").otherwise("market").alias("order_type"),
         ((F.col("ticket") % 7) / 100.0).alias("slippage"), (F.col("ticket") % 4 == 0).alias("is_limit"))
@@ -188,7 +189,7 @@ STRESS = """st AS (SELECT symbol AS strategy, close_time, ticket, profit AS r, t
 
 @query("stress_scenarios", f"""
 WITH {STRESS}
-SELECT * FROM stress""", ctes="trades", doubles="pnl limit_fill_rate max_drawdown", digits=2)
+SELECT * FROM stress""", ctes="trades", doubles="pnl limit_fill_rate max_drawdown", digits=5)
 def stress_scenarios(spark, sf):
     return R.stress(strategies(spark, sf), ["strategy"], ["close_time", "ticket"], "profit", "is_limit")
 
@@ -196,7 +197,7 @@ def stress_scenarios(spark, sf):
 @query("stress_summary", f"""
 WITH {STRESS}
 SELECT strategy, min(pnl) AS stress_pnl_min, max(max_drawdown) AS stress_drawdown_max, min(limit_fill_rate) AS stress_limit_fill_rate_min FROM stress GROUP BY 1""",
-    ctes="trades", doubles="stress_pnl_min stress_drawdown_max stress_limit_fill_rate_min", digits=2)
+    ctes="trades", doubles="stress_pnl_min stress_drawdown_max stress_limit_fill_rate_min", digits=5)
 def stress_summary(spark, sf):
     return R.stress_summary(R.stress(strategies(spark, sf), ["strategy"], ["close_time", "ticket"], "profit", "is_limit"), ["strategy"])
 
@@ -213,7 +214,7 @@ x AS (SELECT strategy, min(pnl) AS stress_pnl_min, max(max_drawdown) AS stress_d
 SELECT strategy, risk, mean_return, sharpe_ratio, sortino_ratio, budget_utilisation, order_type_compliance, slippage_mean, slippage_std, var_95, max_drawdown, volatility_spikes,
     stress_pnl_min, stress_drawdown_max, (max_drawdown > 100000)::INT + (budget_utilisation > 1)::INT + (order_type_compliance < 0.8)::INT AS breaches,
     NOT (max_drawdown > 100000 OR budget_utilisation > 1 OR order_type_compliance < 0.8) AS passed
-FROM card JOIN v USING (strategy) JOIN m USING (strategy) JOIN k USING (strategy) JOIN x USING (strategy)""", ctes="trades", digits=2,
+FROM card JOIN v USING (strategy) JOIN m USING (strategy) JOIN k USING (strategy) JOIN x USING (strategy)""", ctes="trades", digits=5,
     doubles="risk mean_return sharpe_ratio sortino_ratio budget_utilisation order_type_compliance slippage_mean slippage_std var_95 max_drawdown stress_pnl_min stress_drawdown_max")
 def risk_card(spark, sf):
     c = R.risk_card(strategies(spark, sf), "strategy", ["close_time", "ticket"], "profit", "order_type", "slippage", "is_limit", 50_000_000.0, ["market"],
@@ -287,7 +288,7 @@ tt AS (SELECT threshold, sum(r) AS profit, CASE WHEN stddev_samp(r) > 1e-9 THEN
 @query("threshold_table", f"""
 WITH {THRESHOLDS}
 SELECT threshold, profit, sharpe_ratio, sortino_ratio, accuracy, active, max_drawdown, var_95 FROM tt""", ctes=MATCH,
-    doubles="threshold profit sharpe_ratio sortino_ratio accuracy max_drawdown var_95", digits=3)
+    doubles="threshold profit sharpe_ratio sortino_ratio accuracy max_drawdown var_95", digits=5)
 def threshold_table(spark, sf):
     return thresholds(spark, sf)
 
@@ -300,7 +301,7 @@ def thresholds(spark, sf):
 @query("best_threshold", f"""
 WITH {THRESHOLDS}
 SELECT threshold, sharpe_ratio, max_drawdown FROM tt WHERE active AND max_drawdown <= 400000 ORDER BY sharpe_ratio DESC, threshold LIMIT 1""", ctes=MATCH,
-    doubles="threshold sharpe_ratio max_drawdown", digits=3)
+    doubles="threshold sharpe_ratio max_drawdown", digits=5)
 def best_threshold(spark, sf):
     return C.best_threshold(thresholds(spark, sf), "sharpe_ratio", 400000.0).select("threshold", "sharpe_ratio", "max_drawdown")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows one task may hold for one key before the key is split into blocks.
 BLOCK_ROWS_CONF = "spark.tapeloom.blockRows"
@@ -56,10 +57,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def pin(df):
-    """Write ``df`` to the checkpoint folder and return the stored rows."""
+def pin(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and return the stored rows.
+
+    Cuts the lineage: a lost executor re-reads the table, and values that depend on how rows
+    were placed (positions, samples) stay what they were.  Later steps read only the columns
+    they need and Spark knows the true size.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
