@@ -51,22 +51,22 @@ def weighted_degree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
     """Weighted PageRank; rank of vertices without outgoing weight is not passed on.
 
-    One join and one partially aggregated groupBy per step; ranks are stored every few steps
-    so that the plan stays short and a lost executor restarts from stored rows.
+    Each step is one join and one partially aggregated groupBy, and its ranks are stored next
+    to the previous ones: the plan stays one step long and a lost executor restarts from
+    stored rows.
     """
     n = vertices.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     links = pin(edges.join(out, "src").filter("_out > 0").select("src", "dst", (_c("weight") / _c("_out")).alias("share")))
-    ids = pin(vertices.select("id").distinct())
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for i in range(max_iter):
-        got = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(_c("share") * _c("rank")).alias("_in"))
-        new = ids.join(got, ids["id"] == got["dst"], "left").select(
-            "id", (F.lit((1 - alpha) / n) + alpha * F.coalesce("_in", F.lit(0.0))).alias("rank")
+    ranks = pin(vertices.select("id").distinct().withColumn("rank", F.lit(1.0 / n)))
+    for _ in range(max_iter):
+        got = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(_c("dst").alias("id")).agg(
+            F.sum(_c("share") * _c("rank")).alias("_in")
         )
-        new = pin(new)
-        moved = new.join(ranks.withColumnRenamed("rank", "_old"), "id").agg(F.sum(F.abs(_c("rank") - _c("_old")))).first()[0]
-        ranks = new
+        new = F.lit((1 - alpha) / n) + alpha * F.coalesce("_in", F.lit(0.0))
+        step = pin(ranks.join(got, "id", "left").select("id", _c("rank").alias("_old"), new.alias("rank")))
+        moved = step.agg(F.sum(F.abs(_c("rank") - _c("_old")))).first()[0]
+        ranks = step.select("id", "rank")
         if moved < tol:
             break
     return ranks
@@ -89,7 +89,7 @@ def spectral_embedding(edges: DataFrame, vertices: DataFrame, dim: int = 8) -> D
     cells = edges.join(F.broadcast(index.select(_c("id").alias("src"), _c("i").alias("si"))), "src").join(
         F.broadcast(index.select(_c("id").alias("dst"), _c("i").alias("di"))), "dst"
     ).groupBy("si", "di").agg(F.max("weight").alias("w"))
-    packed = cells.groupBy("si").agg(F.collect_list(F.struct("di", "w")).alias("row"))
+    packed = pin(cells.groupBy("si").agg(F.collect_list(F.struct("di", "w")).alias("row")))
     n = len(names)
     rows = packed.rdd.map(lambda r: IndexedRow(r["si"], Vectors.sparse(n, sorted((e["di"], e["w"]) for e in r["row"]))))
     svd = IndexedRowMatrix(rows, n, n).computeSVD(min(dim, n), computeU=True)

@@ -24,6 +24,7 @@ from tapeloom.operators.classify import auc
 from tapeloom.operators.graph import correlation_matrix
 from tapeloom.operators.labels import purged_folds
 from tapeloom.operators.ordered import drawdown, over_rows, quantiles
+from tapeloom.session import pin
 
 MAX_SIDE = 2000  # largest matrix side taken to the driver
 
@@ -85,7 +86,7 @@ def grid_evaluation(df: DataFrame, order: Sequence[str], features: Sequence[str]
     """Mean out-of-fold AUC per parameter set, skipping sets that breach the drawdown limit."""
     spark, rows = df.sparkSession, []
     for i, settings in enumerate(grid):
-        scored = fold_fits(df, order, features, label, None, model, **settings).join(df.select(*order, profit), list(order))
+        scored = pin(fold_fits(df, order, features, label, None, model, **settings).join(df.select(*order, profit), list(order)))
         taken = scored.withColumn("_r", F.when(_c("p") >= 0.5, _c(profit)).otherwise(0.0))
         area = auc(scored).first()["roc_auc"]
         worst = drawdown(taken, [], order, "_r").first()["max_drawdown"]
@@ -360,8 +361,6 @@ def shared_start(df: DataFrame, symbol: str, features: Sequence[str], label: str
     summed map-side; the weight table has one row per symbol.
     """
     from tapeloom.operators.joins import small
-    from tapeloom.session import pin
-
     spark = df.sparkSession
     names = [f"w{i}" for i in range(len(features))]
     rows = df.select(symbol, _c(label).cast("double").alias("_y"), *features)

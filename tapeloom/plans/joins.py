@@ -210,7 +210,7 @@ ea AS (SELECT DISTINCT l_suppkey AS e, l_orderkey AS o FROM lineitem),
 tot AS (SELECT s_suppkey AS e, s_nationkey AS n, s_suppkey % 7 AS sec, count(o) AS c, coalesce(sum(s), 0) AS s FROM supplier LEFT JOIN (SELECT e, ea.o, s FROM ea JOIN art ON art.o = ea.o) x ON e = s_suppkey GROUP BY 1, 2, 3),
 peer AS (SELECT a.e, a.n, a.c, a.s, coalesce(sum(b.c), 0) AS pc, coalesce(sum(b.s), 0) AS ps FROM tot a LEFT JOIN tot b ON a.sec = b.sec AND a.e <> b.e GROUP BY 1, 2, 3, 4)
 SELECT 'sym' || n_nationkey AS symbol, coalesce(sum(c + pc), 0)::BIGINT AS graph_article_count,
-    coalesce(sum(s + ps) / nullif(sum(c + pc), 0), 0) AS graph_sentiment FROM nation LEFT JOIN peer ON n = n_nationkey GROUP BY 1""", doubles="graph_sentiment")
+    coalesce(sum(s + ps) / nullif(sum(c + pc), 0), 0) AS graph_sentiment FROM nation LEFT JOIN peer ON n = n_nationkey GROUP BY 1""", doubles="graph_sentiment", digits=9)
 def entity_graph_features(spark, sf):
     df = J.entity_paths(*_entity_graph(spark, sf))
     return df.withColumn("graph_article_count", F.col("graph_article_count").cast("long"))

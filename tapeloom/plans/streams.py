@@ -16,17 +16,20 @@ from tapeloom.streaming import stateful as ST
 from tapeloom.streaming.runner import follow_parquet, new_folder, run_to_table
 
 
-def arriving(df, order, files=3):
-    """``df`` as a stream of ``files`` files that arrive in the given order."""
+FILES = 4  # files written per slice and read per micro-batch
+
+
+def arriving(df, order, slices=3):
+    """``df`` as a stream: slices of ``order`` arrive one after the other, a slice per batch."""
     spark = df.sparkSession
     folder = new_folder(spark, "arriving")
-    marks = df.agg(F.percentile_approx(order, [i / files for i in range(1, files)], 10000)).first()[0]
+    marks = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10000)).first()[0]
     bounds = [None, *marks, None]
     for lo, hi in zip(bounds, bounds[1:]):
         part = df if lo is None else df.filter(F.col(order) > lo)
         part = part if hi is None else part.filter(F.col(order) <= hi)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return follow_parquet(spark, folder, df.schema, 1)
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    return follow_parquet(spark, folder, df.schema, FILES)
 
 
 def event_stream(spark, sf):
@@ -129,9 +132,9 @@ SELECT p.pred_id, t.ticket, p.probability FROM preds p JOIN opens t ON p.symbol
 def stream_truth_join(spark, sf):
     p = base.predictions(spark, sf).withColumn("pt", F.timestamp_seconds("timestamp")).select("pred_id", "symbol", "probability", "pt", "timestamp")
     o = base.trade_log(spark, sf).filter("action = 'OPEN'").withColumn("tt", F.timestamp_seconds("event_time")).select("ticket", "symbol", "tt", "event_time")
-    # The streams' files arrive independently; the delay covers the span of one file.
+    # Slices of the two tables end at slightly different times; the delay covers that.
     left, right = arriving(p, "timestamp", 2), arriving(o, "event_time", 2)
-    out = P.predictions_with_truth(left, right, ["symbol"], "pt", "tt", "60 SECONDS", "4000 days")
+    out = P.predictions_with_truth(left, right, ["symbol"], "pt", "tt", 60, "30 days")
     return run_to_table(out, "truth").select("pred_id", "ticket", "probability")
 
 

@@ -51,16 +51,21 @@ def activity_sessions(stream: DataFrame, keys: Sequence[str], time: str, gap: st
     return rows.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def predictions_with_truth(preds: DataFrame, truth: DataFrame, keys: Sequence[str], pred_time: str, true_time: str, within: str, delay: str) -> DataFrame:
-    """Predictions joined to outcomes of the same keys up to ``within`` later."""
-    left = preds.withWatermark(pred_time, delay)
-    right = truth.withWatermark(true_time, delay).withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    span = F.expr(f"{true_time} >= {pred_time} AND {true_time} <= {pred_time} + INTERVAL {within}")
-    cond = span
-    for c in on:
-        cond = cond & c
-    return left.join(right, cond).drop(*[f"_{k}" for k in keys])
+def predictions_with_truth(preds: DataFrame, truth: DataFrame, keys: Sequence[str], pred_time: str, true_time: str, within: int, delay: str) -> DataFrame:
+    """Predictions joined to outcomes of the same keys up to ``within`` seconds later.
+
+    The join key carries the time bucket, so that rows of a busy key meet only neighbours in
+    time; an outcome lies in the bucket of its prediction or the next one.
+    """
+    def bucket(time):
+        return F.floor(F.unix_seconds(time) / within)
+
+    left = preds.withWatermark(pred_time, delay).withColumn("_pb", F.explode(F.array(bucket(pred_time), bucket(pred_time) + 1)))
+    right = truth.withWatermark(true_time, delay).withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn("_tb", bucket(true_time))
+    cond = F.expr(f"{true_time} >= {pred_time} AND {true_time} <= {pred_time} + INTERVAL {within} SECONDS AND _pb = _tb")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
+    return left.join(right, cond).drop("_pb", "_tb", *[f"_{k}" for k in keys])
 
 
 def strategy_totals(stream: DataFrame, strategy: str, metric: str) -> DataFrame:
@@ -158,11 +163,12 @@ def running_calibration(stream: DataFrame, order: Sequence[str], score: str, lab
     def handle(batch: DataFrame, n: int) -> None:
         recent.write(last_rows(recent.read(before=n).unionByName(batch.select(*cols)), list(order), window), n)
         rows = recent.read()  # at most ``window`` rows
-        b = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("classes"),
+        b = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes"),
                      F.percentile(score, F.lit(0.05)).alias("lo"), F.percentile(score, F.lit(0.95)).alias("hi")).first()
         coef, icpt = None, None
         if b["classes"] > 1:
-            fit = LogisticRegression(labelCol=label).fit(VectorAssembler(inputCols=[score], outputCol="features").transform(rows))
+            pairs = rows.select(F.col(score).alias("_score"), F.col(label).alias("_label"))
+            fit = LogisticRegression(labelCol="_label").fit(VectorAssembler(inputCols=["_score"], outputCol="features").transform(pairs))
             coef, icpt = float(fit.coefficients[0]), float(fit.intercept)
         row = spark.createDataFrame([(n, b["n"], b["lo"], b["hi"], coef, icpt)], done.schema)
         done.write(done.read(before=n).unionByName(row), n)
