@@ -105,7 +105,7 @@ ORACLES["stream_cusum"] = ORACLES["cusum"]
 def stream_online_drift(spark, sf):
     e = ticks(spark, sf).withColumn("volume", F.col("user_id").cast("double"))
     rows = melt(e, ["bid", "volume"], keep=["t", "id"])
-    return run_to_table(ST.online_drift(arriving(rows, "t"), ["feature"], ["t", "id"], "value", 500, 100, 0.1), "drift")
+    return run_to_table(ST.online_drift(arriving(rows, "t"), ["feature"], ["t", "id"], "value", 500, 100, 0.1, 0.1), "drift")
 
 
 REGIMES = [[10.0, 0.002], [25.0, 0.004], [50.0, 0.006]]

@@ -87,9 +87,10 @@ def change_alarms(stream: DataFrame, keys, order, value: str, rule: str, **setti
 class _Drift(_OrderedProcessor):
     state_schema = "ref array<double>, recent array<double>"
 
-    def __init__(self, keys, order, value, size, least, limit):
+    def __init__(self, keys, order, value, size, least, psi_limit, ks_limit):
         super().__init__(keys, order, [*keys, *order, "psi", "ks"])
-        self.value, self.size, self.least, self.limit = value, size, least, limit
+        self.value, self.size, self.least = value, size, least
+        self.psi_limit, self.ks_limit = psi_limit, ks_limit
 
     def advance(self, pdf, before):
         import numpy as np
@@ -111,20 +112,20 @@ class _Drift(_OrderedProcessor):
                 psi = float(((pa - pb) * np.log((pa + 1e-6) / (pb + 1e-6))).sum())
             grid = np.union1d(a, b)
             ks = float(np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max())
-            if psi > self.limit or ks > self.limit:
+            if psi > self.psi_limit or ks > self.ks_limit:
                 out.append({**row, "psi": psi, "ks": ks})
                 ref, recent = recent, []
         return out, ([float(x) for x in ref], [float(x) for x in recent])
 
 
-def online_drift(stream: DataFrame, keys, order, value: str, size: int = 500, least: int = 100, limit: float = 0.2) -> DataFrame:
+def online_drift(stream: DataFrame, keys, order, value: str, size: int = 500, least: int = 100, psi_limit: float = 0.2, ks_limit: float = 0.2) -> DataFrame:
     """Drift events of one value per key, against a sliding reference of at most ``size``.
 
     The reference fills first; recent values replace it when an event is raised.  Melt wide
     rows first so that each (stream, feature) is its own key.
     """
     fields = _fields(stream, [*keys, *order]) + [T.StructField(n, T.DoubleType()) for n in ("psi", "ks")]
-    return _process(stream, keys, _Drift(keys, order, value, size, least, limit), fields)
+    return _process(stream, keys, _Drift(keys, order, value, size, least, psi_limit, ks_limit), fields)
 
 
 class _Regime(_OrderedProcessor):

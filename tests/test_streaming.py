@@ -27,7 +27,7 @@ def test_stream_detector_equals_batch(spark):
 
 def test_online_drift_sees_the_shift(spark):
     df, _ = numbers(spark, 150)
-    got = run_to_table(ST.online_drift(arriving(df.withColumn("key", F.lit("x")), "t"), ["key"], ["t"], "v", 60, 40, 0.5), "test").collect()
+    got = run_to_table(ST.online_drift(arriving(df.withColumn("key", F.lit("x")), "t"), ["key"], ["t"], "v", 60, 40, 1e9, 0.5), "test").collect()
     assert got and min(r["t"] for r in got) > 75
 
 
