@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.asof import asof
 from tapeloom.operators.ordered import over_rows
+from tapeloom.session import pin
 
 
 def pair_open_close(
@@ -53,7 +54,8 @@ def match_predictions(preds: DataFrame, trades: DataFrame, window: int) -> DataF
         .groupBy("decision_id")
         .agg(F.min_by(F.struct(*info), F.struct("open_time", "ticket")).alias("trade"))
     )
-    by_id = preds.filter(F.col("decision_id").isNotNull()).join(first, "decision_id").select("pred_id", "trade")
+    # Read three times below.
+    by_id = pin(preds.filter(F.col("decision_id").isNotNull()).join(first, "decision_id").select("pred_id", "trade"))
     rest = preds.join(by_id.select("pred_id"), "pred_id", "left_anti")
     free = trades.join(by_id.select(F.col("trade.ticket").alias("ticket")), "ticket", "left_anti")
     near = asof(

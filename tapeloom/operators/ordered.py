@@ -12,7 +12,7 @@ summaries.  Both ways give the same values.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,32 +26,41 @@ BLOCK, POS, OWN = "_block", "_pos", "_own"
 HASH_GROUPS = 65_536
 
 
-def fits_one_task(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """True when no key (the whole table without keys) has more than ``limit`` rows.
+@dataclass(frozen=True)
+class Size:
+    rows: int
+    fits: bool  # no key has more rows than the limit
+
+
+def measure(df: DataFrame, keys: Sequence[str], limit: int) -> Size:
+    """Row count, and whether every key (the whole table without keys) fits ``limit`` rows.
 
     Keys are counted in hash groups first, which shuffles a bounded number of rows however
     many keys there are; a group bounds its keys from above.  Only when some group is larger
     are the keys themselves counted.
     """
     if not keys:
-        return df.count() <= limit
+        rows = df.count()
+        return Size(rows, rows <= limit)
 
     def largest(*by):
-        return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        top, rows = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+        return top or 0, rows or 0
 
-    hashed = F.pmod(F.xxhash64(*keys), F.lit(HASH_GROUPS)).alias("_h")
-    return largest(hashed) <= limit or largest(*keys) <= limit
+    top, rows = largest(F.pmod(F.xxhash64(*keys), F.lit(HASH_GROUPS)).alias("_h"))
+    return Size(rows, top <= limit or largest(*keys)[0] <= limit)
 
 
-def number_rows(df: DataFrame, order: Sequence[str], pos: str = POS) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], rows: int, pos: str = POS) -> DataFrame:
     """Add the zero-based position of each row in the total order of ``order``.
 
-    ``order`` must be unique per row.  The range shuffle balances skewed keys because the
+    ``order`` must be unique per row and ``rows`` is their number, which sets how many range
+    partitions are made (about one block each).  The range shuffle balances skewed keys because the
     later order columns take part in the cut points.  The sorted rows are stored once, so
     that the cut points stay the same when an executor is lost.
     """
     spark = df.sparkSession
-    parts = max(shuffle_partitions(spark), 1)
+    parts = max(shuffle_partitions(spark), -(-rows // block_rows(spark)))
     ordered = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -82,6 +91,8 @@ class Layout:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     split: bool
+    before: int = 0
+    after: int = 0
 
     @property
     def group(self) -> list[str]:
@@ -96,7 +107,9 @@ class Layout:
     def so_far(self) -> WindowSpec:
         return self.rows(Window.unboundedPreceding, Window.currentRow)
 
-    def finish(self, df: DataFrame) -> DataFrame:
+    def finish(self, df: DataFrame | None = None) -> DataFrame:
+        """Drop the copies and the helper columns."""
+        df = self.df if df is None else df
         if self.split:
             df = df.filter(F.col(OWN))
         return df.drop(BLOCK, POS, OWN)
@@ -137,27 +150,37 @@ def lay_out(
 ) -> Layout:
     """Prepare ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead."""
     limit = block_rows(df.sparkSession)
-    if fits_one_task(df, keys, limit):
+    size = measure(df, keys, limit)
+    if size.fits:
         flat = df if keys else df.withColumn(BLOCK, F.lit(0))
-        return Layout(flat, tuple(keys), tuple(order), False)
-    numbered = number_rows(df, [*keys, *order])
+        return Layout(flat, tuple(keys), tuple(order), False, before, after)
+    numbered = number_rows(df, [*keys, *order], size.rows)
     first = F.greatest(F.lit(0), F.floor((F.col(POS) - after) / limit))
     last = F.floor((F.col(POS) + before) / limit)
     placed = numbered.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
         OWN, F.col(BLOCK) == F.floor(F.col(POS) / limit)
     )
-    return Layout(placed, tuple(keys), (POS,), True)
+    return Layout(placed, tuple(keys), (POS,), True, before, after)
 
 
 def over_rows(
-    df: DataFrame,
+    df: DataFrame | Layout,
     keys: Sequence[str],
     order: Sequence[str],
     build: Callable[[DataFrame, Layout], DataFrame],
     before: int = 0,
     after: int = 0,
-) -> DataFrame:
-    """Run ``build`` on laid-out rows and return the original rows with its columns."""
+) -> DataFrame | Layout:
+    """Run ``build`` on laid-out rows and return the original rows with its columns.
+
+    Given a ``Layout`` the step runs inside it and returns it with the new columns, so that
+    several features share one size check, one shuffle and one sort.  Each step uses up its
+    reach, because a later one may read the columns of an earlier one.
+    """
+    if isinstance(df, Layout):
+        if df.before < before or df.after < after:
+            raise ValueError("the shared layout does not reach far enough; lay it out with a larger reach")
+        return replace(df, df=build(df.df, df), before=df.before - before, after=df.after - after)
     lay = lay_out(df, keys, order, before, after)
     return lay.finish(build(lay.df, lay))
 
@@ -273,7 +296,7 @@ def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, also for keys too long for one task."""
-    if fits_one_task(df, keys, block_rows(df.sparkSession)):
+    if measure(df, keys, block_rows(df.sparkSession)).fits:
         return df.groupBy(*keys).agg(
             *[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()]
         )
@@ -316,7 +339,7 @@ def scan_in_rounds(
     limit = block_rows(spark)
     lay_cols = [*keys, *order, *values]
     src = df.select(*lay_cols)
-    if fits_one_task(src, keys, limit):
+    if measure(src, keys, limit).fits:
         numbered, rounds = src.withColumn("_round", F.lit(0)), 1
     else:
         numbered = pin(

@@ -494,12 +494,25 @@ def ewm(df: DataFrame, keys: Keys, order: Keys, spans: Mapping[str, tuple[str, f
 
 
 def macd(df, keys, order, price, short=12, long=26, signal=9):
+    """MACD line and its signal line, both recursions in one pass over each group."""
+    from pyspark.sql import types as T
+
     def alpha(n):
         return 2.0 / (n + 1)
 
-    df = ewm(df, keys, order, {"_es": (price, alpha(short)), "_el": (price, alpha(long))})
-    df = df.withColumn("macd", _c("_es") - _c("_el")).drop("_es", "_el")
-    return ewm(df, keys, order, {"macd_signal": ("macd", alpha(signal))})
+    # The signal forgets over its own span what the line forgot over the long one.
+    reach = int(40.0 / alpha(long)) + int(40.0 / alpha(signal)) + 2
+    lay = lay_out(df, keys, order, before=reach)
+    schema = T.StructType(lay.df.schema.fields + [T.StructField(n, T.DoubleType()) for n in ("macd", "macd_signal")])
+    order_cols = list(lay.order)
+
+    def run(pdf):
+        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
+        p = pdf[price].astype(float)
+        line = p.ewm(alpha=alpha(short), adjust=False).mean() - p.ewm(alpha=alpha(long), adjust=False).mean()
+        return pdf.assign(macd=line, macd_signal=line.ewm(alpha=alpha(signal), adjust=False).mean())
+
+    return lay.finish(lay.df.groupBy(*lay.group).applyInPandas(run, schema))
 
 
 def kalman(df, keys, order, price, process_var=1e-5, measurement_var=1e-2, name="kalman"):

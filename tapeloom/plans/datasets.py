@@ -403,10 +403,12 @@ def exact_quantiles(spark, sf):
 
 
 @query("feature_plugins", f"""
-SELECT symbol, id, lag(bid, 2) OVER w AS bid_lag_2, avg(bid) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma FROM ticks WINDOW w AS ({TICK})""", ctes="ticks", doubles="bid_lag_2 sma")
+SELECT symbol, id, lag(bid, 2) OVER w AS bid_lag_2, avg(bid) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma,
+    avg(bid) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) + 2 * stddev_pop(bid) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS bollinger_upper,
+    sin({TAU} * (isodow(make_timestamp(t)) - 1) / 7) AS dow_sin FROM ticks WINDOW w AS ({TICK})""", ctes="ticks", doubles="bid_lag_2 sma bollinger_upper dow_sin")
 def feature_plugins(spark, sf):
-    df, _ = X.apply_features(ticks(spark, sf), ["lag_diff", "technical"], lag_diff={"columns": ["bid"], "lags": [2]}, technical={"price": "bid"})
-    return df.select("symbol", "id", "bid_lag_2", "sma")
+    df, _ = X.apply_features(ticks(spark, sf).withColumn("ts", F.timestamp_micros("t").cast("timestamp_ntz")), ["technical", "calendar"], technical={"price": "bid", "lags": [2]}, calendar={"ts": "ts"})
+    return df.select("symbol", "id", "bid_lag_2", "sma", "bollinger_upper", "dow_sin")
 
 
 @query("metric_plugins", """

@@ -87,12 +87,17 @@ def _lag_diff(df, columns=("price",), lags=(1, 2, 3), keys=("symbol",), order=("
 
 
 @FEATURES.register("technical")
-def _technical(df, price="price", keys=("symbol",), order=("t", "id")):
+def _technical(df, price="price", keys=("symbol",), order=("t", "id"), lags=()):
+    """Lags, moving average, bands, RSI and ATR over one shared layout."""
     from tapeloom.operators import windows as W
-
-    df = W.sma(df, keys, order, price, 5)
-    df = W.rsi(W.bollinger(df, keys, order, price), keys, order, price)
-    return W.atr(df, keys, order, price)
+    from tapeloom.operators.ordered import lay_out
+
+    rows = lay_out(df, keys, order, before=64 + max([0, *lags]))
+    if lags:
+        rows = W.lag_diff(rows, keys, order, [price], lags)
+    for feature, size in ((W.sma, 5), (W.bollinger, 20), (W.rsi, 14)):
+        rows = feature(rows, keys, order, price, size)
+    return W.atr(rows, keys, order, price).finish()
 
 
 @FEATURES.register("calendar")
