@@ -297,9 +297,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, also for keys too long for one task."""
     if measure(df, keys, block_rows(df.sparkSession)).fits:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(F.col(value), F.lit(p)).alias(n) for n, p in probs.items()]
-        )
+        # One value-count buffer serves all quantiles.
+        found = df.groupBy(*keys).agg(F.percentile(F.col(value), list(probs.values())).alias("_q"))
+        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
     ranks = value_ranks(df, keys, value)
     totals = ranks.groupBy(*keys).agg(F.max("upto").alias("_n"))
     ranks = ranks.join(totals, list(keys)) if keys else ranks.join(F.broadcast(totals))
@@ -337,15 +337,17 @@ def scan_in_rounds(
     """
     spark = df.sparkSession
     limit = block_rows(spark)
-    lay_cols = [*keys, *order, *values]
-    src = df.select(*lay_cols)
+    src = df.select(*keys, *order, *values)
     if measure(src, keys, limit).fits:
-        numbered, rounds = src.withColumn("_round", F.lit(0)), 1
-    else:
-        numbered = pin(
-            row_index(src, keys, order, "_i").withColumn("_round", F.floor(F.col("_i") / limit))
-        )
-        rounds = int(numbered.agg(F.max("_round")).first()[0]) + 1
+
+        def whole(pdf):
+            return step(pdf.sort_values(list(order), kind="mergesort").reset_index(drop=True), None)[0]
+
+        return src.groupBy(*keys).applyInPandas(whole, out)
+    numbered = pin(
+        row_index(src, keys, order, "_i").withColumn("_round", F.floor(F.col("_i") / limit))
+    )
+    rounds = int(numbered.agg(F.max("_round")).first()[0]) + 1
     key_types = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name in keys]
     carried = spark.createDataFrame(
         [], ", ".join([*key_types, *[f"{s} double" for s in state]])
@@ -377,9 +379,7 @@ def scan_in_rounds(
                 columns=[f.name for f in full.fields]
             )
 
-        both = block.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(run, full)
-        if rounds > 1:
-            both = pin(both)
+        both = pin(block.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(run, full))
         part = both.filter(~F.col("_state")).select(*[f.name for f in schema_out.fields])
         carried = both.filter(F.col("_state")).select(*keys, *state)
         result = part if result is None else result.unionByName(part)

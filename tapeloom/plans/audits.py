@@ -62,7 +62,7 @@ def shadow_accuracy(spark, sf):
 WITH m AS (SELECT model_idx, CASE WHEN chosen = 1 THEN 'chosen' ELSE 'shadow' END AS role, CASE WHEN chosen = 1 OR action = CASE WHEN probability > 0.5 THEN 'buy' ELSE 'sell' END
     THEN coalesce(t.profit, 0) ELSE -coalesce(t.profit, 0) END AS mp FROM decisions d LEFT JOIN trades t ON t.ticket = d.decision_id)
 SELECT model_idx, role, count(*) AS trades, count_if(mp > 0) AS wins, avg((mp > 0)::INT) AS win_rate, sum(mp) AS profit FROM m GROUP BY 1, 2""",
-    ctes="trades decisions", doubles="win_rate profit", digits=5)
+    ctes="trades decisions", doubles="win_rate profit", digits=5, ints="wins")
 def model_audit(spark, sf):
     return A.model_audit(base.decisions(spark, sf).drop("profit"), session_trades(spark, sf).select("decision_id", "profit"))
 
@@ -77,7 +77,7 @@ def shadow_trade_stats(spark, sf):
 WITH s AS (SELECT model_idx, count(*) AS total, count_if(profit > 0) AS wins FROM decisions GROUP BY 1),
 u AS (SELECT *, wins / total AS mean, wins / total + sqrt(2 * ln((SELECT sum(total) FROM s) + 1) / total) AS ucb FROM s)
 SELECT model_idx, total, wins, mean, ucb, row_number() OVER (ORDER BY ucb DESC, model_idx) = 1 AS ucb_choice, row_number() OVER (ORDER BY mean DESC, model_idx) = 1 AS best_model FROM u""",
-    ctes="decisions", doubles="mean ucb")
+    ctes="decisions", doubles="mean ucb", ints="wins")
 def bandit_scores(spark, sf):
     s = base.decisions(spark, sf).groupBy("model_idx").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("profit") > 0).alias("wins"))
     return A.bandit_scores(s)
@@ -134,7 +134,7 @@ REPLAY = "rp AS (SELECT *, probability * 0.5::DOUBLE + (decision_id % 10) / 20.0
 WITH {REPLAY}, f AS (SELECT profit, profit > 0 AS won, probability >= 0.5 AS was, new_probability >= 0.5 AS now FROM rp)
 SELECT avg((was = won)::INT) AS accuracy_old, avg((now = won)::INT) AS accuracy_new, coalesce(-sum(profit) FILTER (was AND NOT now), 0) AS profit_delta,
     count_if(now AND won) AS tp, count_if(now AND NOT won) AS fp, count_if(NOT now AND NOT won) AS tn, count_if(NOT now AND won) AS fn, count_if(was <> now) AS divergences FROM f""",
-    ctes="decisions", doubles="accuracy_old accuracy_new profit_delta", digits=5)
+    ctes="decisions", doubles="accuracy_old accuracy_new profit_delta", digits=5, ints="tp fp tn fn divergences")
 def replay_comparison(spark, sf):
     return A.replay_comparison(replayed(spark, sf), "probability", "new_probability", "profit", 0.5)
 

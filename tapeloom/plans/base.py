@@ -20,7 +20,8 @@ ORACLES: dict[str, str] = {}
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6, ctes: str = ""):
+def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6, ctes: str = "", ints: str = ""):
+    """Register a query; ``doubles`` are rounded on both sides, ``ints`` are 64-bit in the SQL."""
     cols = doubles.split()
 
     def register(fn):
@@ -34,8 +35,8 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6,
         QUERIES[name] = run
         if sql is not None:
             head = [CTES[c] for c in ctes.split()]
-            replace = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
-            star = f"* REPLACE ({replace})" if cols else "*"
+            casts = [f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in cols] + [f"{c}::BIGINT AS {c}" for c in ints.split()]
+            star = f"* REPLACE ({', '.join(casts)})" if casts else "*"
             body = sql.strip()
             if body.upper().startswith("WITH "):
                 body = body[5:].lstrip()
@@ -144,11 +145,18 @@ def predictions(spark, folder):
     )
 
 
-def matched(spark, folder):
-    """Every prediction with the trade it owns, if any."""
+def matched(spark, folder, trades=None):
+    """Every prediction with the trade it owns, if any; ``trades`` when already at hand."""
     from tapeloom.operators.matching import match_predictions
 
-    return pin(match_predictions(predictions(spark, folder), pin(closed_trades(spark, folder)), 60))
+    trades = pin(closed_trades(spark, folder)) if trades is None else trades
+    return match_predictions(predictions(spark, folder), trades, 60)
+
+
+def matched_and_trades(spark, folder):
+    """Both sides of the match, stored because reports read them several times."""
+    trades = pin(closed_trades(spark, folder))
+    return pin(matched(spark, folder, trades)), trades
 
 
 def decisions(spark, folder):

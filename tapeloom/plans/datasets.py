@@ -420,7 +420,7 @@ def metric_plugins(spark, sf):
 
 
 @query("report_steps", """
-SELECT count_if(is_match) AS matched_events, count(*) - count_if(is_match) AS fp, count_if(is_match) / count(*) AS precision FROM matched""", ctes="trades preds matched", doubles="precision")
+SELECT count_if(is_match) AS matched_events, count(*) - count_if(is_match) AS fp, count_if(is_match) / count(*) AS precision FROM matched""", ctes="trades preds matched", doubles="precision", ints="matched_events fp")
 def report_steps(spark, sf):
     m = base.matched(spark, sf)
     r = m.agg(F.count_if("is_match").alias("matched_events"), (F.count(F.lit(1)) - F.count_if("is_match")).alias("fp"))

@@ -29,7 +29,8 @@ def prediction_match(spark, sf):
 SELECT ticket, profit FROM trades WHERE ticket NOT IN (SELECT ticket FROM matched WHERE is_match)""",
     doubles="profit", digits=4, ctes="trades preds matched")
 def unused_trades(spark, sf):
-    return M.unused_trades(base.closed_trades(spark, sf), base.matched(spark, sf)).select("ticket", "profit")
+    matched, trades = base.matched_and_trades(spark, sf)
+    return M.unused_trades(trades, matched).select("ticket", "profit")
 
 
 @query("unmatched_predictions", """

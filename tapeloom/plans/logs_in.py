@@ -338,7 +338,7 @@ def expectation_report(spark, sf):
 
 @query("feature_bounds", """
 SELECT 'atr' AS rule, count_if(value - 5 < 0) AS failed, count(*) AS total FROM events UNION ALL
-SELECT 'book_imbalance', count_if(abs(value / 50) > 1), count(*) FROM events""")
+SELECT 'book_imbalance', count_if(abs(value / 50) > 1), count(*) FROM events""", ints="failed")
 def feature_bounds(spark, sf):
     e = table(spark, sf, "events").select((F.col("value") - 5).alias("atr"), (F.col("value") / 50).alias("book_imbalance"), "user_id")
     return Q.feature_bounds(e)
@@ -354,7 +354,7 @@ def data_contract(spark, sf):
 
 @query("message_validation", f"""
 WITH {JSON_LINES}
-SELECT count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, sum(k) FILTER (reason IS NULL)::BIGINT AS total_k FROM lines""")
+SELECT count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, sum(k) FILTER (reason IS NULL)::BIGINT AS total_k FROM lines""", ints="accepted rejected")
 def message_validation(spark, sf):
     p = R.parse_json_lines(json_lines(spark, sf), S.struct(MESSAGE), 3)
     ok = F.col("reason").isNull()

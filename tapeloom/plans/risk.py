@@ -28,8 +28,7 @@ def hits(spark, sf):
 
 def evaluation(spark, sf):
     """The one-row report of matching predictions to trades."""
-    trades = pin(base.closed_trades(spark, sf))
-    matched = pin(M.match_predictions(base.predictions(spark, sf), trades, 60))
+    matched, trades = base.matched_and_trades(spark, sf)
     won = matched.filter("is_match")
     p = F.col("profit")
     net = net_of_costs(p, FEE, BPS)
@@ -104,7 +103,7 @@ WITH c AS (SELECT count(*) FILTER (is_match) AS tp, count(*) AS pe, (SELECT coun
 SELECT tp AS matched_events, pe AS predicted_events, ae AS actual_events, pe - tp AS fp, ae - tp AS fn, tp / (pe + ae - tp) AS accuracy,
     tp / ae AS recall, tp / pe AS precision FROM c""", ctes=MATCH, doubles="accuracy recall precision")
 def match_counts(spark, sf):
-    return C.confusion(base.matched(spark, sf), base.closed_trades(spark, sf))
+    return C.confusion(*base.matched_and_trades(spark, sf))
 
 
 @query("sharpe_sortino", f"""
@@ -149,7 +148,7 @@ def tail_risk_by_symbol(spark, sf):
 
 @query("volatility_spikes", """
 WITH s AS (SELECT event_type AS symbol, avg(value) AS m, stddev_pop(value) AS d FROM events GROUP BY 1)
-SELECT symbol, count_if(abs(value - m) > 3 * d) AS volatility_spikes FROM events JOIN s ON symbol = event_type GROUP BY 1""")
+SELECT symbol, count_if(abs(value - m) > 3 * d) AS volatility_spikes FROM events JOIN s ON symbol = event_type GROUP BY 1""", ints="volatility_spikes")
 def volatility_spikes(spark, sf):
     e = base.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "value")
     return R.volatility_spikes(e, ["symbol"], "value")
@@ -215,7 +214,7 @@ SELECT strategy, risk, mean_return, sharpe_ratio, sortino_ratio, budget_utilisat
     stress_pnl_min, stress_drawdown_max, (max_drawdown > 100000)::INT + (budget_utilisation > 1)::INT + (order_type_compliance < 0.8)::INT AS breaches,
     NOT (max_drawdown > 100000 OR budget_utilisation > 1 OR order_type_compliance < 0.8) AS passed
 FROM card JOIN v USING (strategy) JOIN m USING (strategy) JOIN k USING (strategy) JOIN x USING (strategy)""", ctes="trades", digits=5,
-    doubles="risk mean_return sharpe_ratio sortino_ratio budget_utilisation order_type_compliance slippage_mean slippage_std var_95 max_drawdown stress_pnl_min stress_drawdown_max")
+    doubles="risk mean_return sharpe_ratio sortino_ratio budget_utilisation order_type_compliance slippage_mean slippage_std var_95 max_drawdown stress_pnl_min stress_drawdown_max", ints="volatility_spikes")
 def risk_card(spark, sf):
     c = R.risk_card(strategies(spark, sf), "strategy", ["close_time", "ticket"], "profit", "order_type", "slippage", "is_limit", 50_000_000.0, ["market"],
                     {"max_drawdown": 100000.0, "budget_utilisation": 1.0}, {"order_type_compliance": 0.8})
@@ -226,28 +225,28 @@ def risk_card(spark, sf):
 WITH {SCORES}
 SELECT roc_auc, pr_auc, (SELECT avg((p - y) * (p - y)) FROM scores) AS brier_score FROM auc""", ctes=MATCH, doubles="roc_auc pr_auc brier_score")
 def ranking_metrics(spark, sf):
-    return C.auc(M.score_vector(base.matched(spark, sf), base.closed_trades(spark, sf)))
+    return C.auc(M.score_vector(*base.matched_and_trades(spark, sf)))
 
 
 @query("leftover_positives", """
 SELECT is_match::INT AS y, probability AS p FROM matched UNION ALL SELECT 1, 0 FROM trades WHERE ticket NOT IN (SELECT ticket FROM matched WHERE is_match)""",
     ctes=MATCH, doubles="p")
 def leftover_positives(spark, sf):
-    return M.score_vector(base.matched(spark, sf), base.closed_trades(spark, sf))
+    return M.score_vector(*base.matched_and_trades(spark, sf))
 
 
 @query("reliability_curve", f"""
 WITH {SCORES}
 SELECT bin, prob_true, prob_pred, n FROM bins""", ctes=MATCH, doubles="prob_true prob_pred")
 def reliability_curve(spark, sf):
-    return C.reliability(M.score_vector(base.matched(spark, sf), base.closed_trades(spark, sf)))
+    return C.reliability(M.score_vector(*base.matched_and_trades(spark, sf)))
 
 
 @query("calibration_error", f"""
 WITH {SCORES}
 SELECT sum(abs(prob_true - prob_pred) * n) / sum(n) AS ece FROM bins""", ctes=MATCH, doubles="ece")
 def calibration_error(spark, sf):
-    return C.calibration_error(C.reliability(M.score_vector(base.matched(spark, sf), base.closed_trades(spark, sf))))
+    return C.calibration_error(C.reliability(M.score_vector(*base.matched_and_trades(spark, sf))))
 
 
 @query("gaussian_nll", """
@@ -269,7 +268,7 @@ def conformal_coverage(spark, sf):
 
 
 @query("per_model_counts", """
-SELECT model, count(*) AS predictions, count_if(is_match) AS matches FROM matched GROUP BY 1""", ctes=MATCH)
+SELECT model, count(*) AS predictions, count_if(is_match) AS matches FROM matched GROUP BY 1""", ctes=MATCH, ints="matches")
 def per_model_counts(spark, sf):
     return C.per_model_counts(base.matched(spark, sf), "model")
 

@@ -39,7 +39,7 @@ def event_stream(spark, sf):
 
 @query("stream_validation", f"""
 WITH {JSON_LINES}
-SELECT count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, sum(k) FILTER (reason IS NULL)::BIGINT AS total_k FROM lines""")
+SELECT count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, sum(k) FILTER (reason IS NULL)::BIGINT AS total_k FROM lines""", ints="accepted rejected")
 def stream_validation(spark, sf):
     folder = new_folder(spark, "messages")
     json_lines(spark, sf).repartition(3).write.text(folder)

@@ -19,6 +19,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def norm(v):
     import datetime
     import decimal
@@ -96,9 +99,12 @@ def main():
             if n in sqls:
                 cur = con.execute(sqls[n])
                 cols = [d[0] for d in cur.description]
+                kinds = {r[0]: r[1] for r in con.execute("DESCRIBE " + sqls[n]).fetchall()}
+                odd = [f"{c} {t}/{kinds.get(c)}" for c, t in df.dtypes if SAME_TYPE.get(t) != kinds.get(c)]
+                cur = con.execute(sqls[n])
                 t1 = time.time()
                 problem = compare(got, rows_of(cols, cur.fetchall()))
-                note = f"oracle {time.time() - t1:.1f}s"
+                note = f"oracle {time.time() - t1:.1f}s" + (f" TYPES {odd}" if odd else "")
             else:
                 problem, note = None, "rows only"
             if not got[1]:
