@@ -168,8 +168,6 @@ def metric_history(df: DataFrame, strategy: str, order: Sequence[str], metric: s
 
 def session_statistics(df: DataFrame, session: Column, price: str) -> DataFrame:
     """Mean and deviation of the price per session; sessions without rows use all rows."""
-    from tapeloom.functions.scalar import session_tag  # noqa: F401  (names of the sessions)
-
     spark = df.sparkSession
     stats = df.groupBy(session.alias("session")).agg(F.avg(price).alias("mean"), F.stddev_pop(price).alias("std"))
     whole = df.agg(F.avg(price).alias("_m"), F.stddev_pop(price).alias("_s"))

@@ -11,7 +11,6 @@ from tapeloom.operators import joins as J
 from tapeloom.operators import models as M
 from tapeloom.operators import spectral as SP
 from tapeloom.operators import windows as W
-from tapeloom.plans import base
 from tapeloom.plans.base import SYMBOLS, bars, query, table, ticks
 from tapeloom.plans.joins import EDGES
 

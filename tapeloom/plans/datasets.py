@@ -99,7 +99,6 @@ def label_choice(spark, sf):
 WITH d AS (SELECT event_id, abs(value - user_id) / 2 + abs(value - 20) AS difficulty FROM events)
 SELECT event_id, difficulty, ntile(7) OVER (ORDER BY difficulty, event_id)::INT AS phase FROM d""", doubles="difficulty", digits=4)
 def curriculum_phases(spark, sf):
-    # Rounded before ordering, so that both engines rank equal difficulties by id.
     e = table(spark, sf, "events").withColumn("profit", F.col("value") - 20)
     return L.curriculum(e, "event_id", ["value", "user_id"], "profit", 7).select("event_id", "difficulty", "phase")
 
@@ -153,7 +152,7 @@ def calendar_encoding(spark, sf):
 
 
 @query("safe_cast", """
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 3 = 1 THEN -1 ELSE -1 END AS x FROM events""", doubles="x")
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value ELSE -1 END AS x FROM events""", doubles="x")
 def safe_cast(spark, sf):
     i = F.col("event_id") % 3
     text = F.when(i == 0, F.col("value").cast("string")).when(i == 1, "NaN").otherwise("n/a")
@@ -293,7 +292,6 @@ def power_transform_fit(spark, sf):
 
 
 @query("skewness_screen", """
-WITH m AS (SELECT avg(value) AS m, avg(user_id) AS u FROM events)
 SELECT 'value' AS feature, skewness(value) AS skew, abs(skewness(value)) > 1 AS skewed FROM events UNION ALL SELECT 'user_id', skewness(user_id), abs(skewness(user_id)) > 1 FROM events""", doubles="skew")
 def skewness_screen(spark, sf):
     return SC.skewness_screen(table(spark, sf, "events"), ["value", "user_id"])

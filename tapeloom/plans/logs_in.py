@@ -55,7 +55,7 @@ flagged AS (SELECT *, CASE WHEN src <> min(src) OVER (PARTITION BY event_id) THE
 
 
 @query("trade_csv_scan", """
-SELECT event_id, epoch_us(event_ts) AS t, lots, price, action, ticket::INT AS ticket FROM (SELECT *, src FROM raw_log)""".replace("SELECT *, src", "SELECT *"),
+SELECT event_id, epoch_us(event_ts) AS t, lots, price, action, ticket::INT AS ticket FROM raw_log""",
     doubles="lots price", ctes="raw_log")
 def trade_csv_scan(spark, sf):
     path = scratch(spark, "csv")

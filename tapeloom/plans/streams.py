@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.drift import melt
 from tapeloom.plans import base
-from tapeloom.plans.analytics import PH, FEATS, training_rows
+from tapeloom.plans.analytics import FEATS, training_rows
 from tapeloom.plans.base import ORACLES, query, table, ticks
 from tapeloom.plans.logs_in import JSON_LINES, MESSAGE, json_lines
 from tapeloom.sources import schemas as S

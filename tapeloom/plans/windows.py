@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import windows as W
-from tapeloom.plans.base import SYMBOLS, bars, query, ticks
+from tapeloom.plans.base import bars, query, ticks
 
 KEY, TICK, BAR = ["symbol"], ["t", "id"], ["hr"]
 BY_TICK = "PARTITION BY symbol ORDER BY t, id"
@@ -381,7 +381,7 @@ WITH p AS (SELECT symbol, t, id, bid, CASE WHEN bid > 15 THEN 1.0 ELSE -1.0 END
 g AS (SELECT *, bid - coalesce(lag(bid) OVER w, bid) AS mv, max(bid) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - bid AS fall,
     bid - min(bid) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rise FROM p WINDOW w AS ({BY_TICK}))
 SELECT symbol, id, CASE WHEN mv >= -5 THEN pos ELSE 0 END AS stop_loss_position,
-    CASE WHEN pos > 0 AND fall > 20 THEN 0 WHEN pos < 0 AND rise > 8 THEN 0 ELSE pos END AS trailing_stop_position FROM g""".replace("rise > 8", "rise > 20"),
+    CASE WHEN pos > 0 AND fall > 20 THEN 0 WHEN pos < 0 AND rise > 20 THEN 0 ELSE pos END AS trailing_stop_position FROM g""",
     doubles="stop_loss_position trailing_stop_position", ctes="ticks")
 def stop_guards(spark, sf):
     df = ticks(spark, sf).withColumn("pos", F.when(F.col("bid") > 15, 1.0).otherwise(-1.0))
