@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, quality, search, simhash, urls
-from tapeloom.llm.common import table
+from tapeloom.llm import bpe, chat, classifier, language, packing, quality, search, secrets, simhash, urls
+from tapeloom.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +64,19 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op3_packing")
+def _packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op4_bpe")
+def _bpe(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), tokenizer)
+    done = done.select("doc_id", bpe.ids_digest(F.col("ids")).alias("d"), F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return done.select("doc_id", "d.n_tokens", "d.ids_sha256", "decoded_sha256")
+
+
 SAID = "\\### Assistant: </turn> ok"
 
 
@@ -134,6 +148,43 @@ def _quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_quality_classifier")
+def _quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality_model(docs, labels)
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    done = classifier.scored(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
+ACCEPT = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> classifier.RuleModel:
+    """Fit on labelled documents outside the held-out fifth."""
+    learn = labels.where(crc_bucket(F.col("doc_id"), 5) != 0)
+    return classifier.fit(classifier.labelled_sample(docs, learn, "quality"))
+
+
+@query("op8_secrets")
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_documents(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    found = found.withColumn("base", F.filter("secrets", lambda s: s["layers"] == ""))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)).alias(k) for k in secrets.KINDS]
+    counts = [(F.size("base") - c).cast("long").alias(f"n_{k}") for c, k in zip(counts, secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+@query("op9_language_id")
+def _language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.LanguageIdentifier.fit(docs.where(crc_bucket(F.col("doc_id"), 4) != 2))
+    done = language.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query(
     "op10_top_k",
     """
