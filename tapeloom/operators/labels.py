@@ -242,7 +242,7 @@ def dtw_mixup(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: s
     reach = 5 * window
     lay = lay_out(df.select(*keys, *order, price), keys, order, before=reach)
     cols, group = list(lay.order), list(lay.group)
-    own = "_own" if lay.split else None
+    own = "_own"
     schema = T.StructType(
         [lay.df.schema[k] for k in keys] + [lay.df.schema[o] for o in order]
         + [T.StructField("mixed", T.ArrayType(T.DoubleType())), T.StructField("distance", T.DoubleType()), T.StructField("lam", T.DoubleType())]
@@ -275,7 +275,7 @@ def dtw_mixup(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: s
         x = pdf[price].to_numpy(dtype=float)
         out = []
         for end in range(2 * window - 1, len(pdf)):
-            if own and not bool(pdf[own].iloc[end]):
+            if not bool(pdf[own].iloc[end]):
                 continue
             ident = "|".join(str(pdf[o].iloc[end]) for o in order_list)
             draw = int.from_bytes(hashlib.blake2b(f"{seed}|{ident}".encode(), digest_size=8).digest(), "big")

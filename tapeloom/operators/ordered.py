@@ -1,12 +1,10 @@
 """Ordered processing of long series, with no task holding a whole hot key.
 
 Most operators here are defined on rows in time order per key.  A plain
-``Window.partitionBy(key)`` puts each key into one task.  That is fine while the largest key
-fits a task, which is measured (so an input is read twice: ``pin`` costly ones first);
-beyond it rows are numbered in (key, order) order by a range
-shuffle, cut into blocks of equal size, and each block receives copies of the neighbouring
-rows its frames reach into.  Unbounded frames are finished with a small table of block
-summaries.  Both ways give the same values.
+``Window.partitionBy(key)`` puts each key into one task.  Instead rows are numbered in (key, order) order
+by a range shuffle, cut into blocks of equal size, and each block receives copies of the neighbouring
+rows its frames reach into.  Unbounded frames are finished with a small table of block summaries.
+There is this one way for every size of key and table; what a block is changes no value.
 """
 
 from __future__ import annotations
@@ -23,44 +21,20 @@ from tapeloom.session import block_rows, pin, shuffle_partitions
 BLOCK, POS, OWN = "_block", "_pos", "_own"
 
 
-HASH_GROUPS = 65_536
+# Range partitions of one numbering: bounds the collected sizes and the block summaries.
+MOST_PARTS = 65_536
 
 
-@dataclass(frozen=True)
-class Size:
-    rows: int
-    fits: bool  # no key has more rows than the limit
-
-
-def measure(df: DataFrame, keys: Sequence[str], limit: int) -> Size:
-    """Row count, and whether every key (the whole table without keys) fits ``limit`` rows.
-
-    Keys are counted in hash groups first, which shuffles a bounded number of rows however
-    many keys there are; a group bounds its keys from above.  Only when some group is larger
-    are the keys themselves counted.
-    """
-    if not keys:
-        rows = df.count()
-        return Size(rows, rows <= limit)
-
-    def largest(*by):
-        top, rows = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
-        return top or 0, rows or 0
-
-    top, rows = largest(F.pmod(F.xxhash64(*keys), F.lit(HASH_GROUPS)).alias("_h"))
-    return Size(rows, top <= limit or largest(*keys)[0] <= limit)
-
-
-def number_rows(df: DataFrame, order: Sequence[str], rows: int, pos: str = POS) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], pos: str = POS) -> tuple[DataFrame, int, int]:
     """Add the zero-based position of each row in the total order of ``order``.
 
-    ``order`` must be unique per row and ``rows`` is their number, which sets how many range
-    partitions are made (about one block each).  The range shuffle balances skewed keys because the
-    later order columns take part in the cut points.  The sorted rows are stored once, so
-    that the cut points stay the same when an executor is lost.
+    ``order`` must be unique per row.  The range shuffle balances skewed keys because the later order
+    columns take part in the cut points; it makes as many parts as other shuffles do.  The sorted rows
+    are stored once, so that the cut points stay the same when an executor is lost and nothing before
+    is computed again.  Also returns the number of rows and how many a block should have.
     """
     spark = df.sparkSession
-    parts = max(shuffle_partitions(spark), -(-rows // block_rows(spark)))
+    parts = min(MOST_PARTS, shuffle_partitions(spark))
     ordered = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -75,12 +49,13 @@ def number_rows(df: DataFrame, order: Sequence[str], rows: int, pos: str = POS)
         offsets.append((row["_slice"], seen - (row["_slice"] << 33)))
         seen += row["count"]
     table = spark.createDataFrame(offsets, "_slice long, _shift long")
-    return (
+    numbered = (
         stored.withColumn("_slice", slice_id)
         .join(F.broadcast(table), "_slice")
         .withColumn(pos, F.col("_mid") + F.col("_shift"))
         .drop("_slice", "_shift", "_mid")
     )
+    return numbered, seen, block_rows(spark) or max(1, -(-seen // parts))
 
 
 @dataclass(frozen=True)
@@ -90,13 +65,12 @@ class Layout:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    split: bool
     before: int = 0
     after: int = 0
 
     @property
     def group(self) -> list[str]:
-        return [*self.keys, BLOCK] if self.split or not self.keys else list(self.keys)
+        return [*self.keys, BLOCK]
 
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.group).orderBy(*self.order)
@@ -110,9 +84,7 @@ class Layout:
     def finish(self, df: DataFrame | None = None) -> DataFrame:
         """Drop the copies and the helper columns."""
         df = self.df if df is None else df
-        if self.split:
-            df = df.filter(F.col(OWN))
-        return df.drop(BLOCK, POS, OWN)
+        return df.filter(F.col(OWN)).drop(BLOCK, POS, OWN)
 
     def carry(
         self,
@@ -123,10 +95,8 @@ class Layout:
         """Add, per row, values folded over all earlier blocks of the row's key.
 
         ``summary`` aggregates one block; ``fold`` combines summaries of earlier blocks with
-        a window.  Without splitting there is no earlier block and the values are null.
+        a window; a key's first block gets nulls.
         """
-        if not self.split:
-            return df.withColumns({name: F.lit(None) for name in fold})
         blocks = df.filter(F.col(OWN)).groupBy(*self.keys, BLOCK).agg(
             *[c.alias(n) for n, c in summary.items()]
         )
@@ -149,18 +119,13 @@ def lay_out(
     after: int = 0,
 ) -> Layout:
     """Prepare ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead."""
-    limit = block_rows(df.sparkSession)
-    size = measure(df, keys, limit)
-    if size.fits:
-        flat = df if keys else df.withColumn(BLOCK, F.lit(0))
-        return Layout(flat, tuple(keys), tuple(order), False, before, after)
-    numbered = number_rows(df, [*keys, *order], size.rows)
+    numbered, _, limit = number_rows(df, [*keys, *order])
     first = F.greatest(F.lit(0), F.floor((F.col(POS) - after) / limit))
     last = F.floor((F.col(POS) + before) / limit)
     placed = numbered.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
         OWN, F.col(BLOCK) == F.floor(F.col(POS) / limit)
     )
-    return Layout(placed, tuple(keys), (POS,), True, before, after)
+    return Layout(placed, tuple(keys), (POS,), before, after)
 
 
 def over_rows(
@@ -174,7 +139,7 @@ def over_rows(
     """Run ``build`` on laid-out rows and return the original rows with its columns.
 
     Given a ``Layout`` the step runs inside it and returns it with the new columns, so that
-    several features share one size check, one shuffle and one sort.  Each step uses up its
+    several features share one numbering, one shuffle and one sort.  Each step uses up its
     reach, because a later one may read the columns of an earlier one.
     """
     if isinstance(df, Layout):
@@ -216,22 +181,13 @@ def last_known(
 
     def build(rows: DataFrame, lay: Layout) -> DataFrame:
         rows = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
-        if lay.split:
-            rows = lay.carry(
-                rows,
-                {
-                    f"_s_{n}": F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(POS)))
-                    for n in values
-                },
-                {
-                    f"_b_{n}": (lambda w, n=n: F.last(f"_s_{n}", ignorenulls=True).over(w))
-                    for n in values
-                },
-            )
-        here = {n: F.last(f"_v_{n}", ignorenulls=True).over(lay.so_far()) for n in values}
-        rows = rows.withColumns(
-            {n: F.coalesce(c, F.col(f"_b_{n}")) if lay.split else c for n, c in here.items()}
+        rows = lay.carry(
+            rows,
+            {f"_s_{n}": F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(POS))) for n in values},
+            {f"_b_{n}": (lambda w, n=n: F.last(f"_s_{n}", ignorenulls=True).over(w)) for n in values},
         )
+        here = {n: F.last(f"_v_{n}", ignorenulls=True).over(lay.so_far()) for n in values}
+        rows = rows.withColumns({n: F.coalesce(c, F.col(f"_b_{n}")) for n, c in here.items()})
         return rows.drop(*[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
 
     return over_rows(df, keys, order, build)
@@ -250,7 +206,7 @@ def drawdown(
 ) -> DataFrame:
     """Largest fall of the running total from its running peak.
 
-    The peak starts at 0, or without ``from_zero`` at the first total.
+    The peak starts at 0, or without ``from_zero`` at the first total.  No rows fall by 0.
     """
     lay = lay_out(df.select(*keys, *order, F.col(value).alias("_r")), keys, order)
     total = lay.df.withColumn("_cum", F.sum("_r").over(lay.so_far()))
@@ -261,15 +217,13 @@ def drawdown(
         F.min("_cum").alias("_lo"),
         F.max(F.col("_peak") - F.col("_cum")).alias("_drop"),
     )
-    if BLOCK not in blocks.columns:
-        blocks = blocks.withColumn(BLOCK, F.lit(0))
     scope = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = scope.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
     top = F.max(F.col("_base") + F.col("_hi")).over(before)
     blocks = blocks.withColumn("_top", F.greatest(F.lit(0.0), top) if from_zero else top)
     worst = F.greatest(F.lit(0.0), F.col("_drop"), F.col("_top") - F.col("_base") - F.col("_lo"))
-    return blocks.groupBy(*keys).agg(F.max(worst).alias(name))
+    return blocks.groupBy(*keys).agg(F.coalesce(F.max(worst), F.lit(0.0)).alias(name))
 
 
 def value_ranks(
@@ -292,17 +246,22 @@ def value_ranks(
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; without keys ``right`` has one row."""
+    if not keys:
+        return left.join(F.broadcast(right))
+    renamed = right.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_j_{k}" for k in keys])
+
+
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, also for keys too long for one task."""
-    if measure(df, keys, block_rows(df.sparkSession)).fits:
-        # One value-count buffer serves all quantiles.
-        found = df.groupBy(*keys).agg(F.percentile(F.col(value), list(probs.values())).alias("_q"))
-        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
+    """Exact linear-interpolated quantiles per key; null for a key without a value."""
     ranks = value_ranks(df, keys, value)
     totals = ranks.groupBy(*keys).agg(F.max("upto").alias("_n"))
-    ranks = ranks.join(totals, list(keys)) if keys else ranks.join(F.broadcast(totals))
+    ranks = join_on(ranks, totals, keys)
     picks = []
     for n, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(p)
@@ -310,6 +269,8 @@ def quantiles(
         picks.append(F.min(F.when(F.col("upto") > F.ceil(at), F.col("value"))).alias(f"_hi_{n}"))
         picks.append(F.max(at - F.floor(at)).alias(f"_w_{n}"))
     picked = ranks.groupBy(*keys).agg(*picks)
+    if keys:
+        picked = join_on(df.select(*keys).distinct(), picked, keys, "left")
     return picked.select(
         *keys,
         *[
@@ -319,6 +280,10 @@ def quantiles(
     )
 
 
+# Rows of one key that a sequential rule handles in one task.
+SCAN_ROWS = 1_000_000
+
+
 def scan_in_rounds(
     df: DataFrame,
     keys: Sequence[str],
@@ -333,21 +298,15 @@ def scan_in_rounds(
     ``step(pdf, state) -> (out_pdf, state)`` handles one ordered block of a key, where
     ``state`` is a tuple of floats or None.  Block ``i`` of every key runs in round ``i``, all
     keys in parallel, and the next round receives the state rows; a task never holds more
-    than one block of a key.  Rounds = rows of the longest key / block size.
+    than one block of a key.  Rounds = rows of the longest key / SCAN_ROWS; the rows are stored by
+    round, so each is read once.
     """
     spark = df.sparkSession
-    limit = block_rows(spark)
+    limit = block_rows(spark) or SCAN_ROWS
     src = df.select(*keys, *order, *values)
-    if measure(src, keys, limit).fits:
-
-        def whole(pdf):
-            return step(pdf.sort_values(list(order), kind="mergesort").reset_index(drop=True), None)[0]
-
-        return src.groupBy(*keys).applyInPandas(whole, out)
-    numbered = pin(
-        row_index(src, keys, order, "_i").withColumn("_round", F.floor(F.col("_i") / limit))
-    )
-    rounds = int(numbered.agg(F.max("_round")).first()[0]) + 1
+    rounds_of = row_index(src, keys, order, "_i").withColumn("_round", F.floor(F.col("_i") / limit))
+    numbered = pin(rounds_of, by=["_round"])
+    rounds = int(numbered.agg(F.coalesce(F.max("_round"), F.lit(0))).first()[0]) + 1
     key_types = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name in keys]
     carried = spark.createDataFrame(
         [], ", ".join([*key_types, *[f"{s} double" for s in state]])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapeloom.operators.ordered import Layout, last_known, lay_out, over_rows
+from tapeloom.operators.ordered import BLOCK, POS, Layout, join_on, last_known, lay_out, over_rows, row_index
 
 Keys = Sequence[str]
 
@@ -302,7 +305,7 @@ def cross_section_rank(df, time, columns: Mapping[str, str]):
 def neutralise(df, time, ret, features: Sequence[str], suffix="_neutral"):
     """Residual of each feature after regression on the mean return of its time."""
     market = df.groupBy(time).agg(F.avg(ret).alias("_mkt"))
-    rows = df.join(market, time)
+    rows = join_on(df, market, [time], "left")
     stats = rows.agg(
         *[F.regr_slope(_c(f), _c("_mkt")).alias(f"_b_{f}") for f in features],
         *[F.regr_intercept(_c(f), _c("_mkt")).alias(f"_a_{f}") for f in features],
@@ -462,119 +465,208 @@ def regime_changes(df, keys, order, regime):
 # --- recursions -----------------------------------------------------------------------------
 
 
+def _entering(rows: DataFrame, lay: Layout, parts: DataFrame, step, state: Sequence[str]) -> DataFrame:
+    """Join to each row the state in which its block is entered.
+
+    ``parts`` has one row per (key, block); ``step(values, state) -> state`` carries a state over one
+    of them.  A key's parts, at most as many as there are range partitions, are folded in order.
+    """
+    names = list(state)
+    fields = [f for f in parts.schema.fields if f.name in (*lay.keys, BLOCK)]
+    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
+    columns = [f.name for f in fields]
+
+    def fold(pdf):
+        pdf = pdf.sort_values(BLOCK)
+        held, out = None, []
+        for row in pdf.to_dict("records"):
+            out.append([row[c] for c in columns] + (list(held) if held is not None else [None] * len(names)))
+            held = step(row, held)
+        return pd.DataFrame(out, columns=columns + names)
+
+    grouped = parts.groupBy(*lay.keys) if lay.keys else parts.groupBy(F.lit(0))
+    return join_on(rows, grouped.applyInPandas(fold, schema), [*lay.keys, BLOCK], "left")
+
+
 def ewm(df: DataFrame, keys: Keys, order: Keys, spans: Mapping[str, tuple[str, float]], start: float | None = None) -> DataFrame:
     """Exponential means ``e = (1-a)·e + a·x`` per key; ``spans`` maps name -> (column, alpha).
 
-    Without ``start`` the first value starts the recursion.  A split key re-reads enough
-    earlier rows that the weight of anything older is below double rounding (2**-57).
+    Without ``start`` the first value starts the recursion.  A null value repeats the mean, and the next
+    one weighs more by the rows in between.  Within a block the mean is a line A·m + B in the mean m
+    that its first value makes, so blocks are computed side by side and the exact means at their
+    starts follow from one row per block.
     """
-    reach = int(max(40.0 / a for _, a in spans.values())) + 1
-    lay = lay_out(df, keys, order, before=reach)
-    rows = lay.df
-    fields = [f for f in rows.schema.fields]
-    from pyspark.sql import types as T
-
-    schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in spans])
-    order_cols, items = list(lay.order), dict(spans)
+    lay = lay_out(df, keys, order)
+    items = dict(spans)
+    lines = [T.StructField(f"_{part}_{n}", T.DoubleType()) for n in items for part in "ab"]
+    schema = T.StructType(lay.df.schema.fields + lines)
 
     def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
+        pdf = pdf.sort_values(POS).reset_index(drop=True)
         for name, (col, alpha) in items.items():
-            x = pdf[col].to_numpy(dtype=float)
-            if start is not None:
-                x = np.concatenate([[start], x])
-            e = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-            pdf[name] = e[1:] if start is not None else e
+            x = pdf[col].astype(float)
+            first = x.first_valid_index()
+            zero, one = x.copy(), x.where(x.isna(), 0.0)
+            if first is not None:
+                zero[first], one[first] = 0.0, 1.0
+            pdf[f"_a_{name}"] = one.ewm(alpha=alpha, adjust=False).mean()
+            pdf[f"_b_{name}"] = zero.ewm(alpha=alpha, adjust=False).mean()
         return pdf
 
-    return lay.finish(rows.groupBy(*lay.group).applyInPandas(run, schema))
+    rows = lay.df.groupBy(*lay.group).applyInPandas(run, schema)
+    for name, (col, alpha) in items.items():
+        a, b = f"_a_{name}", f"_b_{name}"
+        here = F.when(_c(col).isNotNull() & ~F.isnan(_c(col).cast("double")), _c(POS))
+        parts = rows.groupBy(*lay.keys, BLOCK).agg(
+            F.min(here).alias("first"), F.max(here).alias("last"), F.min(POS).alias("low"), F.max(POS).alias("high"),
+            F.min_by(_c(col).cast("double"), here).alias("x"), F.max_by(a, here).alias("a"), F.max_by(b, here).alias("b"),
+        )
+
+        def step(part, held, alpha=alpha):
+            mean, gap = held if held is not None else (start, 0.0)
+            if part["first"] is None or pd.isna(part["first"]):
+                return mean, gap + part["high"] - part["low"] + 1
+            if mean is None or pd.isna(mean):
+                at = part["x"]
+            else:
+                old = (1 - alpha) ** (gap + part["first"] - part["low"] + 1)
+                at = (old * mean + alpha * part["x"]) / (old + alpha)
+            return part["a"] * at + part["b"], part["high"] - part["last"]
+
+        rows = _entering(rows, lay, parts, step, ["_mean", "_gap"])
+        rows = join_on(rows, parts.select(*lay.keys, BLOCK, F.col("first").alias("_first"), F.col("low").alias("_low"), F.col("x").alias("_x")), [*lay.keys, BLOCK], "left")
+        mean = F.coalesce(F.nanvl("_mean", F.lit(None).cast("double")), F.lit(start).cast("double"))
+        old = F.pow(F.lit(1.0 - alpha), F.coalesce(_c("_gap"), F.lit(0.0)) + _c("_first") - _c("_low") + 1)
+        at = F.coalesce((old * mean + alpha * _c("_x")) / (old + alpha), _c("_x"))
+        value = F.when(_c("_first").isNull() | (_c(POS) < _c("_first")), mean).otherwise(_c(a) * at + _c(b))
+        rows = rows.withColumn(name, value).drop(a, b, "_mean", "_gap", "_first", "_low", "_x")
+    return lay.finish(rows)
 
 
 def macd(df, keys, order, price, short=12, long=26, signal=9):
-    """MACD line and its signal line, both recursions in one pass over each group."""
-    from pyspark.sql import types as T
+    """MACD line (difference of two exponential means) and its signal line (the mean of that)."""
 
     def alpha(n):
         return 2.0 / (n + 1)
 
-    # The signal forgets over its own span what the line forgot over the long one.
-    reach = int(40.0 / alpha(long)) + int(40.0 / alpha(signal)) + 2
-    lay = lay_out(df, keys, order, before=reach)
-    schema = T.StructType(lay.df.schema.fields + [T.StructField(n, T.DoubleType()) for n in ("macd", "macd_signal")])
-    order_cols = list(lay.order)
+    rows = ewm(df, keys, order, {"_short": (price, alpha(short)), "_long": (price, alpha(long))})
+    rows = rows.withColumn("macd", _c("_short") - _c("_long")).drop("_short", "_long")
+    return ewm(rows, keys, order, {"macd_signal": ("macd", alpha(signal))})
 
-    def run(pdf):
-        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
-        p = pdf[price].astype(float)
-        line = p.ewm(alpha=alpha(short), adjust=False).mean() - p.ewm(alpha=alpha(long), adjust=False).mean()
-        return pdf.assign(macd=line, macd_signal=line.ewm(alpha=alpha(signal), adjust=False).mean())
 
-    return lay.finish(lay.df.groupBy(*lay.group).applyInPandas(run, schema))
+def _gains(first: int, n: int, process_var: float, measurement_var: float):
+    """Filter gains of rows ``first`` to ``first + n`` of a series, which do not depend on its values.
+
+    The covariance after ``first`` rows is a fraction of matrices, P' = (C + D P)(A + B P)^-1, whose
+    powers are taken by squaring; from there it is followed row by row until it no longer changes.
+    """
+    q = process_var * np.array([[0.25, 0.5], [0.5, 1.0]])
+    r = measurement_var
+    cov = np.eye(2)
+    if first:
+        # After predict and update: P -> (F P F' + Q) with a rank-one correction.
+        f = np.array([[1.0, 1.0], [0.0, 1.0]])
+        h = np.array([[1.0, 0.0], [0.0, 0.0]]) / r
+        back = np.linalg.inv(f).T
+        predict = np.block([[f, q @ back], [np.zeros((2, 2)), back]])  # [X; Y], P = X Y^-1
+        update = np.block([[np.eye(2), np.zeros((2, 2))], [h, np.eye(2)]])
+        power, whole, left = update @ predict, np.eye(4), first
+        while left:
+            if left & 1:
+                whole = power @ whole
+                whole /= np.abs(whole).max()
+            power = power @ power
+            power /= np.abs(power).max()
+            left >>= 1
+        x = whole @ np.vstack([cov, np.eye(2)])
+        cov = x[:2] @ np.linalg.inv(x[2:])
+        cov = (cov + cov.T) / 2
+    p00, p01, p11 = cov[0, 0], cov[0, 1], cov[1, 1]
+    gains = np.empty((n, 2))
+    for i in range(n):
+        before = p00, p01, p11
+        p00, p01, p11 = p00 + 2 * p01 + p11 + q[0, 0], p01 + p11 + q[0, 1], p11 + q[1, 1]
+        gains[i] = p00 / (p00 + r), p01 / (p00 + r)
+        p00, p01, p11 = (1 - gains[i, 0]) * p00, (1 - gains[i, 0]) * p01, p11 - gains[i, 1] * p01
+        if (p00, p01, p11) == before:
+            gains[i:] = gains[i]
+            break
+    return gains
+
+
+def _running_maps(steps, shifts):
+    """For each row the map from the state before the first row to the state after it, given the map of each
+    row alone: matrices (n, 2, 2) and shifts (n, 2), composed pairwise over doubling distances."""
+    steps, shifts, reach = steps.copy(), shifts.copy(), 1
+    while reach < len(steps):
+        shifts[reach:] += np.einsum("nij,nj->ni", steps[reach:], shifts[:-reach].copy())
+        steps[reach:] = steps[reach:] @ steps[:-reach].copy()
+        reach *= 2
+    return steps, shifts
 
 
 def kalman(df, keys, order, price, process_var=1e-5, measurement_var=1e-2, name="kalman"):
-    """Constant-velocity filter started at zero with unit covariance: level and trend.
+    """Constant-velocity filter started at zero with unit covariance: level and trend; a null price is 0.
 
-    The gains do not depend on the data and settle within a few hundred rows; split keys
-    re-read 4096 earlier rows, by which time the effect of the start is below rounding.
+    The gains depend on a row's place in its key only.  With them each row is an affine map of (level,
+    trend); blocks compose their maps side by side, and the exact states at their starts follow from one
+    map per block.
     """
-    from pyspark.sql import types as T
-
-    lay = lay_out(df, keys, order, before=4096)
-    schema = T.StructType(
-        lay.df.schema.fields
-        + [T.StructField(f"{name}_level", T.DoubleType()), T.StructField(f"{name}_trend", T.DoubleType())]
-    )
-    order_cols = list(lay.order)
+    rows = row_index(df, keys, order, "_i")
+    lay = lay_out(rows, keys, order)
+    parts = [f"_m{i}" for i in range(6)]
+    schema = T.StructType(lay.df.schema.fields + [T.StructField(p, T.DoubleType()) for p in parts])
 
     def run(pdf):
-        pdf = pdf.sort_values(order_cols, kind="mergesort").reset_index(drop=True)
-        level = trend = 0.0
-        p00, p01, p11 = 1.0, 0.0, 1.0
-        levels, trends = [], []
-        for z in pdf[price].fillna(0.0).tolist():
-            level += trend
-            p00, p01, p11 = (
-                p00 + 2 * p01 + p11 + 0.25 * process_var,
-                p01 + p11 + 0.5 * process_var,
-                p11 + process_var,
-            )
-            s = p00 + measurement_var
-            k0, k1, miss = p00 / s, p01 / s, z - level
-            level, trend = level + k0 * miss, trend + k1 * miss
-            p00, p01, p11 = (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
-            levels.append(level)
-            trends.append(trend)
-        return pdf.assign(**{f"{name}_level": levels, f"{name}_trend": trends})
+        pdf = pdf.sort_values(POS).reset_index(drop=True)
+        z = pdf[price].fillna(0.0).to_numpy(dtype=float)
+        gains = _gains(int(pdf["_i"].iloc[0]), len(z), process_var, measurement_var)
+        move = np.array([[1.0, 1.0], [0.0, 1.0]])
+        steps = move - gains[:, :, None] * move[0]
+        steps, shifts = _running_maps(steps, gains * z[:, None])
+        for p, values in zip(parts, (*steps.reshape(-1, 4).T, *shifts.T)):
+            pdf[p] = values
+        return pdf
 
-    return lay.finish(lay.df.groupBy(*lay.group).applyInPandas(run, schema))
+    rows = lay.df.groupBy(*lay.group).applyInPandas(run, schema)
+    ends = rows.groupBy(*lay.keys, BLOCK).agg(*[F.max_by(p, POS).alias(p) for p in parts])
+
+    def step(part, held):
+        level, trend = held if held is not None else (0.0, 0.0)
+        a, b, c, d, e, f = (part[p] for p in parts)
+        return a * level + b * trend + e, c * level + d * trend + f
+
+    rows = _entering(rows, lay, ends, step, ["_level", "_trend"])
+    level, trend = (F.coalesce(_c(x), F.lit(0.0)) for x in ("_level", "_trend"))
+    rows = rows.withColumns(
+        {
+            f"{name}_level": _c("_m0") * level + _c("_m1") * trend + _c("_m4"),
+            f"{name}_trend": _c("_m2") * level + _c("_m3") * trend + _c("_m5"),
+        }
+    )
+    return lay.finish(rows).drop("_i", *parts, "_level", "_trend")
 
 
 def ewma_anomaly(df, keys, order, value, threshold=3.0, alpha=0.3):
     """Is the last value further than ``threshold`` weighted deviations from the weighted mean?
 
-    Weights (1-a)^age over the newest rows; older rows than 40/a weigh less than rounding, so
-    only the newest rows of each key take part (kept by rank, which Spark prunes map-side).
+    Weights (1-a)^age over all rows of a key, newest first; they are summed per block, no order needed
+    once rows are numbered.
     """
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    reach = int(40.0 / alpha) + 1
-    rows = df.withColumn("_age", F.row_number().over(newest)).filter(_c("_age") <= reach)
-    w = F.pow(F.lit(1.0 - alpha), _c("_age") - 1)
+    ranked = row_index(df, keys, order, "_i")
+    last = ranked.groupBy(*keys).agg(F.max("_i").alias("_last"))
+    rows = join_on(ranked, last, keys).withColumn("_age", _c("_last") - _c("_i"))
+    w = F.pow(F.lit(1.0 - alpha), _c("_age"))
     x = _c(value)
     stats = rows.groupBy(*keys).agg(
         F.max_by(value, -_c("_age")).alias("last_value"),
         F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"), F.sum(w * x).alias("_wx"),
     )
     stats = stats.withColumn("ewm_mean", _c("_wx") / _c("_w"))
-    spread = rows.join(stats.select(*keys, "ewm_mean"), list(keys)).groupBy(*keys).agg(
+    spread = join_on(rows, stats.select(*keys, "ewm_mean"), keys).groupBy(*keys).agg(
         F.sum(w * F.pow(x - _c("ewm_mean"), 2)).alias("_ss")
     )
-    out = stats.join(spread, list(keys))
+    out = join_on(stats, spread, keys)
     bias = _c("_w") * _c("_w") - _c("_w2")
     var = F.coalesce(F.try_divide(_c("_ss") / _c("_w") * _c("_w") * _c("_w"), bias), F.lit(0.0))
     out = out.withColumn("ewm_std", F.when(bias > 1e-15, F.sqrt(var)).otherwise(0.0))

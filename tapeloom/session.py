@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows one task may hold for one key before the key is split into blocks.
+# Rows of a block of ordered operators; unset, rows are spread over the shuffle partitions.
 BLOCK_ROWS_CONF = "spark.tapeloom.blockRows"
-DEFAULT_BLOCK_ROWS = 1_000_000
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "tapeloom") -> SparkSession:
@@ -34,7 +34,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "ta
 
 
 def block_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
+    return int(spark.conf.get(BLOCK_ROWS_CONF, "0"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -57,14 +57,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and return the stored rows.
 
     Cuts the lineage: a lost executor re-reads the table, and values that depend on how rows
     were placed (positions, samples) stay what they were.  Later steps read only the columns
-    they need and Spark knows the true size.
+    they need and Spark knows the true size.  ``by`` sorts rows into folders, so that a filter on
+    those columns reads its folders only.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pinned-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
