@@ -35,12 +35,12 @@ def feature(name: str) -> Column:
 
 
 def fit_clip(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> dict[str, tuple[float, float]]:
-    """Clip bounds per column: one small row of exact quantiles."""
-    out = {}
-    for c in columns:
-        row = quantiles(df.select(c), [], c, {"lo": low, "hi": high}).first()
-        out[c] = (row["lo"], row["hi"])
-    return out
+    """Clip bounds per column: exact quantiles of all columns in one pass over (column, value) rows."""
+    from tapeloom.operators.drift import melt
+
+    found = quantiles(melt(df, columns), ["feature"], "value", {"lo": low, "hi": high}).collect()  # one row per column
+    by_name = {r["feature"]: (r["lo"], r["hi"]) for r in found}
+    return {c: by_name.get(c, (None, None)) for c in columns}
 
 
 def clip(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:

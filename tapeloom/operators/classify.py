@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -243,8 +246,8 @@ def bootstrap(df: DataFrame, row_id: str, y: str, p: str, profit: str, replicate
     rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     rows = df.select(_c(row_id).alias("_id"), _c(y).alias("y"), _c(p).alias("p"), _c(profit).alias("r")).withColumn("rep", rep)
     u = (F.pmod(F.xxhash64("_id", "rep", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    # Inverse of the Poisson(1) distribution function (fixed values, cumulative probabilities).
-    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+    # Inverse of the Poisson(1) distribution function, up to where it is 1 in double precision.
+    cdf = list(accumulate(exp(-1) / factorial(k) for k in range(19)))
     rows = rows.withColumn("_u", u).withColumn("w", sum(((_c("_u") > c).cast("int") for c in cdf), F.lit(0)))
     w, r, hit = _c("w"), _c("r"), (_c("p") >= 0.5).cast("int") == _c("y")
     n = F.sum(w)

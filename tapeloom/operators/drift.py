@@ -67,6 +67,27 @@ def ks(baseline: DataFrame, recent: DataFrame, columns: Sequence[str]) -> DataFr
     )
 
 
+def sample_gaps(reference, recent, bins: int = 10) -> tuple[float, float]:
+    """PSI over the reference's quantile bins and the KS distance of two arrays that fit a task.
+
+    Both are read off the two distributions at the merged distinct values, as the table versions do.
+    """
+    import numpy as np
+
+    values, place = np.unique(np.concatenate([reference, recent]), return_inverse=True)
+    counts = np.zeros((2, len(values) + 1))
+    np.add.at(counts, (np.repeat([0, 1], [len(reference), len(recent)]), place + 1), 1.0)
+    upto = counts.cumsum(axis=1) / counts.sum(axis=1, keepdims=True)
+    cuts = np.unique(np.quantile(reference, np.linspace(0, 1, bins + 1)))
+    psi = 0.0
+    if len(cuts) > 1:
+        # Bins start at a cut; the last one ends with its cut.
+        at = np.append(np.searchsorted(values, cuts[:-1], "left"), np.searchsorted(values, cuts[-1], "right"))
+        shares = np.diff(upto[:, at], axis=1)
+        psi = float(((shares[0] - shares[1]) * np.log((shares[0] + 1e-6) / (shares[1] + 1e-6))).sum())
+    return psi, float(np.abs(upto[0] - upto[1]).max())
+
+
 def drift_report(baseline: DataFrame, recent: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
     """Mean PSI and KS over features, and whether the larger one exceeds the threshold."""
     per = psi(baseline, recent, columns).join(ks(baseline, recent, columns), "feature", "full")

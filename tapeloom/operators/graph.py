@@ -57,6 +57,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: fl
     """
     n = vertices.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
+    if not n:
+        return vertices.select("id").withColumn("rank", F.lit(0.0))
     links = pin(edges.join(out, "src").filter("_out > 0").select("src", "dst", (_c("weight") / _c("_out")).alias("share")))
     ranks = pin(vertices.select("id").distinct().withColumn("rank", F.lit(1.0 / n)))
     for _ in range(max_iter):
@@ -99,21 +101,48 @@ def spectral_embedding(edges: DataFrame, vertices: DataFrame, dim: int = 8) -> D
     return emb.join(F.broadcast(index), "i").select("id", "embedding")
 
 
+def pair_sums(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[float]]:
+    """Sums over the rows where both columns of a pair have a value, for all pairs: ``i, j, n, si, sj, sij,
+    siijj`` of deviations from the column means, which are returned too.
+
+    A task adds up matrices over its rows and returns one row per pair, so the plan has one expression
+    per column and rows are not multiplied.
+    """
+    cols = [_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    rows = df.select(*cols)
+    names = rows.columns
+    mean = [float(m) if m is not None else 0.0 for m in rows.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))) for c in names]).first()]
+
+    def add(batches):
+        import numpy as np
+        import pandas as pd
+
+        p = len(names)
+        out = np.zeros((5, p, p))
+        for batch in batches:
+            x = batch[names].to_numpy(dtype=float) - np.array(mean)
+            has = ~np.isnan(x)
+            x, has = np.where(has, x, 0.0), has.astype(float)
+            squares = x * x
+            out += np.array([has.T @ has, x.T @ has, has.T @ x, x.T @ x, squares.T @ squares])
+        i, j = np.indices((p, p)).reshape(2, -1)
+        yield pd.DataFrame({"i": i, "j": j, **dict(zip(("n", "si", "sj", "sij", "siijj"), out.reshape(5, -1)))})
+
+    parts = rows.mapInPandas(add, "i int, j int, n double, si double, sj double, sij double, siijj double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij", "siijj")]), mean
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long matrix (a, b, covariance, correlation) of the listed columns in one pass."""
-    cols = list(columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    stats = df.agg(
-        *[F.covar_samp(_c(a).cast("double"), _c(b).cast("double")).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.var_samp(_c(c).cast("double")).alias(f"_v_{c}") for c in cols],
-    )
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        base = F.sqrt(_c(f"_v_{a}") * _c(f"_v_{b}"))
-        rho = F.when(base > 0, F.try_divide(_c(f"_c{i}"), base))
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), _c(f"_c{i}").alias("covariance"), rho.alias("correlation")))
-    return stats.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
+    """Long matrix (a, b, covariance, correlation) of the listed columns; a pair counts rows with both."""
+    sums, _ = pair_sums(df, columns)
+    cov = F.when(_c("n") > 1, (_c("sij") - _c("si") * _c("sj") / _c("n")) / (_c("n") - 1))
+    cells = sums.select("i", "j", cov.alias("covariance"))
+    spread = cells.filter("i = j").select(_c("i").alias("k"), _c("covariance").alias("v"))  # one row per column
+    cells = cells.join(F.broadcast(spread.selectExpr("k AS i", "v AS vi")), "i").join(F.broadcast(spread.selectExpr("k AS j", "v AS vj")), "j")
+    base = F.sqrt(_c("vi") * _c("vj"))
+    name = F.array(*[F.lit(c) for c in columns])
+    rho = F.when(base > 0, F.try_divide("covariance", base))
+    return cells.select(F.get(name, _c("i")).alias("a"), F.get(name, _c("j")).alias("b"), "covariance", rho.alias("correlation"))
 
 
 def average_volume(df: DataFrame, symbol: str, volume: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.operators.ordered import lay_out, over_rows, quantiles, row_index
+from tapeloom.operators.ordered import OWN, POS, lay_out, over_rows, quantiles, row_index
 
 
 def _c(name: str) -> Column:
@@ -186,6 +188,19 @@ def _uniform(*parts) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) + 0.5) / float(1 << 53)
 
 
+def _beta(row: str, shape: float, seed: int, trials: int = 24) -> Column:
+    """A Beta(shape, shape) draw per row as a fixed function of its number (Johnk's method).
+
+    Of pairs x = u^(1/shape), y = v^(1/shape) the first with x + y <= 1 gives x / (x + y).  A pair fails
+    with probability 0.16 for a shape of 0.4, so that none is left after ``trials``.
+    """
+    def pair(i):
+        x, y = (F.pow(_uniform(row, F.lit(seed), F.lit(1000 + 2 * i + j)), F.lit(1 / shape)) for j in (0, 1))
+        return F.when(x + y <= 1, x / (x + y))
+
+    return F.coalesce(*[pair(i) for i in range(trials)], F.lit(0.5))
+
+
 def mixup(df: DataFrame, order: Sequence[str], columns: Sequence[str], time: str, ratio: float = 0.5, seed: int = 0) -> DataFrame:
     """Original rows plus ``ratio`` times as many mixtures of two random rows.
 
@@ -202,14 +217,7 @@ def mixup(df: DataFrame, order: Sequence[str], columns: Sequence[str], time: str
         {"_a": F.floor(_uniform("_k", F.lit(seed), F.lit(1)) * total), "_b": F.floor(_uniform("_k", F.lit(seed), F.lit(2)) * total)}
     )
 
-    @F.pandas_udf(T.DoubleType())
-    def beta(k):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([np.random.default_rng([seed, int(i)]).beta(0.4, 0.4) for i in k])
-
-    new = new.withColumn("_lam", beta("_k"))
+    new = new.withColumn("_lam", _beta("_k", 0.4, seed))
     cols = [*columns, time]
     left = rows.select(_c("_i").alias("_a"), *[_c(c).alias(f"_x_{c}") for c in cols])
     right = rows.select(_c("_i").alias("_b"), *[_c(c).alias(f"_y_{c}") for c in cols])
@@ -232,70 +240,69 @@ def mixup(df: DataFrame, order: Sequence[str], columns: Sequence[str], time: str
     return df.select(*columns, time).withColumn("is_synthetic", F.lit(False)).unionByName(out)
 
 
-def dtw_mixup(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: str, window: int = 8, ratio: float = 0.5, seed: int = 0) -> DataFrame:
+def _warped_costs(gaps: np.ndarray) -> np.ndarray:
+    """Least total gap from the first cell to each cell, over steps to the next row, column or both, for a
+    stack of gap matrices; cells of one anti-diagonal are filled at once."""
+    many, n, m = gaps.shape
+    out = np.full((many, n + 1, m + 1), np.inf)
+    out[:, 0, 0] = 0.0
+    for diagonal in range(n + m - 1):
+        i = np.arange(max(0, diagonal - m + 1), min(n, diagonal + 1))
+        j = diagonal - i
+        before = np.minimum(np.minimum(out[:, i, j + 1], out[:, i + 1, j]), out[:, i, j])
+        out[:, i + 1, j + 1] = gaps[:, i, j] + before
+    return out[:, 1:, 1:]
+
+
+def warped_partner(window: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each place of ``window`` the mean of the places of ``other`` that a best warping pairs with it.
+
+    A cell is on a best warping if the least costs to it from both ends make up the total.
+    """
+    gaps = np.abs(window[:, None] - other[None, :])
+    to = _warped_costs(gaps[None])[0]
+    back = _warped_costs(gaps[None, ::-1, ::-1])[0][::-1, ::-1]
+    paired = np.isclose(to + back - gaps, to[-1, -1], rtol=1e-9, atol=1e-12)
+    return (paired * other).sum(axis=1) / paired.sum(axis=1)
+
+
+def dtw_mixup(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: str, window: int = 8, ratio: float = 0.5, seed: int = 0, search: int = 512) -> DataFrame:
     """Windows mixed with the nearest earlier window by dynamic time warping.
 
-    Each block of rows of a key takes its sampled windows and looks for the nearest among
-    the windows of the preceding ``4 * window`` rows, so the search per window is bounded and
-    nothing is compared across the whole series.
+    Each sampled window looks for the nearest among the windows that end in the ``search`` rows before its
+    start, all of them at once; ``search`` sets how far back a partner may lie.  Draws are hashes of the
+    row's order, so they don't depend on placement.
     """
-    reach = 5 * window
-    lay = lay_out(df.select(*keys, *order, price), keys, order, before=reach)
-    cols, group = list(lay.order), list(lay.group)
-    own = "_own"
+    lay = lay_out(df.select(*keys, *order, price), keys, order, before=search + 2 * window)
+    group = list(lay.group)
     schema = T.StructType(
         [lay.df.schema[k] for k in keys] + [lay.df.schema[o] for o in order]
         + [T.StructField("mixed", T.ArrayType(T.DoubleType())), T.StructField("distance", T.DoubleType()), T.StructField("lam", T.DoubleType())]
     )
-    key_list, order_list = list(keys), list(order)
-
-    def path(a, b):
-        import numpy as np
-
-        n, m = len(a), len(b)
-        cost = np.full((n + 1, m + 1), np.inf)
-        cost[0, 0] = 0.0
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
-        steps, i, j = [], n, m
-        while i > 0 and j > 0:
-            steps.append((i - 1, j - 1))
-            best = min((cost[i - 1, j - 1], 0), (cost[i - 1, j], 1), (cost[i, j - 1], 2))[1]
-            i, j = (i - 1, j - 1) if best == 0 else (i - 1, j) if best == 1 else (i, j - 1)
-        return float(cost[n, m]), steps[::-1]
+    names = [*keys, *order]
+    draw = F.xxhash64(*order, F.lit(seed))
+    rows = lay.df.withColumns(
+        {"_chosen": (F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < ratio / window) & F.col(OWN), "_draw": F.pmod(draw, F.lit((1 << 62) - 1))}
+    )
 
     def run(pdf):
-        import hashlib
-
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(cols, kind="mergesort").reset_index(drop=True)
+        pdf = pdf.sort_values(POS).reset_index(drop=True)
         x = pdf[price].to_numpy(dtype=float)
+        if len(x) < 2 * window:
+            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        every = np.lib.stride_tricks.sliding_window_view(x, window)
         out = []
-        for end in range(2 * window - 1, len(pdf)):
-            if not bool(pdf[own].iloc[end]):
-                continue
-            ident = "|".join(str(pdf[o].iloc[end]) for o in order_list)
-            draw = int.from_bytes(hashlib.blake2b(f"{seed}|{ident}".encode(), digest_size=8).digest(), "big")
-            if draw / 2**64 >= ratio / window:
+        for end in np.flatnonzero(pdf["_chosen"].to_numpy()):
+            start = end - window + 1
+            if start < window:
                 continue
-            a = x[end - window + 1 : end + 1]
-            best = None
-            for other in range(max(window - 1, end - 4 * window), end - window + 1):
-                b = x[other - window + 1 : other + 1]
-                d, steps = path(a, b)
-                if best is None or d < best[0]:
-                    best = (d, steps, b)
-            lam = float(np.random.default_rng(draw).beta(0.4, 0.4))
-            sums, counts = np.zeros(window), np.zeros(window)
-            for i, j in best[1]:
-                sums[i] += lam * a[i] + (1 - lam) * best[2][j]
-                counts[i] += 1
-            row = {c: pdf[c].iloc[end] for c in [*key_list, *order_list]}
-            out.append({**row, "mixed": (sums / counts).tolist(), "distance": best[0], "lam": lam})
-        names = [f.name for f in schema.fields]
-        return pd.DataFrame(out, columns=names)
-
-    return lay.df.groupBy(*group).applyInPandas(run, schema)
+            mine = every[start]
+            others = every[max(0, start - window - search) : start - window + 1]
+            costs = _warped_costs(np.abs(mine[None, :, None] - others[:, None, :]))[:, -1, -1]
+            best = int(np.argmin(costs))
+            lam = float(np.random.default_rng(int(pdf["_draw"].iloc[end])).beta(0.4, 0.4))
+            mixed = lam * mine + (1 - lam) * warped_partner(mine, others[best])
+            out.append([*pdf.loc[end, names], mixed.tolist(), float(costs[best]), lam])
+        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    return rows.groupBy(*group).applyInPandas(run, schema)

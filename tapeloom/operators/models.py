@@ -12,22 +12,20 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, RobustScaler, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.formula import evaluate_spec, spec_complexity
-from tapeloom.functions.scoring import mahalanobis, sigmoid, total
+from tapeloom.functions.scoring import fit_clip, mahalanobis, sigmoid, total
 from tapeloom.operators.classify import auc
-from tapeloom.operators.graph import correlation_matrix
+from tapeloom.operators.graph import correlation_matrix, pair_sums
 from tapeloom.operators.labels import purged_folds
 from tapeloom.operators.ordered import drawdown, over_rows, quantiles
 from tapeloom.session import pin
 
-MAX_SIDE = 2000  # largest matrix side taken to the driver
-
 
 def _c(name: str) -> Column:
     return F.col(name)
@@ -50,17 +48,42 @@ def classifier(name: str, features: Sequence[str], label: str, weight: str | Non
     return Pipeline(stages=stages)
 
 
+def fit_classifier(train: DataFrame, name: str, features: Sequence[str], label: str, weight: str | None = None, C: float = 1.0, **settings) -> PipelineModel:
+    """Fit a classifier on features clipped to their 1 % and 99 % quantiles, centred and scaled robustly.
+
+    For logistic regression ``C`` weighs the summed loss against half the squared coefficients, as other
+    libraries have it; MLlib averages the loss, so its penalty is 1 / (C * sum of weights).  Null features
+    count as 0.
+    """
+    from tapeloom.registry import MODELS
+
+    filled = train.withColumns({f: F.coalesce(_c(f).cast("double"), F.lit(0.0)) for f in features})
+    bounds = fit_clip(filled, features)
+    if name == "logreg":
+        mass = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+        settings = {"standardization": False, "regParam": 1.0 / (C * float(mass)), **settings}
+    clipped = ", ".join(
+        f"least(greatest(coalesce(cast(`{f}` AS double), 0D), {lo!r}D), {hi!r}D) AS `_clipped_{f}`" for f, (lo, hi) in bounds.items()
+    )
+    return Pipeline(stages=[
+        SQLTransformer(statement=f"SELECT *, {clipped} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_clipped_{f}" for f in features], outputCol="_clipped"),
+        RobustScaler(inputCol="_clipped", outputCol="features", withCentering=True),
+        MODELS.get(name)(label, weight, **settings),
+    ]).fit(train)
+
+
 def positive_probability(df: DataFrame, name: str = "p") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
 def fold_fits(df: DataFrame, order: Sequence[str], features: Sequence[str], label: str, weight: str | None, model: str = "logreg", n_splits: int = 3, gap: int = 1, **settings) -> DataFrame:
     """Out-of-fold probabilities of purged walk-forward fits: (order, label, fold, p)."""
-    rows = purged_folds(df, order, n_splits, gap)
+    rows = pin(purged_folds(df, order, n_splits, gap))
     out = None
     for k in range(n_splits):
         part = rows.filter(_c("fold") == k)
-        fitted = classifier(model, features, label, weight, **settings).fit(part.filter("role = 'train'"))
+        fitted = fit_classifier(part.filter("role = 'train'"), model, features, label, weight, **settings)
         scored = positive_probability(fitted.transform(part.filter("role = 'validation'")))
         scored = scored.select(*order, _c(label).alias("y"), "fold", "p")
         out = scored if out is None else out.unionByName(scored)
@@ -77,7 +100,7 @@ def voting_probability(df: DataFrame, models: Mapping[str, PipelineModel], weigh
     """Weighted mean of the probabilities of several fitted models."""
     kept = df.columns
     for name, model in models.items():
-        df = positive_probability(model.transform(df), f"_p_{name}").drop("features")
+        df = positive_probability(model.transform(df), f"_p_{name}").select(*df.columns, f"_p_{name}")
     p = total([_c(f"_p_{n}") * float(weights[n]) for n in models]) / float(sum(weights[n] for n in models))
     return df.select(*kept, p.alias("p"))
 
@@ -132,21 +155,19 @@ def linear_autoencoder(df: DataFrame, features: Sequence[str], k: int) -> dict:
 
 
 def _moments(df: DataFrame, features: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Count, mean, covariance and the mean of products of squared deviations, in two passes."""
-    p = len(features)
-    if p > MAX_SIDE:
-        raise ValueError(f"at most {MAX_SIDE} features")
-    x = [_c(f).cast("double") for f in features]
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]).first()
-    n, mean = int(first["n"]), np.array([first[f"m{i}"] for i in range(p)], dtype=float)
-    d = [v - float(m) for v, m in zip(x, mean)]
-    at = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(*[F.avg(d[i] * d[j]).alias(f"c{i}_{j}") for i, j in at], *[F.avg(d[i] * d[i] * d[j] * d[j]).alias(f"q{i}_{j}") for i, j in at]).first()
-    cov, fourth = np.zeros((p, p)), np.zeros((p, p))
-    for i, j in at:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-        fourth[i, j] = fourth[j, i] = row[f"q{i}_{j}"]
-    return n, mean, cov, fourth
+    """Count, mean, covariance and the mean of products of squared deviations; rows with a null have no part."""
+    x = [_c(f).cast("double").alias(f) for f in features]
+    clean = df.select(*x).dropna()
+    sums, at = pair_sums(clean, features)
+    p, n = len(features), 0
+    first, second, fourth = np.zeros((p, p)), np.zeros((p, p)), np.zeros((p, p))
+    for r in sums.collect():  # features x features rows
+        i, j, n = r["i"], r["j"], int(r["n"])
+        first[i, j], second[i, j], fourth[i, j] = r["si"], r["sij"], r["siijj"]
+    mean = np.array(at, dtype=float)
+    if not n:
+        return 0, mean, second, fourth
+    return n, mean + np.diag(first) / n, second / n - np.outer(np.diag(first), np.diag(first)) / n**2, fourth / n
 
 
 def shrinkage_covariance(df: DataFrame, features: Sequence[str]) -> dict:
@@ -182,8 +203,6 @@ def fold_ood(df: DataFrame, order: Sequence[str], features: Sequence[str], n_spl
 
 
 def _matrix(df: DataFrame, features: Sequence[str], what: str) -> np.ndarray:
-    if len(features) > MAX_SIDE:
-        raise ValueError(f"at most {MAX_SIDE} columns")
     at = {f: i for i, f in enumerate(features)}
     out = np.eye(len(features)) if what == "correlation" else np.zeros((len(features),) * 2)
     for r in correlation_matrix(df, features).collect():
@@ -225,17 +244,32 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     ).groupBy("feature").agg(F.sum("_t").alias("mutual_information"))
 
 
-def _merge_clusters(dist: np.ndarray, cut: float) -> list[list[int]]:
-    """Average-linkage clusters of a small distance matrix, merged while closer than ``cut``."""
-    groups = [[i] for i in range(len(dist))]
-    while len(groups) > 1:
-        best = min(
-            ((dist[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j),
-        )
-        if best[0] > cut:
+def _linkage(dist: np.ndarray, cut: float = np.inf) -> list[list[int]]:
+    """Average-linkage clusters, merged while closer than ``cut``; members stand in merging order.
+
+    The mean distance of a merged cluster to the others is the size-weighted mean of its parts', so a
+    merge updates one row of the matrix.
+    """
+    n = len(dist)
+    far = dist.astype(float).copy()
+    np.fill_diagonal(far, np.inf)
+    sizes, members, born = np.ones(n), [[i] for i in range(n)], np.arange(n)
+    for merge in range(n - 1):
+        # Ties: the pair of the oldest clusters, as counted by when they were made.
+        at = np.argwhere(far <= far.min())
+        i, j = min(at.tolist(), key=lambda x: sorted((born[x[0]], born[x[1]])))
+        i, j = sorted((i, j), key=lambda k: born[k])
+        if not far[i, j] <= cut:
             break
-        groups[best[1]] += groups.pop(best[2])
-    return groups
+        row = (sizes[i] * far[i] + sizes[j] * far[j]) / (sizes[i] + sizes[j])
+        far[i], far[:, i], far[i, i] = row, row, np.inf
+        far[j], far[:, j] = np.inf, np.inf
+        members[i] += members[j]
+        members[j] = []
+        sizes[i] += sizes[j]
+        born[i] = n + merge
+    order = sorted((k for k in range(n) if members[k]), key=lambda k: born[k])
+    return [members[k] for k in order]
 
 
 def prune_correlated(df: DataFrame, features: Sequence[str], label: str, limit: float = 0.9) -> DataFrame:
@@ -243,42 +277,54 @@ def prune_correlated(df: DataFrame, features: Sequence[str], label: str, limit:
     corr = _matrix(df, features, "correlation")
     info = {r["feature"]: r["mutual_information"] for r in mutual_information(df, features, label).collect()}
     rows = []
-    for c, group in enumerate(_merge_clusters(1.0 - np.abs(corr), 1.0 - limit)):
+    for c, group in enumerate(_linkage(1.0 - np.abs(corr), 1.0 - limit)):
         keep = max(group, key=lambda i: (info.get(features[i], 0.0), -i))
         rows += [(features[i], c, i == keep) for i in group]
     return df.sparkSession.createDataFrame(rows, "feature string, cluster int, kept boolean")
 
 
+def _halvings(n: int) -> list[np.ndarray]:
+    """Level by level, rows (start, middle, end) of the segments that halve 0..n down to single places."""
+    levels, now = [], np.array([[0, n]])
+    while len(now := now[now[:, 1] - now[:, 0] > 1]):
+        middle = now.sum(axis=1) // 2
+        levels.append(np.column_stack([now[:, 0], middle, now[:, 1]]))
+        now = np.concatenate([np.column_stack([now[:, 0], middle]), np.column_stack([middle, now[:, 1]])])
+    return levels
+
+
 def risk_parity(returns: DataFrame, assets: Sequence[str]) -> DataFrame:
-    """Hierarchical risk parity weights; the asset matrix is the only thing on the driver."""
+    """Hierarchical risk parity weights from returns; only the asset matrix is on the driver.
+
+    Assets are put in the order of average-linkage clusters.  A segment's risk is the variance of its
+    inverse-variance portfolio, read off two-dimensional running sums; each level of halvings then
+    multiplies all weights by the share of their half.  Assets without variance share as if they had
+    the least variance of any.
+    """
     cov, corr = _matrix(returns, assets, "covariance"), _matrix(returns, assets, "correlation")
-    n = len(assets)
-    if n == 1:
-        return returns.sparkSession.createDataFrame([(assets[0], 1.0)], "asset string, weight double")
-    dist = np.sqrt(np.maximum(0.5 * (1.0 - corr), 0.0))
-    trees = {i: [i] for i in range(n)}
-    while len(trees) > 1:
-        keys = sorted(trees)
-        _, a, b = min((dist[np.ix_(trees[x], trees[y])].min(), x, y) for x in keys for y in keys if x < y)
-        trees[keys[-1] + 1] = trees.pop(a) + trees.pop(b)
-    order = next(iter(trees.values()))
-    weight, todo = np.ones(n), [order]
-
-    def variance(idx):
-        inv = 1.0 / np.diag(cov)[idx]
-        inv /= inv.sum()
-        return float(inv @ cov[np.ix_(idx, idx)] @ inv)
-
-    while todo:
-        idx = todo.pop(0)
-        if len(idx) > 1:
-            left, right = idx[: len(idx) // 2], idx[len(idx) // 2 :]
-            share = 1.0 - variance(left) / (variance(left) + variance(right))
-            weight[left] *= share
-            weight[right] *= 1.0 - share
-            todo += [left, right]
+    order = np.array([i for group in _linkage(np.sqrt(np.maximum(0.5 * (1.0 - corr), 0.0))) for i in group])
+    cov = cov[np.ix_(order, order)]
+    variance = np.diag(cov).copy()
+    least = variance[variance > 0].min(initial=np.inf)
+    variance[variance <= 0] = least if np.isfinite(least) else 1.0
+    inverse = 1.0 / variance
+    scaled = np.pad((cov * np.outer(inverse, inverse)).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+    mass = np.concatenate(([0.0], inverse.cumsum()))
+
+    def risk(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (scaled[b, b] - scaled[a, b] - scaled[b, a] + scaled[a, a]) / (mass[b] - mass[a]) ** 2
+
+    weight = np.ones(len(assets))
+    for level in _halvings(len(assets)):
+        left, right = risk(level[:, 0], level[:, 1]), risk(level[:, 1], level[:, 2])
+        total = np.where(left + right > 0, left + right, 1.0)
+        to_left = np.where(left + right > 0, right / total, 0.5)
+        for (start, middle, end), share in zip(level, to_left):
+            weight[start:middle] *= share
+            weight[middle:end] *= 1.0 - share
     weight /= weight.sum()
-    return returns.sparkSession.createDataFrame([(a, float(w)) for a, w in zip(assets, weight)], "asset string, weight double")
+    named = sorted(zip(order.tolist(), weight.tolist()))
+    return returns.sparkSession.createDataFrame([(assets[i], w) for i, w in named], "asset string, weight double")
 
 
 # --- explanation ----------------------------------------------------------------------------

@@ -59,10 +59,23 @@ def first_of_id(df: DataFrame, key: str, order: str) -> DataFrame:
 def clean_trades(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(clean rows, rejected rows with ``reject_reason``) of a raw text trade log.
 
-    Rows with another action than OPEN, CLOSE, MODIFY or blank are left out.  Rejected:
-    other schema versions are kept after coercion but reported, repeated event ids, missing
-    ticket or action, negative lots or no price, rows without a usable time or symbol.
+    Rows with another action than OPEN, CLOSE, MODIFY or blank are left out.  Rejected: repeated event ids,
+    missing ticket or action, negative lots or no price, and rows that don't fit the trade schema: an
+    unusable time, no symbol, an id, ticket or order type that is no whole number, or an amount that is
+    given but no number.  Rows of another schema version are coerced and stay; a copy of each is among
+    the rejected rows, so that none is changed in silence.
     """
+    numbers = [c for c in ("sl", "tp", "profit", "remaining_lots", "spread", "slippage") if c in df.columns]
+    wholes = [c for c in ("event_id", "ticket", "order_type") if c in df.columns]
+    unfit = F.lit(False)
+    for c in wholes:
+        unfit = unfit | F.col(c).try_cast("long").isNull()
+    for c in numbers:
+        unfit = unfit | (F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
+    other = F.lit(False)
+    if "schema_version" in df.columns:
+        other = F.coalesce(F.col("schema_version").try_cast("double").try_cast("long"), F.lit(SCHEMA_VERSION)) != SCHEMA_VERSION
+    df = df.withColumns({"_unfit": unfit, "_other": other})
     rows = df.withColumns(
         {
             "action": F.upper(F.coalesce("action", F.lit(""))),
@@ -78,10 +91,11 @@ def clean_trades(df: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
         F.when(~F.col("is_first"), "duplicate event_id")
         .when(F.col("ticket").isNull() | (F.col("ticket") == "") | (F.col("action") == ""), "missing ticket or action")
         .when((F.col("lots") < 0) | F.col("price").isNull() | F.isnan("price"), "negative lots or no price")
-        .when(F.col("event_ts").isNull() | F.col("symbol").isNull(), "row does not fit the trade schema")
+        .when(F.col("event_ts").isNull() | F.col("symbol").isNull() | F.col("_unfit"), "row does not fit the trade schema")
     )
-    rows = add_duration(fill_defaults(rows.withColumn("reject_reason", reason).drop("is_first")))
-    return rows.filter("reject_reason IS NULL").drop("reject_reason"), rows.filter("reject_reason IS NOT NULL")
+    rows = add_duration(fill_defaults(rows.withColumn("reject_reason", reason).drop("is_first", "_unfit")))
+    rejected = rows.filter("reject_reason IS NOT NULL").unionByName(rows.filter("_other").withColumn("reject_reason", F.lit("other schema version")))
+    return rows.filter("reject_reason IS NULL").drop("reject_reason", "_other"), rejected.drop("_other")
 
 
 def direction_of(column: str | Column) -> Column:

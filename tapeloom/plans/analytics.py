@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tapeloom.functions import scoring as SC
@@ -200,12 +201,27 @@ def training_rows(spark, sf):
     t = ticks(spark, sf)
     return t.select(
         "symbol", "t", "id", "bid", F.col("user_id").cast("double").alias("volume"), (F.col("bid") * 0.01 + F.col("id") % 7).alias("spread"),
-        (F.col("bid") + F.col("id") % 11 > 22).cast("int").alias("label"), (F.col("bid") - 20.0).alias("profit"))
+        (F.col("bid") + F.col("id") % 11 > 22).cast("int").alias("label"), (F.col("bid") - 20.0).alias("profit"), (F.lit(0.5) + F.col("id") % 4).alias("weight"))
 
 
 @query("logistic_fold_fits")
 def logistic_fold_fits(spark, sf):
-    return M.fold_fits(training_rows(spark, sf), ["t", "id"], FEATS, "label", None, "logreg", n_splits=3, C=1.0)
+    return M.fold_fits(training_rows(spark, sf), ["t", "id"], FEATS, "label", "weight", "logreg", n_splits=3, C=1.0)
+
+
+@query("logistic_optimum", """
+SELECT count(*)::BIGINT AS rows, sum(0.5 + id % 4) AS weight, 0.0 AS bias_slope, 0.0 AS slope_0, 0.0 AS slope_1 FROM ticks""", ctes="ticks", doubles="weight bias_slope slope_0 slope_1", digits=4)
+def logistic_optimum(spark, sf):
+    """The gradient of the penalised weighted loss at the fitted coefficients, which must be zero."""
+    rows = training_rows(spark, sf)
+    fitted = M.fit_classifier(rows, "logreg", FEATS[:2], "label", "weight", C=0.001, tol=1e-12, maxIter=500)
+    model, scored = fitted.stages[-1], M.positive_probability(fitted.transform(rows))
+    miss = F.col("weight") * (F.col("p") - F.col("label"))
+    x = vector_to_array("features")
+    found = scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight"), (F.sum(miss) / F.sum("weight")).alias("bias_slope"),
+        *[((F.sum(miss * x[i]) + float(model.coefficients[i]) / 0.001) / F.sum("weight")).alias(f"slope_{i}") for i in range(2)])
+    return found
 
 
 @query("isotonic_fit")
@@ -218,7 +234,7 @@ def isotonic_fit(spark, sf):
 @query("voting_ensemble")
 def voting_ensemble(spark, sf):
     rows = training_rows(spark, sf)
-    fitted = {"logreg": M.classifier("logreg", FEATS, "label").fit(rows), "gradient_boosting": M.classifier("gradient_boosting", FEATS, "label", maxIter=5, maxDepth=3).fit(rows)}
+    fitted = {n: M.fit_classifier(rows, n, FEATS, "label", "weight") for n in ("logreg", "gradient_boosting")}
     return M.voting_probability(rows, fitted, {"logreg": 1.0, "gradient_boosting": 2.0}).select("id", "label", "p")
 
 
@@ -241,12 +257,25 @@ def fold_ood(spark, sf):
     return M.fold_ood(training_rows(spark, sf), ["t", "id"], FEATS, 3)
 
 
-@query("variance_inflation")
+TRAINING = """t AS (SELECT id, bid, user_id::DOUBLE AS volume, bid * 0.01 + id % 7 AS spread, (bid + id % 11 > 22)::INT AS label FROM ticks)"""
+
+
+@query("variance_inflation", f"""
+WITH {TRAINING}, c AS (SELECT corr(bid, volume) AS ab, corr(bid, spread) AS ac, corr(volume, spread) AS bc FROM t),
+d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM c)
+SELECT 'bid' AS feature, (1 - bc * bc) / det AS vif FROM d UNION ALL SELECT 'volume', (1 - ac * ac) / det FROM d UNION ALL SELECT 'spread', (1 - ab * ab) / det FROM d""",
+    ctes="ticks", doubles="vif", digits=4)
 def variance_inflation(spark, sf):
     return M.vif(training_rows(spark, sf), FEATS)
 
 
-@query("mutual_information")
+@query("mutual_information", f"""
+WITH {TRAINING}, c AS (UNPIVOT (SELECT label, bid, volume, spread FROM t) ON bid, volume, spread INTO NAME feature VALUE value),
+q AS (SELECT feature, list_distinct(quantile_cont(value, [{", ".join(f"{i / 16}" for i in range(1, 16))}])) AS cuts FROM c GROUP BY 1),
+b AS (SELECT feature, label, len(list_filter(cuts, lambda x: x <= value)) AS bin FROM c JOIN q USING (feature)),
+j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY 1, 2, 3),
+m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, label) AS nl FROM j)
+SELECT feature, sum(n / total * ln(n * total / (nb * nl))) AS mutual_information FROM m GROUP BY 1""", ctes="ticks", doubles="mutual_information", digits=4)
 def mutual_information(spark, sf):
     return M.mutual_information(training_rows(spark, sf), FEATS, "label")
 
@@ -260,7 +289,10 @@ def prune_correlated(spark, sf):
 @query("risk_parity")
 def risk_parity(spark, sf):
     wide = W.wide_by_symbol(bars(spark, sf), "hr", SYMBOLS, "close")
-    return M.risk_parity(wide, list(SYMBOLS))
+    for s in SYMBOLS:
+        wide = W.simple_return(wide, [], ["hr"], s, f"ret_{s}")
+    returns = wide.select(*[F.col(f"ret_{s}").alias(s) for s in SYMBOLS])
+    return M.risk_parity(returns, list(SYMBOLS))
 
 
 @query("linear_attribution", """

@@ -132,7 +132,8 @@ def dtw_augmentation(spark, sf):
     return L.dtw_mixup(ticks(spark, sf), ["symbol"], ["t", "id"], "bid", window=8, ratio=0.5).select("symbol", "id", "mixed", "distance", "lam")
 
 
-@query("union_with_synthetic")
+@query("union_with_synthetic", """
+SELECT false AS is_synthetic, count(*) AS rows FROM ticks UNION ALL SELECT true, floor(count(*) * 0.25)::BIGINT FROM ticks""", ctes="ticks")
 def union_with_synthetic(spark, sf):
     return L.mixup(ticks(spark, sf), ["t", "id"], ["bid"], "t", 0.25).groupBy("is_synthetic").agg(F.count(F.lit(1)).alias("rows"))
 

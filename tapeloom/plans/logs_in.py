@@ -26,7 +26,7 @@ def raw_log(spark, sf):
     e, i = table(spark, sf, "events"), F.col("event_id")
     return e.select(
         i.alias("src"),
-        F.lit("3").alias("schema_version"),
+        F.when(i % 13 == 0, "2").otherwise("3").alias("schema_version"),
         F.when(i % 10 == 9, i - 1).otherwise(i).cast("string").alias("event_id"),
         F.when(i % 17 == 0, "not a time")
         .when(i % 2 == 0, F.date_format("ts", "yyyy.MM.dd HH:mm:ss"))
@@ -38,6 +38,8 @@ def raw_log(spark, sf):
         F.when(i % 11 == 0, "abc").otherwise(F.col("value").cast("string")).alias("price"),
         F.concat(F.lit("auto decision_id="), F.col("user_id").cast("string")).alias("comment"),
         F.when(i % 3 == 0, "sl").alias("exit_reason"),
+        F.when(i % 29 == 0, "x").otherwise((i % 2).cast("string")).alias("order_type"),
+        F.when(i % 31 == 0, "high").when(i % 5 > 0, F.col("value").cast("string")).alias("sl"),
         F.when(i % 4 == 0, F.date_format(F.expr("ts - INTERVAL 90 SECONDS"), "yyyy.MM.dd HH:mm:ss")).alias("open_time"),
     )
 
@@ -46,12 +48,12 @@ base.CTES["raw_log"] = """raw_log AS (SELECT event_id AS src, CASE WHEN event_id
     CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END AS event_ts,
     CASE WHEN event_id % 7 = 0 THEN 'OPEN' WHEN event_id % 7 < 3 THEN 'CLOSE' WHEN event_id % 7 < 5 THEN 'MODIFY' WHEN event_id % 7 = 5 THEN 'HOLD' ELSE '' END AS action,
     CASE WHEN event_id % 23 <> 0 THEN event_id % 97 END AS ticket, event_type AS symbol, value - 1 AS lots,
-    CASE WHEN event_id % 11 <> 0 THEN value END AS price, user_id, CASE WHEN event_id % 3 = 0 THEN 'SL' ELSE '' END AS exit_reason,
+    CASE WHEN event_id % 11 <> 0 THEN value END AS price, user_id, event_id % 29 = 0 OR event_id % 31 = 0 AS unfit, CASE WHEN event_id % 3 = 0 THEN 'SL' ELSE '' END AS exit_reason,
     CASE WHEN event_id % 4 = 0 THEN date_trunc('second', ts - INTERVAL 90 SECONDS) END AS open_ts FROM events),
 flagged AS (SELECT *, CASE WHEN src <> min(src) OVER (PARTITION BY event_id) THEN 'duplicate event_id'
     WHEN ticket IS NULL OR action = '' THEN 'missing ticket or action'
     WHEN lots < 0 OR price IS NULL THEN 'negative lots or no price'
-    WHEN event_ts IS NULL THEN 'row does not fit the trade schema' END AS reject_reason FROM raw_log WHERE action <> 'HOLD')"""
+    WHEN event_ts IS NULL OR unfit THEN 'row does not fit the trade schema' END AS reject_reason FROM raw_log WHERE action <> 'HOLD')"""
 
 
 @query("trade_csv_scan", """
@@ -65,10 +67,13 @@ def trade_csv_scan(spark, sf):
 
 
 def _scanned(spark, sf):
+    """The log in two sets of files: one in reverse column order and without some of the columns."""
     path = scratch(spark, "trades")
-    log = raw_log(spark, sf).withColumn("trace_id", F.col("src").cast("string")).drop("src")
-    log.write.option("header", True).option("sep", ";").csv(path)
-    return R.read_trade_files(spark, path).withColumn("src", F.col("trace_id").cast("long"))
+    log = raw_log(spark, sf).withColumn("comment", F.col("src").cast("string"))
+    even, odd = log.filter("src % 2 = 0").drop("src"), log.filter("src % 2 = 1").drop("src", "open_time")
+    even.write.option("header", True).option("sep", ";").csv(f"{path}/a")
+    odd.select(*reversed(odd.columns)).write.option("header", True).option("sep", ";").csv(f"{path}/b")
+    return R.read_trade_files(spark, [f"{path}/a", f"{path}/b"]).withColumn("src", F.col("comment").cast("long"))
 
 
 @query("trade_files_scan", """
@@ -88,7 +93,8 @@ def clean_trades(spark, sf):
 
 
 @query("quarantine_sink", """
-SELECT reject_reason, count(*) AS n, count(DISTINCT event_id) AS ids FROM flagged WHERE reject_reason IS NOT NULL GROUP BY 1""", ctes="raw_log")
+WITH r AS (SELECT reject_reason, event_id FROM flagged WHERE reject_reason IS NOT NULL UNION ALL SELECT 'other schema version', event_id FROM flagged WHERE src % 13 = 0)
+SELECT reject_reason, count(*) AS n, count(DISTINCT event_id) AS ids FROM r GROUP BY 1""", ctes="raw_log")
 def quarantine_sink(spark, sf):
     _, rejected = Q.clean_trades(_scanned(spark, sf), "src")
     path = scratch(spark, "invalid_rows")

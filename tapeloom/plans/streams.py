@@ -19,8 +19,9 @@ from tapeloom.streaming.runner import follow_parquet, new_folder, run_to_table
 FILES = 4  # files written per slice and read per micro-batch
 
 
-def arriving(df, order, slices=3):
-    """``df`` as a stream: slices of ``order`` arrive one after the other, a slice per batch."""
+def arriving(df, order, slices=3, last=None):
+    """``df`` as a stream: slices of ``order`` arrive one after the other, a slice per batch, then the rows
+    of ``last``."""
     spark = df.sparkSession
     folder = new_folder(spark, "arriving")
     marks = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10000)).first()[0]
@@ -29,6 +30,8 @@ def arriving(df, order, slices=3):
         part = df if lo is None else df.filter(F.col(order) > lo)
         part = part if hi is None else part.filter(F.col(order) <= hi)
         part.repartition(FILES).write.mode("append").parquet(folder)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(folder)
     return follow_parquet(spark, folder, df.schema, FILES)
 
 
@@ -37,6 +40,14 @@ def event_stream(spark, sf):
     return arriving(e, "t")
 
 
+def closing_stream(spark, sf):
+    """The events and, a year later, a heartbeat: a row of nulls that moves the watermark past the last
+    windows, which are then complete and emitted."""
+    e = ticks(spark, sf).withColumn("ts", F.timestamp_micros("t"))
+    beat = e.agg((F.max("t") + 365 * 86_400_000_000).alias("t")).withColumn("ts", F.timestamp_micros("t"))
+    return arriving(e, "t", last=e.limit(0).unionByName(beat, allowMissingColumns=True))
+
+
 @query("stream_validation", f"""
 WITH {JSON_LINES}
 SELECT count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, sum(k) FILTER (reason IS NULL)::BIGINT AS total_k FROM lines""", ints="accepted rejected")
@@ -56,32 +67,29 @@ def stream_deduplicated(spark, sf):
     return run_to_table(P.deduplicated(arriving(twice, "t"), ["id"], "ts", "60 days"), "dedup").select("symbol", "id", "t")
 
 
-CLOSED = "(SELECT (max(t) // 1000) * 1000 - 3600000000 FROM ticks)"
-
-
-@query("stream_tumbling_metrics", f"""
+@query("stream_tumbling_metrics", """
 WITH w AS (SELECT symbol, t // 21600000000 AS w, count(*) AS n, avg(bid) AS mean, min(bid) AS low, max(bid) AS high FROM ticks GROUP BY 1, 2)
-SELECT symbol, w * 21600000000 AS start_us, n, mean, low, high FROM w WHERE (w + 1) * 21600000000 <= {CLOSED}""", ctes="ticks", doubles="mean low high")
+SELECT symbol, w * 21600000000 AS start_us, n, mean, low, high FROM w""", ctes="ticks", doubles="mean low high")
 def stream_tumbling_metrics(spark, sf):
-    out = run_to_table(P.window_metrics(event_stream(spark, sf), ["symbol"], "ts", "bid", "6 hours", None, "1 hour"), "tumbling")
-    return out.select("symbol", F.unix_micros("start").alias("start_us"), "n", "mean", "low", "high")
+    out = run_to_table(P.window_metrics(closing_stream(spark, sf), ["symbol"], "ts", "bid", "6 hours", None, "1 hour"), "tumbling")
+    return out.filter("symbol IS NOT NULL").select("symbol", F.unix_micros("start").alias("start_us"), "n", "mean", "low", "high")
 
 
-@query("stream_sliding_metrics", f"""
+@query("stream_sliding_metrics", """
 WITH s AS (SELECT symbol, bid, unnest([t // 10800000000, t // 10800000000 - 1]) AS w FROM ticks), w AS (SELECT symbol, w, count(*) AS n, avg(bid) AS mean FROM s GROUP BY 1, 2)
-SELECT symbol, w * 10800000000 AS start_us, n, mean FROM w WHERE (w + 2) * 10800000000 <= {CLOSED}""", ctes="ticks", doubles="mean")
+SELECT symbol, w * 10800000000 AS start_us, n, mean FROM w""", ctes="ticks", doubles="mean")
 def stream_sliding_metrics(spark, sf):
-    out = run_to_table(P.window_metrics(event_stream(spark, sf), ["symbol"], "ts", "bid", "6 hours", "3 hours", "1 hour"), "sliding")
-    return out.select("symbol", F.unix_micros("start").alias("start_us"), "n", "mean")
+    out = run_to_table(P.window_metrics(closing_stream(spark, sf), ["symbol"], "ts", "bid", "6 hours", "3 hours", "1 hour"), "sliding")
+    return out.filter("symbol IS NOT NULL").select("symbol", F.unix_micros("start").alias("start_us"), "n", "mean")
 
 
-@query("stream_sessions", f"""
+@query("stream_sessions", """
 WITH g AS (SELECT user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 7200000000 THEN 0 ELSE 1 END AS first FROM ticks),
 i AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM g), s AS (SELECT user_id, i, min(t) AS start_us, max(t) + 7200000000 AS end_us, count(*) AS n FROM i GROUP BY 1, 2)
-SELECT user_id, start_us, end_us, n FROM s WHERE end_us <= {CLOSED}""", ctes="ticks")
+SELECT user_id, start_us, end_us, n FROM s""", ctes="ticks")
 def stream_sessions(spark, sf):
-    out = run_to_table(P.activity_sessions(event_stream(spark, sf), ["user_id"], "ts", "2 hours", "1 hour"), "sessions")
-    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+    out = run_to_table(P.activity_sessions(closing_stream(spark, sf), ["user_id"], "ts", "2 hours", "1 hour"), "sessions")
+    return out.filter("user_id IS NOT NULL").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query("stream_page_hinkley")
@@ -104,8 +112,8 @@ ORACLES["stream_cusum"] = ORACLES["cusum"]
 @query("stream_online_drift")
 def stream_online_drift(spark, sf):
     e = ticks(spark, sf).withColumn("volume", F.col("user_id").cast("double"))
-    rows = melt(e, ["bid", "volume"], keep=["t", "id"])
-    return run_to_table(ST.online_drift(arriving(rows, "t"), ["feature"], ["t", "id"], "value", 500, 100, 0.1, 0.1), "drift")
+    rows = melt(e, ["bid", "volume"], keep=["symbol", "t", "id"])
+    return run_to_table(ST.online_drift(arriving(rows, "t"), ["symbol", "feature"], ["t", "id"], "value", 500, 100, 0.1, 0.1), "drift")
 
 
 REGIMES = [[10.0, 0.002], [25.0, 0.004], [50.0, 0.006]]

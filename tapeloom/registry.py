@@ -146,9 +146,6 @@ def _precision(report, context):
 def _logreg(label, weight, **settings):
     from pyspark.ml.classification import LogisticRegression
 
-    c = settings.pop("C", None)
-    if c is not None:
-        settings["regParam"] = 1.0 / c
     return LogisticRegression(labelCol=label, **({"weightCol": weight} if weight else {}), **settings)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.scalar import parse_time, safe_double
-from tapeloom.sources.schemas import TRADE
+from tapeloom.sources.schemas import TRADE, TRADE_LOG
 
 
 def snake_case(name: str) -> str:
@@ -59,12 +60,25 @@ def read_trades_csv(spark: SparkSession, path: str, schema: T.StructType = TRADE
     )
 
 
-def read_trade_files(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = TRADE) -> DataFrame:
-    """Union of semicolon-separated logs, projected to the known fields, all as text."""
-    raw = _text_csv(spark, paths, ";")
-    raw = raw.toDF(*[c.lower() for c in raw.columns])
-    have = set(raw.columns)
-    return raw.select(*[(F.col(f.name) if f.name in have else F.lit(None).cast("string")).alias(f.name) for f in schema])
+def read_trade_files(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType = TRADE_LOG) -> DataFrame:
+    """Union of semicolon-separated logs, projected to the known fields, all as text.
+
+    Files may differ in the order and set of their columns: those with the same header line are one
+    scan, fields that a file lacks are null, empty files have no rows.  Files are listed without
+    their contents, and one line of each is read ahead.
+    """
+    listed = spark.read.format("binaryFile").load(paths).where("length > 0").select("path")
+    by_header: dict[str, list[str]] = {}
+    for row in listed.toLocalIterator():
+        head = spark.read.text(row["path"]).head()
+        by_header.setdefault(head[0] if head else "", []).append(row["path"])
+    out = spark.createDataFrame([], T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
+    for files in by_header.values():
+        raw = _text_csv(spark, files, ";")
+        raw = raw.toDF(*[c.lower() for c in raw.columns])
+        have = set(raw.columns)
+        out = out.unionByName(raw.select(*[(F.col(f.name) if f.name in have else F.lit(None).cast("string")).alias(f.name) for f in schema]))
+    return out
 
 
 def read_decisions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -86,12 +100,12 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_news_embeddings(spark: SparkSession, parquet: str | None = None, csv: str | None = None) -> DataFrame:
-    """News vectors from Parquet if given and readable, else from CSV."""
+    """News vectors from Parquet if it is there, else from CSV; a damaged Parquet file is an error."""
     if parquet is not None:
         try:
             return normalise_columns(spark.read.parquet(parquet))
-        except Exception:
-            if csv is None:
+        except AnalysisException as missing:
+            if csv is None or missing.getCondition() != "PATH_NOT_FOUND":
                 raise
     return normalise_columns(spark.read.option("header", True).option("inferSchema", True).csv(csv))
 

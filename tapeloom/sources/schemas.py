@@ -26,6 +26,17 @@ TRADE = struct(
     "commission double, swap double, exit_reason string, decision_id int"
 )
 
+# The fields that a scan of several trade logs keeps.
+TRADE_LOG = struct(
+    "schema_version int, event_id int, event_time string, broker_time string, local_time string, action string, "
+    "ticket int, magic int, source string, symbol string, order_type int, lots double, price double, sl double, "
+    "tp double, sl_dist double, tp_dist double, sl_hit_dist double, tp_hit_dist double, executed_model_idx int, "
+    "decision_id int, profit double, spread double, comment string, remaining_lots double, slippage double, "
+    "volume int, open_time string, book_bid_vol double, book_ask_vol double, book_imbalance double, equity double, "
+    "margin_level double, commission double, swap double, is_anomaly double, trend_estimate double, "
+    "trend_variance double, exit_reason string, duration_sec int"
+)
+
 # Decision events; ``features`` is text.
 DECISION = struct(
     "schema_version int, event_id int, timestamp string, model_version string, action string, probability double, "

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapeloom.operators.drift import START, cusum_step, page_hinkley_step
+from tapeloom.operators.drift import START, cusum_step, page_hinkley_step, sample_gaps
 from tapeloom.streaming.runner import use_rocksdb
 
 
@@ -92,30 +92,38 @@ class _Drift(_OrderedProcessor):
         self.value, self.size, self.least = value, size, least
         self.psi_limit, self.ks_limit = psi_limit, ks_limit
 
+    def _due(self, held: int) -> int:
+        """Rows until the next comparison, when ``held`` recent values are kept."""
+        every = max(self.least // 4, 1)
+        if held >= self.size:
+            return 1 if self.size % every == 0 else 1 << 62
+        first = max(held + 1, self.least // 2, 1)
+        at = -(-first // every) * every
+        return at - held if at <= self.size else 1 << 62
+
     def advance(self, pdf, before):
         import numpy as np
 
-        ref, recent = ([], []) if before is None else (list(before[0] or []), list(before[1] or []))
-        out = []
-        for row in pdf.to_dict("records"):
-            if len(ref) < self.least:
-                ref.append(row[self.value])
+        held = (np.zeros(0), np.zeros(0)) if before is None else tuple(np.asarray(x or [], dtype=float) for x in before)
+        reference, recent = held
+        values, out, at = pdf[self.value].to_numpy(dtype=float), [], 0
+        while at < len(values):
+            if len(reference) < self.least:
+                take = min(self.least - len(reference), len(values) - at)
+                reference = np.concatenate([reference, values[at : at + take]])
+                at += take
                 continue
-            recent = (recent + [row[self.value]])[-self.size :]
-            if len(recent) < max(self.least // 2, 1) or len(recent) % max(self.least // 4, 1):
+            due = self._due(len(recent))
+            take = min(due, len(values) - at)
+            recent = np.concatenate([recent, values[at : at + take]])[-self.size :]
+            at += take
+            if take < due:
                 continue
-            a, b = np.sort(np.asarray(ref)), np.sort(np.asarray(recent))
-            cuts = np.unique(np.quantile(a, np.linspace(0, 1, 11)))
-            psi = 0.0
-            if len(cuts) > 1:
-                pa, pb = np.histogram(a, cuts)[0] / len(a), np.histogram(b, cuts)[0] / len(b)
-                psi = float(((pa - pb) * np.log((pa + 1e-6) / (pb + 1e-6))).sum())
-            grid = np.union1d(a, b)
-            ks = float(np.abs(np.searchsorted(a, grid, "right") / len(a) - np.searchsorted(b, grid, "right") / len(b)).max())
+            psi, ks = sample_gaps(reference, recent)
             if psi > self.psi_limit or ks > self.ks_limit:
-                out.append({**row, "psi": psi, "ks": ks})
-                ref, recent = recent, []
-        return out, ([float(x) for x in ref], [float(x) for x in recent])
+                out.append({**pdf.iloc[at - 1].to_dict(), "psi": psi, "ks": ks})
+                reference, recent = recent, np.zeros(0)
+        return out, (reference.tolist(), recent.tolist())
 
 
 def online_drift(stream: DataFrame, keys, order, value: str, size: int = 500, least: int = 100, psi_limit: float = 0.2, ks_limit: float = 0.2) -> DataFrame:
@@ -161,39 +169,56 @@ def regime_changes(stream: DataFrame, keys, order, bid: str, ask: str, window: i
 
 
 class _ConfidenceWeighted(_OrderedProcessor):
-    state_schema = "w array<double>, sigma array<double>, b double, bs double, n long"
+    """Adaptive regularisation of weights with a diagonal covariance (Crammer, Kulesza and Dredze, 2009)."""
+
+    state_schema = "mean array<double>, variance array<double>, n long"
 
-    def __init__(self, keys, order, features, label, r):
+    def __init__(self, keys, order, features, label, weight, r):
         super().__init__(keys, order, [*keys, "n", "margin", "weights", "bias"])
-        self.features, self.label, self.r = list(features), label, r
+        self.features, self.label, self.weight, self.r = list(features), label, weight, r
 
     def advance(self, pdf, before):
         import numpy as np
 
-        k = len(self.features)
-        if before is None:
-            w, sigma, b, bs, n = np.zeros(k), np.ones(k) / self.r, 0.0, 1.0 / self.r, 0
-        else:
-            w, sigma, b, bs, n = np.array(before[0]), np.array(before[1]), before[2], before[3], before[4]
+        size = len(self.features) + 1  # the last one is the bias, with a constant input of 1
+        mean, variance, n = np.zeros(size), np.full(size, 1.0 / self.r), 0
+        if before is not None:
+            # Features added since the state was written start fresh; the bias stays last.
+            old, spread, n = np.array(before[0]), np.array(before[1]), int(before[2])
+            mean[: len(old) - 1], mean[-1] = old[:-1], old[-1]
+            variance[: len(old) - 1], variance[-1] = spread[:-1], spread[-1]
+        x = np.column_stack([pdf[self.features].to_numpy(dtype=float), np.ones(len(pdf))])
+        side = np.where(pdf[self.label].to_numpy() == 1, 1.0, -1.0)
+        importance = np.ones(len(pdf)) if self.weight is None else pdf[self.weight].to_numpy(dtype=float)
+        used = importance > 0
+        if used.any():
+            importance = importance / importance[used].mean()
         margins = []
-        for x, y in zip(pdf[self.features].to_numpy(dtype=float), pdf[self.label].to_numpy()):
-            side = 1.0 if y == 1 else -1.0
-            m = side * (w @ x + b)
-            v = (x * x) @ sigma + bs
-            step = max(0.0, 1.0 - m) / (v + self.r)
-            w = w + step * side * sigma * x
-            b += step * side * bs
-            margins.append(m / (np.sqrt(v) + 1e-12))
-        n += len(margins)
+        for row, y, w in zip(x[used], side[used], importance[used]):
+            moved = variance * row
+            confidence = row @ moved
+            margin = y * (mean @ row)
+            margins.append(margin / np.sqrt(confidence))
+            beta = 1.0 / (confidence + self.r / w)
+            if margin < 1.0:
+                mean = mean + (1.0 - margin) * beta * y * moved
+                variance = variance - beta * moved**2
+        n += int(used.sum())
         key = {c: pdf[c].iloc[0] for c in self.keys}
-        out = [{**key, "n": n, "margin": float(np.mean(margins)), "weights": w.tolist(), "bias": float(b)}]
-        return out, (w.tolist(), sigma.tolist(), float(b), float(bs), int(n))
+        average = float(np.mean(margins)) if margins else None
+        out = [{**key, "n": n, "margin": average, "weights": mean[:-1].tolist(), "bias": float(mean[-1])}]
+        return out, (mean.tolist(), variance.tolist(), n)
 
 
-def confidence_weighted(stream: DataFrame, keys, order, features, label: str, r: float = 1.0) -> DataFrame:
-    """Weights of a confidence-weighted classifier per key after each micro-batch."""
+def confidence_weighted(stream: DataFrame, keys, order, features, label: str, r: float = 1.0, weight: str | None = None) -> DataFrame:
+    """Weights of a confidence-weighted classifier per key after each micro-batch.
+
+    A row's ``weight``, scaled to a mean of 1 in its micro-batch, divides the regularisation; rows of weight 0
+    or less are skipped.  Unlike detectors that keep the first confidence for good, each update shrinks
+    the variance of the weights it moved.
+    """
     fields = _fields(stream, keys) + [
         T.StructField("n", T.LongType()), T.StructField("margin", T.DoubleType()),
         T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("bias", T.DoubleType()),
     ]
-    return _process(stream, keys, _ConfidenceWeighted(keys, order, features, label, r), fields)
+    return _process(stream, keys, _ConfidenceWeighted(keys, order, features, label, weight, r), fields)

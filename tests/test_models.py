@@ -196,3 +196,71 @@ def test_pagerank_loses_dangling_mass(spark):
         pr = 0.05 + 0.85 * adj.T @ (pr / out)
     assert [got[x] for x in "abc"] == pytest.approx(pr.tolist(), abs=1e-6)
     assert sum(got.values()) < 1
+
+
+def test_penalty_is_that_of_the_summed_loss(spark):
+    """Newton's method on the penalised weighted loss gives the fitted coefficients."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 2)) * [1.0, 5.0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.3 * x[:, 1])))).astype(int)
+    w = rng.integers(1, 4, 400).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), int(c), float(d)) for (a, b), c, d in zip(x, y, w)], "a double, b double, label int, w double")
+    model = M.fit_classifier(df, "logreg", ["a", "b"], "label", "w", C=0.05, tol=1e-12, maxIter=300).stages[-1]
+    lo, hi = np.quantile(x, [0.01, 0.99], axis=0)
+    z = np.clip(x, lo, hi)
+    rank = [np.sort(z, axis=0)[int(np.ceil(q * 400)) - 1] for q in (0.25, 0.5, 0.75)]
+    z = np.column_stack([(z - rank[1]) / (rank[2] - rank[0]), np.ones(400)])
+    beta, ridge = np.zeros(3), np.diag([1.0, 1.0, 0.0]) / 0.05
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta -= np.linalg.solve(z.T * (w * p * (1 - p)) @ z + ridge, z.T @ (w * (p - y)) + ridge @ beta)
+    assert [*model.coefficients, model.intercept] == pytest.approx(beta.tolist(), rel=0.02, abs=0.01)
+
+
+def test_linkage_against_mean_distances():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(12, 3))
+    dist = np.linalg.norm(points[:, None] - points[None], axis=2)
+    groups = [[i] for i in range(12)]
+    while len(groups) > 1:
+        mean, a, b = min((dist[np.ix_(g, h)].mean(), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        if mean > 1.5:
+            break
+        groups[a] = groups[a] + groups.pop(b)
+    assert sorted(map(sorted, M._linkage(dist, 1.5))) == sorted(map(sorted, groups))
+
+
+def test_warping_against_the_plain_table():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a, b = rng.normal(size=6), rng.normal(size=6)
+        cost = np.full((7, 7), np.inf)
+        cost[0, 0] = 0
+        for i in range(6):
+            for j in range(6):
+                cost[i + 1, j + 1] = abs(a[i] - b[j]) + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+        assert L._warped_costs(np.abs(a[:, None] - b)[None])[0, -1, -1] == pytest.approx(cost[-1, -1])
+        assert L.warped_partner(a, a) == pytest.approx(a)
+        assert len(L.warped_partner(a, b)) == 6
+
+
+def test_sample_gaps_against_histograms():
+    from tapeloom.operators.drift import sample_gaps
+
+    rng = np.random.default_rng(5)
+    for a, b in ((rng.normal(size=200), rng.normal(0.5, 1, size=80)), (rng.integers(0, 4, 100).astype(float), rng.integers(0, 5, 60).astype(float))):
+        cuts = np.unique(np.quantile(a, np.linspace(0, 1, 11)))
+        p, q = np.histogram(a, cuts)[0] / len(a), np.histogram(b, cuts)[0] / len(b)
+        grid = np.union1d(a, b)
+        gap = np.abs((a[:, None] <= grid).mean(axis=0) - (b[:, None] <= grid).mean(axis=0)).max()
+        assert sample_gaps(a, b) == pytest.approx((((p - q) * np.log((p + 1e-6) / (q + 1e-6))).sum(), gap))
+
+
+def test_scan_of_files_with_different_headers(spark, tmp_path):
+    from tapeloom.sources.readers import read_trade_files
+
+    (tmp_path / "trades_1.csv").write_text("event_id;action;Ticket;symbol\n1;OPEN;10;X\n")
+    (tmp_path / "trades_2.csv").write_text("symbol;ticket;sl_dist;event_id;new\nY;11;0.5;2;z\n")
+    (tmp_path / "trades_3.csv").write_text("")
+    got = sorted(tuple(r) for r in read_trade_files(spark, f"{tmp_path}/*.csv").select("event_id", "action", "ticket", "symbol", "sl_dist").collect())
+    assert got == [("1", "OPEN", "10", "X", None), ("2", None, "11", "Y", "0.5")]

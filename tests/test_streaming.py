@@ -49,14 +49,19 @@ def test_confidence_weighted_equals_a_loop(spark):
     x = rng.normal(size=(60, 2))
     y = (x[:, 0] > x[:, 1]).astype(int)
     df = spark.createDataFrame([("m", i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "key string, t long, a double, b double, y int")
-    last = run_to_table(ST.confidence_weighted(arriving(df, "t"), ["key"], ["t"], ["a", "b"], "y"), "test").orderBy(F.col("n").desc()).first()
-    w, sigma, b, bs = np.zeros(2), np.ones(2), 0.0, 1.0
-    for xi, yi in zip(x, y):
-        s = 1 if yi == 1 else -1
-        step = max(0.0, 1.0 - s * (w @ xi + b)) / (xi * xi @ sigma + bs + 1.0)
-        w, b = w + step * s * sigma * xi, b + step * s * bs
-    assert last["n"] == 60
-    assert last["weights"] == pytest.approx(w.tolist()) and last["bias"] == pytest.approx(b)
+    df = df.withColumn("w", F.when(F.col("t") % 7 == 0, 0.0).otherwise(2.0))
+    last = run_to_table(ST.confidence_weighted(arriving(df, "t"), ["key"], ["t"], ["a", "b"], "y", 1.0, "w"), "test").orderBy(F.col("n").desc()).first()
+    mean, spread, used = np.zeros(3), np.ones(3), 0
+    for i, (xi, yi) in enumerate(zip(x, y)):
+        if i % 7 == 0:
+            continue
+        used += 1
+        xi, s = np.append(xi, 1.0), 1 if yi == 1 else -1
+        beta, short = 1.0 / (xi * xi @ spread + 1.0), 1.0 - s * (mean @ xi)
+        if short > 0:
+            mean, spread = mean + short * beta * s * spread * xi, spread - beta * (spread * xi) ** 2
+    assert last["n"] == used
+    assert [*last["weights"], last["bias"]] == pytest.approx(mean.tolist())
 
 
 def test_replay_keeps_the_newest_and_prefers_heavy_rows(spark):
