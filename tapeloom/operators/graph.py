@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import over_rows
+from tapeloom.operators.ordered import over_rows, row_index
 from tapeloom.operators.windows import _frame_corr
 from tapeloom.session import pin
 
@@ -77,28 +77,25 @@ def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: fl
 def spectral_embedding(edges: DataFrame, vertices: DataFrame, dim: int = 8) -> DataFrame:
     """Left singular vectors of the adjacency scaled by singular values, per vertex.
 
-    Rows of the adjacency are distributed; the number of columns (symbols) must fit the
-    driver's small Gram matrix.
+    Rows of the adjacency are distributed; MLlib takes the small Gram matrix to the driver, or iterates
+    on vectors of one number per vertex when there are many.
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    names = [r[0] for r in vertices.select("id").distinct().orderBy("id").limit(5001).collect()]
-    if len(names) > 5000:
-        raise ValueError("spectral embedding is limited to 5000 symbols (columns of one Gram matrix)")
     spark = edges.sparkSession
-    index = spark.createDataFrame([(v, i) for i, v in enumerate(names)], vertices.select("id").schema.add("i", "long"))
-    cells = edges.join(F.broadcast(index.select(_c("id").alias("src"), _c("i").alias("si"))), "src").join(
-        F.broadcast(index.select(_c("id").alias("dst"), _c("i").alias("di"))), "dst"
+    index = pin(row_index(vertices.select("id").distinct(), [], ["id"], "i"))
+    n = index.count()
+    cells = edges.join(index.select(_c("id").alias("src"), _c("i").alias("si")), "src").join(
+        index.select(_c("id").alias("dst"), _c("i").alias("di")), "dst"
     ).groupBy("si", "di").agg(F.max("weight").alias("w"))
     packed = pin(cells.groupBy("si").agg(F.collect_list(F.struct("di", "w")).alias("row")))
-    n = len(names)
     rows = packed.rdd.map(lambda r: IndexedRow(r["si"], Vectors.sparse(n, sorted((e["di"], e["w"]) for e in r["row"]))))
     svd = IndexedRowMatrix(rows, n, n).computeSVD(min(dim, n), computeU=True)
     scale = [float(x) for x in svd.s]
     out = svd.U.rows.map(lambda r: (int(r.index), [float(v) * s for v, s in zip(r.vector.toArray(), scale)]))
     emb = spark.createDataFrame(out, "i long, embedding array<double>")
-    return emb.join(F.broadcast(index), "i").select("id", "embedding")
+    return emb.join(index, "i").select("id", "embedding")
 
 
 def pair_sums(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[float]]:

@@ -11,16 +11,6 @@ from tapeloom.operators.asof import asof
 from tapeloom.operators.matching import latest_per_key
 from tapeloom.operators.ordered import over_rows
 
-# A dimension side is broadcast only up to this measured row count; beyond it Spark's own
-# shuffle joins are used.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` when it is measured to be small, else ``df`` unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def point_in_time(left, right, by, left_time, right_time, left_id, right_id, features, ttl):
     """Left rows with the newest feature values not older than ``ttl``, null otherwise."""
     hit = asof(left, right, by, left_time, right_time, left_id, right_id, "backward", ttl)
@@ -39,7 +29,7 @@ def sentiment_by_symbol(left: DataFrame, scores: DataFrame) -> DataFrame:
         f.name for f in scores.schema.fields
         if f.dataType.typeName() in {"double", "float", "integer", "long"} and f.name not in {"symbol", "sentiment_timestamp"}
     ]
-    return left.join(small(scores.select("symbol", *numeric)), "symbol", "left")
+    return left.join(scores.select("symbol", *numeric), "symbol", "left")
 
 
 def news_sequence(left, news, left_time, news_time, left_id, news_id, vector, window, dim, horizon):
@@ -133,7 +123,7 @@ def graph_pairs(prices: DataFrame, edges: DataFrame, time: str, value: str) -> D
     pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     left = prices.select(F.col("symbol").alias("a"), F.col(time).alias("_t"), F.col(value).alias("x"))
     right = prices.select(F.col("symbol").alias("b"), F.col(time).alias("_t"), F.col(value).alias("y"))
-    return left.join(small(pairs), "a").join(right, ["b", "_t"]).select("a", "b", F.col("_t").alias(time), "x", "y")
+    return left.join(pairs, "a").join(right, ["b", "_t"]).select("a", "b", F.col("_t").alias(time), "x", "y")
 
 
 def entity_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:

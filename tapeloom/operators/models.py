@@ -406,7 +406,6 @@ def shared_start(df: DataFrame, symbol: str, features: Sequence[str], label: str
     Every inner step is one aggregation of gradients by symbol, so a symbol of any size is
     summed map-side; the weight table has one row per symbol.
     """
-    from tapeloom.operators.joins import small
     spark = df.sparkSession
     names = [f"w{i}" for i in range(len(features))]
     rows = df.select(symbol, _c(label).cast("double").alias("_y"), *features)
@@ -415,7 +414,7 @@ def shared_start(df: DataFrame, symbol: str, features: Sequence[str], label: str
     for _ in range(rounds):
         table = ids.withColumns({n: F.lit(v) for n, v in zip(names, start)})
         for _ in range(inner_steps):
-            joined = rows.join(small(table), symbol)
+            joined = rows.join(table, symbol)
             miss = sigmoid(total([_c(f) * _c(n) for f, n in zip(features, names)])) - _c("_y")
             grad = joined.groupBy(symbol, *names).agg(*[F.avg(miss * _c(f)).alias(f"g{i}") for i, f in enumerate(features)])
             table = pin(grad.select(symbol, *[(_c(n) - inner_lr * _c(f"g{i}")).alias(n) for i, n in enumerate(names)]))

@@ -43,7 +43,7 @@ def number_rows(df: DataFrame, order: Sequence[str], pos: str = POS) -> tuple[Da
     stored = pin(ordered)
     slice_id = F.shiftright("_mid", 33)
     # One row per range partition: bounded by the partition count, not by the data.
-    sizes = stored.groupBy(slice_id.alias("_slice")).count().orderBy("_slice").collect()
+    sizes = sorted(stored.groupBy(slice_id.alias("_slice")).count().collect())
     offsets, seen = [], 0
     for row in sizes:
         offsets.append((row["_slice"], seen - (row["_slice"] << 33)))

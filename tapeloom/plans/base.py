@@ -117,7 +117,7 @@ def closed_trades(spark, folder):
     """ticket, symbol, direction, open_time, close_time, profit, one row per closed order."""
     from tapeloom.operators.matching import pair_open_close
 
-    pairs = pair_open_close(pin(trade_log(spark, folder)), "ticket", "event_time", ["symbol", "order_type"])
+    pairs = pair_open_close(trade_log(spark, folder), "ticket", "event_time", ["symbol", "order_type"])
     return pairs.withColumns(
         {
             "direction": F.when(F.col("order_type") == 0, 1).otherwise(-1),
