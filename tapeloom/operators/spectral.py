@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.operators.ordered import over_rows
+from tapeloom.operators.ordered import last_known, over_rows
 from tapeloom.operators.windows import wide_by_symbol
 
 # Low-pass decomposition filter of the Daubechies wavelet with four vanishing moments
@@ -20,59 +21,63 @@ DB4_LOW = (
 STATS = ("mean", "std", "energy", "min", "max")
 
 
+def deepest_level(n: int) -> int:
+    """Levels that ``n`` values allow: each halving must leave as many as the filter has, less one."""
+    return max(0, int(math.log2(n / (len(DB4_LOW) - 1)))) if n >= len(DB4_LOW) else 0
+
+
 def wavelet_statistics(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, windows: Sequence[int] = (16, 32), level: int = 2,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, windows: Sequence[int] = (16, 32), level: int | None = None,
+    stats: Sequence[str] = STATS,
 ) -> DataFrame:
-    """Statistics of each wavelet-packet node over full trailing windows; 0 before.
+    """Statistics of all wavelet-packet coefficients of a level, ``{column}_wp_w{window}_L{level}_{stat}``, for
+    levels 1 to ``level``, or to the deepest that the window allows.
 
-    Spark places the rows and collects each window; a vectorised function transforms a batch
-    of windows at once.
+    A window has up to ``window`` rows, fewer at the start of a key; levels that its rows don't allow are 0.
+    Nulls take the last value before, or 0.  Spark places the rows and collects each window; a batch of
+    windows is transformed together, one length at a time.
     """
-    nodes = ["".join(p) for p in _paths(level)]
+    rows = last_known(df, keys, order, {"_x": F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))})
+    rows = rows.withColumn("_x", F.coalesce("_x", F.lit(0.0)))
+    levels = {w: min(level or deepest_level(w), deepest_level(w)) for w in windows}
+    used = [w for w in windows if levels[w]]
 
     def build(rows, lay):
-        return rows.withColumns(
-            {f"_w{w}": F.collect_list(F.coalesce(F.col(column).cast("double"), F.lit(0.0))).over(lay.rows(1 - w, 0)) for w in windows}
-        )
-
-    rows = over_rows(df, keys, order, build, before=max(windows))
-    for w in windows:
-        names = [f"wp_{column}_w{w}_{n}_{s}" for n in nodes for s in STATS]
-        udf = _packet_udf(w, level, len(nodes))
-        rows = rows.withColumn("_s", udf(f"_w{w}")).withColumns({n: F.get("_s", F.lit(i)) for i, n in enumerate(names)}).drop("_s", f"_w{w}")
-    return rows
+        return rows.withColumns({f"_w{w}": F.collect_list("_x").over(lay.rows(1 - w, 0)) for w in used})
 
+    rows = over_rows(rows, keys, order, build, before=max(windows))
+    for w in used:
+        names = [f"{column}_wp_w{w}_L{n}_{s}" for n in range(1, levels[w] + 1) for s in stats]
+        rows = rows.withColumn("_s", _packet_udf(levels[w], list(stats))(f"_w{w}"))
+        rows = rows.withColumns({n: F.get("_s", F.lit(i)) for i, n in enumerate(names)}).drop("_s", f"_w{w}")
+    return rows.drop("_x")
 
-def _paths(level: int) -> list[tuple[str, ...]]:
-    out = [()]
-    for _ in range(level):
-        out = [p + (b,) for p in out for b in "ad"]
-    return out
 
-
-def _packet_udf(window: int, level: int, n_nodes: int):
+def _packet_udf(levels: int, stats: list[str]):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def stats(series):
+    def of(series):
         import numpy as np
         import pandas as pd
 
+        measures = {
+            "mean": lambda c: c.mean(1), "std": lambda c: c.std(1), "energy": lambda c: (c * c).sum(1),
+            "min": lambda c: c.min(1), "max": lambda c: c.max(1),
+        }
         low = np.array(DB4_LOW)
         high = low[::-1] * np.where(np.arange(len(low)) % 2 == 0, -1.0, 1.0)
-        width = n_nodes * 5
-        out = np.zeros((len(series), width))
-        full = np.array([len(v) == window for v in series])
-        if full.any():
-            x = np.vstack([np.asarray(v, dtype=float) for v in series[full]])
-            parts = [x]
-            for _ in range(level):
-                parts = [q for p in parts for q in (_halve(p, low), _halve(p, high))]
-            cells = [
-                np.stack([p.mean(1), p.std(1), (p * p).sum(1), p.min(1), p.max(1)], axis=1) for p in parts
-            ]
-            out[full] = np.concatenate(cells, axis=1)
+        out = np.zeros((len(series), levels * len(stats)))
+        lengths = series.map(len).to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            nodes = [np.vstack([np.asarray(v, dtype=float) for v in series.iloc[at]])]
+            for depth in range(min(levels, deepest_level(int(n)))):
+                nodes = [half for node in nodes for half in (_halve(node, low), _halve(node, high))]
+                joined = np.concatenate(nodes, axis=1)
+                for i, name in enumerate(stats):
+                    out[at, depth * len(stats) + i] = measures[name](joined)
         return pd.Series(list(out))
 
-    return stats
+    return of
 
 
 def _halve(x, taps):

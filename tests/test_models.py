@@ -164,9 +164,12 @@ def test_dtw_mixup_is_the_same_when_split(spark, small_blocks):
 
 def test_wavelet_and_cross_spectrum(spark):
     flat = spark.createDataFrame([("s", i, 3.0) for i in range(40)], "symbol string, t long, x double")
-    r = SP.wavelet_statistics(flat, ["symbol"], ["t"], "x", windows=(16,), level=1).orderBy(F.col("t").desc()).first()
-    assert r["wp_x_w16_a_mean"] == pytest.approx(3.0 * np.sqrt(2), abs=1e-9)
-    assert r["wp_x_w16_d_energy"] == pytest.approx(0.0, abs=1e-12)
+    got = SP.wavelet_statistics(flat, ["symbol"], ["t"], "x", windows=(16, 32)).orderBy("t").collect()
+    assert [c for c in got[0].asDict() if "_wp_" in c] == [f"x_wp_{n}_{s}" for n in ("w16_L1", "w32_L1", "w32_L2") for s in SP.STATS]
+    # A constant c has c * sqrt(2) in the low half of each level and 0 in the high one, both of 11 values.
+    assert got[-1]["x_wp_w16_L1_mean"] == pytest.approx(1.5 * np.sqrt(2)) and got[-1]["x_wp_w16_L1_min"] == pytest.approx(0.0, abs=1e-9)
+    assert got[-1]["x_wp_w32_L2_max"] == pytest.approx(6.0) and got[20]["x_wp_w32_L2_max"] == 0.0
+    assert got[12]["x_wp_w16_L1_max"] == 0.0 and got[13]["x_wp_w16_L1_max"] == pytest.approx(3 * np.sqrt(2))
     two = flat.union(flat.withColumns({"symbol": F.lit("u"), "x": F.sin(F.col("t") * 0.9)}))
     c = SP.cross_spectrum(two, "t", [("s", "u")], "x").orderBy(F.col("t").desc()).first()
     assert 0 <= c["csd_freq_s_u"] <= 0.5 and c["csd_coh_s_u"] <= 1 + 1e-9
