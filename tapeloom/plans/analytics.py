@@ -151,17 +151,16 @@ def weighted_degree(spark, sf):
 
 @query("pagerank", """
 WITH RECURSIVE v AS (SELECT s_suppkey AS id, (SELECT count(*) FROM supplier) AS n FROM supplier),
-ed AS (SELECT l_suppkey AS src, (l_partkey % (SELECT count(*) FROM supplier)) + (SELECT min(s_suppkey) FROM supplier) AS dst, sum(l_quantity) AS w FROM lineitem WHERE l_suppkey % 10 <> 3 GROUP BY 1, 2),
+ed AS (SELECT l_suppkey AS src, (l_partkey % (SELECT count(*) FROM supplier)) + (SELECT min(s_suppkey) FROM supplier) AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
 sh AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM ed),
 r AS (SELECT id, 0 AS step, 1.0::DOUBLE / n AS rank FROM v UNION ALL
     SELECT v.id, x.step + 1, 0.15 / v.n + 0.85 * coalesce(x.got, 0) FROM v JOIN (SELECT g.id, max(g.step) AS step, sum(g.got) AS got FROM (
-        SELECT sh.dst AS id, r.step, r.rank * sh.share AS got FROM r JOIN sh ON sh.src = r.id UNION ALL SELECT r.id, r.step, 0 FROM r) g GROUP BY 1) x ON x.id = v.id WHERE x.step < 8)
-SELECT id, rank FROM r WHERE step = 8""", doubles="rank", digits=5)
+        SELECT sh.dst AS id, r.step, r.rank * sh.share AS got FROM r JOIN sh ON sh.src = r.id UNION ALL SELECT r.id, r.step, 0 FROM r) g GROUP BY 1) x ON x.id = v.id WHERE x.step < 40)
+SELECT id, rank FROM r WHERE step = 40""", doubles="rank", digits=5)
 def pagerank(spark, sf):
     n, lo = table(spark, sf, "supplier").agg(F.count(F.lit(1)), F.min("s_suppkey")).first()
-    li = table(spark, sf, "lineitem").filter(F.col("l_suppkey") % 10 != 3)
-    edges = li.groupBy(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") % n) + lo).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
-    return G.pagerank(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), edges, tol=1e-12, max_iter=8)
+    edges = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") % n) + lo).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
+    return G.pagerank(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), edges, tol=1e-7, max_iter=100)
 
 
 @query("spectral_embedding")
@@ -346,10 +345,11 @@ SPECS = {
 
 
 @query("candidate_strategies", """
-WITH w AS (SELECT hr, close AS p, avg(close) OVER (ORDER BY hr ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma, lead(close) OVER (ORDER BY hr) - close AS mv FROM bars WHERE symbol = 'click'),
+WITH m AS (SELECT hr, avg(close) AS close FROM bars GROUP BY 1),
+w AS (SELECT hr, close AS p, avg(close) OVER (ORDER BY hr ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS sma, lead(close) OVER (ORDER BY hr) - close AS mv FROM m),
 l AS (SELECT 'momentum' AS candidate, 5 AS complexity, hr, CASE WHEN p > sma THEN mv ELSE 0 END AS pnl FROM w WHERE mv IS NOT NULL UNION ALL SELECT 'reversal', 4, hr, CASE WHEN p > 30 THEN -mv ELSE 0 END FROM w WHERE mv IS NOT NULL),
 c AS (SELECT *, sum(pnl) OVER (PARTITION BY candidate ORDER BY hr) AS cum FROM l), d AS (SELECT *, max(cum) OVER (PARTITION BY candidate ORDER BY hr) - cum AS dd FROM c)
 SELECT candidate, sum(pnl) AS ret, max(dd) AS risk, max(complexity)::INT AS complexity FROM d GROUP BY 1""", ctes="bars", doubles="ret risk", digits=4)
 def candidate_strategies(spark, sf):
-    click = bars(spark, sf).filter("symbol = 'click'").select("hr", "close")
-    return M.evaluate_candidates(click, SPECS, ["hr"], "close")
+    market = bars(spark, sf).groupBy("hr").agg(F.avg("close").alias("close"))
+    return M.evaluate_candidates(market, SPECS, ["hr"], "close")

@@ -95,15 +95,15 @@ def federated_mean(spark, sf):
 
 
 @query("headline_pooling", """
-WITH n AS (SELECT symbol, vec, i FROM news, range(1, 5) r(i)), c AS (SELECT symbol, i, avg(vec[i]) AS m, count(*) AS headline_count FROM n GROUP BY 1, 2)
-SELECT symbol, max(headline_count) AS headline_count, max(m) FILTER (i = 1) AS emb_0, max(m) FILTER (i = 4) AS emb_3 FROM c GROUP BY 1""", ctes="news", doubles="emb_0 emb_3")
+WITH n AS (SELECT symbol, vec, i FROM news, range(1, 65) r(i)), c AS (SELECT symbol, i, avg(vec[i]) AS m, count(*) AS headline_count FROM n GROUP BY 1, 2)
+SELECT symbol, max(headline_count) AS headline_count, max(m) FILTER (i = 1) AS emb_0, max(m) FILTER (i = 64) AS emb_63 FROM c GROUP BY 1""", ctes="news", doubles="emb_0 emb_63")
 def headline_pooling(spark, sf):
     from tapeloom.plans.joins import _news
 
     news = _news(spark, sf).select("symbol", F.col("vec").cast("array<double>").alias("vec"))
     counts = news.groupBy("symbol").agg(F.count(F.lit(1)).alias("headline_count"))
     m = A.vector_mean(news, ["symbol"], "vec").join(counts, "symbol")
-    return m.select("symbol", "headline_count", F.get("mean", F.lit(0)).alias("emb_0"), F.get("mean", F.lit(3)).alias("emb_3"))
+    return m.select("symbol", "headline_count", F.get("mean", F.lit(0)).alias("emb_0"), F.get("mean", F.lit(63)).alias("emb_63"))
 
 
 @query("noisy_group_mean")

@@ -268,12 +268,18 @@ def expected_value(spark, sf):
     return ticks(spark, sf).select("id", SC.expected_value(MODEL | {"pnl_coefficients": [3.0, 2.0], "pnl_intercept": -0.5}).alias("ev"))
 
 
+DIM = 64  # components of an embedding
+
+
 @query("linear_encoder", """
-SELECT vec_id, 0.5 * (embedding[1]::DOUBLE - 0.01) / 0.1 - 0.25 * (embedding[2]::DOUBLE + 0.02) / 0.2 + 0.3 AS e0, 1.5 * (embedding[1]::DOUBLE - 0.01) / 0.1 + (embedding[2]::DOUBLE + 0.02) / 0.2 - 0.1 AS e1 FROM embeddings""",
+WITH z AS (SELECT vec_id, list_transform(embedding, lambda x, i: (x::DOUBLE - 0.01 * (i % 3)) / (0.1 * (1 + i % 2))) AS z FROM embeddings)
+SELECT vec_id, list_sum(list_transform(z, lambda x, i: x / i)) + 0.3 AS e0, list_sum(list_transform(z, lambda x, i: x * (i % 5 - 2))) - 0.1 AS e1 FROM z""",
     doubles="e0 e1")
 def linear_encoder(spark, sf):
-    xs = [F.get("embedding", F.lit(i)).cast("double") for i in range(2)]
-    a, b = SC.encode(xs, [[0.5, -0.25], [1.5, 1.0]], [0.3, -0.1], [0.01, -0.02], [0.1, 0.2])
+    at = range(1, DIM + 1)
+    xs = [F.get("embedding", F.lit(i - 1)).cast("double") for i in at]
+    weights = [[1 / i for i in at], [i % 5 - 2 for i in at]]
+    a, b = SC.encode(xs, weights, [0.3, -0.1], [0.01 * (i % 3) for i in at], [0.1 * (1 + i % 2) for i in at])
     return table(spark, sf, "embeddings").select("vec_id", a.alias("e0"), b.alias("e1"))
 
 
@@ -336,12 +342,13 @@ def weighted_ensemble(spark, sf):
 
 
 @query("reconstruction_error", """
-WITH x AS (SELECT vec_id, embedding[1]::DOUBLE - 0.01 AS a, embedding[2]::DOUBLE + 0.02 AS b FROM embeddings), c AS (SELECT *, 0.6 * a + 0.8 * b AS c FROM x)
-SELECT vec_id, (pow(a - 0.6 * c, 2) + pow(b - 0.8 * c, 2)) / 2 AS error, (pow(a - 0.6 * c, 2) + pow(b - 0.8 * c, 2)) / 2 > 0.01 AS is_anomaly FROM c""", doubles="error", digits=8)
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - 0.01) AS x FROM embeddings), c AS (SELECT *, list_sum(x) / 8 AS c FROM x),
+e AS (SELECT vec_id, list_sum(list_transform(x, lambda v: pow(v - c / 8, 2))) / 64 AS error FROM c)
+SELECT vec_id, error, error > 0.016 AS is_anomaly FROM e""", doubles="error", digits=8)
 def reconstruction_error(spark, sf):
-    xs = [F.get("embedding", F.lit(i)).cast("double") for i in range(2)]
-    e = SC.reconstruction_error(xs, [0.01, -0.02], [[0.6, 0.8]])
-    return table(spark, sf, "embeddings").select("vec_id", e.alias("error"), (e > 0.01).alias("is_anomaly"))
+    xs = [F.get("embedding", F.lit(i)).cast("double") for i in range(DIM)]
+    e = SC.reconstruction_error(xs, [0.01] * DIM, [[1 / 8] * DIM])
+    return table(spark, sf, "embeddings").select("vec_id", e.alias("error"), (e > 0.016).alias("is_anomaly"))
 
 
 @query("decision_id_in_comment", """

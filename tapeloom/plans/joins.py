@@ -67,13 +67,13 @@ def _news(spark, sf):
         F.get(names, F.col("label") % 5).alias("symbol"),
         (F.lit(1704067200000000) + F.col("vec_id") * HOUR).alias("nt"),
         F.col("vec_id").alias("nid"),
-        F.slice("embedding", 1, 4).alias("vec"),
+        F.col("embedding").alias("vec"),
         F.get("embedding", F.lit(0)).cast("double").alias("score"),
     )
 
 
 base.CTES["news"] = f"""news AS (SELECT ['click','error','purchase','signup','view'][label % 5 + 1] AS symbol, 1704067200000000 + vec_id * {HOUR} AS nt,
-    vec_id AS nid, embedding[1:4]::DOUBLE[] AS vec, embedding[1]::DOUBLE AS score FROM embeddings)"""
+    vec_id AS nid, embedding::DOUBLE[] AS vec, embedding[1]::DOUBLE AS score FROM embeddings)"""
 
 
 @query("sentiment_asof", """
@@ -96,13 +96,14 @@ def sentiment_by_symbol(spark, sf):
 @query("news_sequence", f"""
 WITH c AS (SELECT id, t, nt, nid, vec, row_number() OVER (PARTITION BY id ORDER BY nt DESC, nid DESC) AS age FROM ticks JOIN news
     ON ticks.symbol = news.symbol AND nt <= t AND nt >= t - {2 * DAY}),
-g AS (SELECT id, count(*) AS n, max(vec[1]) FILTER (age = 1) AS newest, sum(vec[2]) AS total FROM c WHERE age <= 3 GROUP BY 1)
+g AS (SELECT id, count(*) AS n, max(vec[1]) FILTER (age = 1) AS newest, sum(list_sum(vec)) AS total FROM c WHERE age <= 3 GROUP BY 1)
 SELECT t.id, coalesce(n, 0)::INT AS news_count, coalesce(newest, 0) AS newest, coalesce(total, 0) AS total, 3 AS steps FROM ticks t LEFT JOIN g ON g.id = t.id""",
     doubles="newest total", ctes="ticks news")
 def news_sequence(spark, sf):
-    df = J.news_sequence(ticks(spark, sf).select("symbol", "t", "id"), _news(spark, sf), "t", "nt", "id", "nid", "vec", 3, 4, 2 * DAY)
+    df = J.news_sequence(ticks(spark, sf).select("symbol", "t", "id"), _news(spark, sf), "t", "nt", "id", "nid", "vec", 3, 64, 2 * DAY)
     seq = F.col("news_sequence")
-    return df.select("id", "news_count", seq[2][0].alias("newest"), (seq[0][1] + seq[1][1] + seq[2][1]).alias("total"), F.size(seq).alias("steps"))
+    whole = F.aggregate(F.flatten(seq), F.lit(0.0), lambda x, y: x + y)
+    return df.select("id", "news_count", seq[2][0].alias("newest"), whole.alias("total"), F.size(seq).alias("steps"))
 
 
 @query("calendar_events", f"""
@@ -219,20 +220,19 @@ def entity_graph_features(spark, sf):
 
 @query("volatility_lookup", f"""
 WITH d AS (SELECT symbol, t, id, bid - lag(bid) OVER (PARTITION BY symbol ORDER BY t, id) AS d FROM ticks),
-h AS (SELECT t // {HOUR} AS hr, stddev_pop(d) AS v FROM d WHERE symbol = 'click' GROUP BY 1 HAVING count(d) > 1),
-y AS (SELECT t // {DAY} AS dy, stddev_pop(d) AS v FROM d WHERE symbol = 'click' GROUP BY 1 HAVING count(d) > 1)
-SELECT id, coalesce(h.v, y.v, 0) AS volatility FROM ticks LEFT JOIN h ON t // {HOUR} = hr LEFT JOIN y ON t // {DAY} = dy""", doubles="volatility", ctes="ticks")
+h AS (SELECT symbol, t // {HOUR} AS hr, stddev_pop(d) AS v FROM d GROUP BY 1, 2 HAVING count(d) > 1),
+y AS (SELECT symbol, t // {DAY} AS dy, stddev_pop(d) AS v FROM d GROUP BY 1, 2 HAVING count(d) > 1)
+SELECT id, coalesce(h.v, y.v, 0) AS volatility FROM ticks LEFT JOIN h ON t // {HOUR} = hr AND h.symbol = ticks.symbol LEFT JOIN y ON t // {DAY} = dy AND y.symbol = ticks.symbol""", doubles="volatility", ctes="ticks")
 def volatility_lookup(spark, sf):
     from tapeloom.operators.ticks import interval_volatility
 
     t = ticks(spark, sf)
-    click = t.filter(F.col("symbol") == "click")
 
     def table_for(span, name):
-        v = interval_volatility(click, ["symbol"], ["t", "id"], "bid", "t", span, name)
-        return v.filter(F.col("moves") > 1).select(name, "volatility")
+        v = interval_volatility(t, ["symbol"], ["t", "id"], "bid", "t", span, name)
+        return v.filter(F.col("moves") > 1).select("symbol", name, "volatility")
 
-    left = t.select("id", F.floor(F.col("t") / HOUR).alias("hr"), F.floor(F.col("t") / DAY).alias("dy"))
+    left = t.select("symbol", "id", F.floor(F.col("t") / HOUR).alias("hr"), F.floor(F.col("t") / DAY).alias("dy"))
     return J.volatility_lookup(left, table_for(HOUR, "hr"), table_for(DAY, "dy")).select("id", "volatility")
 
 

@@ -173,13 +173,13 @@ def tick_scan(spark, sf):
 
 
 @query("depth_by_position", """
-WITH l AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS i FROM events WHERE event_type = 'click'),
-r AS (SELECT value, row_number() OVER (ORDER BY event_id) AS i FROM events WHERE event_type = 'view')
+WITH l AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT value, row_number() OVER (ORDER BY event_id) AS i FROM events)
 SELECT event_id, value AS best_bid FROM l LEFT JOIN r USING (i)""", doubles="best_bid")
 def depth_by_position(spark, sf):
     e = table(spark, sf, "events")
-    left = e.filter(F.col("event_type") == "click").select("event_id", "ts")
-    right = e.filter(F.col("event_type") == "view").select(F.col("event_id").alias("n"), F.concat(F.lit("["), F.col("value").cast("string"), F.lit("]")).alias("bid_depth"))
+    left = e.select("event_id", "ts")
+    right = e.select(F.col("event_id").alias("n"), F.concat(F.lit("["), F.col("value").cast("string"), F.lit("]")).alias("bid_depth"))
     df = R.join_depth(left, R.parse_depth(right, ["bid_depth"]), None, ["ts", "event_id"], ["n"])
     return df.select("event_id", F.col("bid_depth")[0].alias("best_bid"))
 
@@ -312,11 +312,12 @@ def action_filter(spark, sf):
 
 
 @query("exact_duplicates", """
-SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_discount, l_tax FROM lineitem)) AS duplicate_rows,
-    (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_discount, l_tax FROM lineitem)) AS kept_rows""")
+WITH c AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 3 = 0), d AS (SELECT DISTINCT * FROM c)
+SELECT (SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS duplicate_rows, (SELECT count(*) FROM d) AS kept_rows""")
 def exact_duplicates(spark, sf):
-    kept, removed = Q.exact_duplicates(table(spark, sf, "lineitem").select("l_suppkey", "l_discount", "l_tax"))
-    return removed.join(kept.agg(F.count(F.lit(1)).alias("kept_rows")))
+    rows = table(spark, sf, "lineitem")
+    kept, removed = Q.exact_duplicates(rows.unionByName(rows.filter("l_orderkey % 3 = 0")))
+    return removed.join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("kept_rows"))))  # one row each
 
 
 @query("zscore_outliers", """
