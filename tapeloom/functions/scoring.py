@@ -152,10 +152,16 @@ def reconstruction_error(xs: Sequence[Column], mean: Sequence[float], components
 
 
 def score_log(df: DataFrame, model: Mapping, name: str = "new_probability") -> DataFrame:
-    """Score a decision log with a stored model of any supported kind."""
+    """Score a decision log with a stored model of any supported kind.
+
+    Stored network weights have a row per input and a column per hidden unit; output weight and bias may be
+    wrapped in lists.  A network without weights is scored as a logistic model.
+    """
     kind = model.get("model_type", "logreg")
-    if kind == "nn":
-        p = tanh_network(prepared(model), *[model["nn_weights"][i] for i in range(4)])
+    if kind == "nn" and model.get("nn_weights"):
+        w1, b1, w2, b2 = model["nn_weights"][:4]
+        w2 = [w[0] if isinstance(w, Sequence) else w for w in w2]
+        p = tanh_network(prepared(model), list(zip(*w1)), b1, w2, b2[0] if isinstance(b2, Sequence) else b2)
     elif kind == "moe":
         gate = model["regime_gating"]
         xs = [feature(n) for n in gate["feature_names"]]

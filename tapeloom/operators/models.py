@@ -105,18 +105,21 @@ def voting_probability(df: DataFrame, models: Mapping[str, PipelineModel], weigh
     return df.select(*kept, p.alias("p"))
 
 
-def grid_evaluation(df: DataFrame, order: Sequence[str], features: Sequence[str], label: str, profit: str, model: str, grid: Sequence[Mapping], max_drawdown: float | None = None, penalty: float = 0.0) -> DataFrame:
-    """Mean out-of-fold AUC per parameter set, skipping sets that breach the drawdown limit."""
+def grid_evaluation(df: DataFrame, order: Sequence[str], features: Sequence[str], label: str, profit: str, model: str, grid: Sequence[Mapping], max_drawdown: float | None = None, penalty: float = 0.0, var_limit: float | None = None, weight: str | None = None) -> DataFrame:
+    """Out-of-fold AUC per parameter set, skipping sets that breach the drawdown or value-at-risk limit.
+
+    The value at risk is the 5 % quantile of the returns taken, with its sign turned."""
     spark, rows = df.sparkSession, []
     for i, settings in enumerate(grid):
-        scored = pin(fold_fits(df, order, features, label, None, model, **settings).join(df.select(*order, profit), list(order)))
+        scored = pin(fold_fits(df, order, features, label, weight, model, **settings).join(df.select(*order, profit), list(order)))
         taken = scored.withColumn("_r", F.when(_c("p") >= 0.5, _c(profit)).otherwise(0.0))
         area = auc(scored).first()["roc_auc"]
         worst = drawdown(taken, [], order, "_r").first()["max_drawdown"]
-        ok = max_drawdown is None or worst <= max_drawdown
+        at_risk = -(quantiles(taken, [], "_r", {"q": 0.05}).first()["q"] or 0.0)
+        ok = (max_drawdown is None or worst <= max_drawdown) and (var_limit is None or at_risk <= var_limit)
         score = (area if area is not None else 0.0) - penalty * worst
-        rows.append((i, str(dict(settings)), float(area or 0.0), float(worst), bool(ok), float(score)))
-    table = spark.createDataFrame(rows, "param_set int, settings string, roc_auc double, max_drawdown double, within_limits boolean, score double")
+        rows.append((i, str(dict(settings)), float(area or 0.0), float(worst), float(at_risk), bool(ok), float(score)))
+    table = spark.createDataFrame(rows, "param_set int, settings string, roc_auc double, max_drawdown double, var_95 double, within_limits boolean, score double")
     best = table.filter("within_limits").agg(F.max_by("param_set", F.struct("score", -_c("param_set"))).alias("_b"))
     return table.join(F.broadcast(best)).withColumn("best", F.coalesce(_c("param_set") == _c("_b"), F.lit(False))).drop("_b")  # one row
 

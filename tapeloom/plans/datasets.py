@@ -395,10 +395,23 @@ def log_variance(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", lv.alias("lv"), S.gaussian_nll(F.col("l_tax"), F.col("l_discount"), lv).alias("nll"))
 
 
+NETWORK = MODEL | {"model_type": "nn", "nn_weights": [[[0.5, -0.3, 0.2], [-0.2, 0.8, 0.1]], [0.1, -0.2, 0.3], [[1.2], [-0.7], [0.4]], [0.05]]}
+EXPERTS = MODEL | {
+    "model_type": "moe", "regime_gating": {"feature_names": ["ask"], "weights": [[0.01], [-0.02]], "intercepts": [0.0, 1.0]},
+    "session_models": [{"coefficients": [1.0, -1.0], "intercept": 0.0}, {"coefficients": [0.2, 0.4], "intercept": 0.1}],
+}
+
+
 @query("score_decision_log", f"""
-SELECT id, 1 / (1 + exp(-{LOGIT})) AS new_probability FROM ticks""", ctes="ticks", doubles="new_probability")
+WITH z AS (SELECT id, ask, {Z0} AS a, {Z1} AS b, 1 / (1 + exp(-{LOGIT})) AS logistic FROM ticks),
+h AS (SELECT *, tanh(0.5 * a - 0.2 * b + 0.1) AS u, tanh(-0.3 * a + 0.8 * b - 0.2) AS v, tanh(0.2 * a + 0.1 * b + 0.3) AS w, exp(0.01 * ask) AS g0, exp(1 - 0.02 * ask) AS g1 FROM z)
+SELECT id, logistic, 1 / (1 + exp(-(1.2 * u - 0.7 * v + 0.4 * w + 0.05))) AS network,
+    (g0 / (1 + exp(-(a - b))) + g1 / (1 + exp(-(0.2 * a + 0.4 * b + 0.1)))) / (g0 + g1) AS experts FROM h""", ctes="ticks", doubles="logistic network experts")
 def score_decision_log(spark, sf):
-    return SC.score_log(ticks(spark, sf), MODEL).select("id", "new_probability")
+    df = ticks(spark, sf)
+    for name, model in (("logistic", MODEL), ("network", NETWORK), ("experts", EXPERTS)):
+        df = SC.score_log(df, model, name)
+    return df.select("id", "logistic", "network", "experts")
 
 
 @query("exact_quantiles", """

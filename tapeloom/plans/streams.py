@@ -56,7 +56,7 @@ def stream_validation(spark, sf):
     json_lines(spark, sf).repartition(3).write.text(folder)
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(folder)
     good, bad = P.route_json(lines, S.struct(MESSAGE), 3)
-    return good.agg(F.count(F.lit(1)).alias("accepted"), F.sum("k").alias("total_k")).join(bad.agg(F.count(F.lit(1)).alias("rejected")))
+    return good.agg(F.count(F.lit(1)).alias("accepted"), F.sum("k").alias("total_k")).join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("rejected"))))  # one row each
 
 
 @query("stream_deduplicated", """
@@ -165,7 +165,8 @@ def stream_sgd_updates(spark, sf):
 
 @query("stream_replay_sample")
 def stream_replay_sample(spark, sf):
-    rows = base.decisions(spark, sf).select("t", "decision_id", "probability", (F.abs("profit") + 0.1).alias("weight"))
+    rows = base.decisions(spark, sf).select("t", "decision_id", "probability", (F.col("profit") > 0).cast("int").alias("y"))
+    rows = rows.withColumn("weight", P.replay_weight("probability", "y"))
     return P.replay_sample(arriving(rows, "t"), ["t", "decision_id"], "weight", 500, 50)
 
 

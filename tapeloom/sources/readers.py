@@ -178,13 +178,14 @@ def read_log_table(spark: SparkSession, url: str, driver: str, lower: int, upper
     )
 
 
-def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema: T.StructType, max_offsets: int = 1_000_000) -> DataFrame:
-    """JSON messages of a topic from the earliest offset; needs the Kafka connector jar."""
+def kafka_stream(spark: SparkSession, brokers: str, topic: str, schema: T.StructType, version: int, max_offsets: int = 1_000_000) -> DataFrame:
+    """JSON messages of a topic from the earliest offset, as ``value``, ``row`` and ``reason``; needs the Kafka
+    connector jar.  Messages that don't fit have a reason and belong in the quarantine."""
     raw = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
         .option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", max_offsets).load()
     )
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("row")).select("row.*")
+    return parse_json_lines(raw.select(F.col("value").cast("string").alias("value")), schema, version)
 
 
 def follow_csv(spark: SparkSession, folder: str, schema: T.StructType, sep: str = ";", files_per_trigger: int = 100) -> DataFrame:

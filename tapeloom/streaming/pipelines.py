@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,13 @@ def sgd_updates(stream: DataFrame, features: Sequence[str], label: str, rate: fl
     return store.read()
 
 
+def replay_weight(score: str, label: str) -> Column:
+    """How much a scored row has to teach: its log loss plus the distance of its score from its label."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(score).cast("double")))
+    hit = F.col(label) == 1
+    return -F.ln(F.when(hit, p).otherwise(1 - p)) + F.abs(F.col(score) - F.col(label))
+
+
 def replay_sample(stream: DataFrame, order: Sequence[str], weight: str, capacity: int, k: int, seed: int = 0) -> DataFrame:
     """Keep the newest ``capacity`` rows of a stream and draw ``k`` by weight at the end.
 
