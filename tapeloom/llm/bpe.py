@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 NONE = 1 << 62
-# Pieces of up to so many bytes are remembered; so many of them, then the memory starts anew.
-CACHE_BYTES, CACHE_PIECES = 48, 300_000
+# Pieces of up to so many characters are remembered; so many of them, then the memory starts anew.
+CACHE_CHARS, CACHE_PIECES = 40, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,47 +30,77 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
     Leaf i of the tree holds the rank of the pair that the token at byte i makes with its live right
     neighbour, and i itself, so that the root is the leftmost pair of the lowest rank.  A merge takes
-    the right token out of the chain of live tokens and updates three leaves, each up to the root:
-    n log n steps for n bytes, whatever the piece.  A piece that is a token is not split.
+    the right token out of the chain of live tokens and updates three leaves, each up to the root or
+    to where the least stays: n log n steps for n bytes, whatever the piece.  A piece that is a token is
+    not split.
     """
-    if (whole := ranks.get(piece)) is not None:
+    whole = ranks.get(piece)
+    if whole is not None:
         return [whole]
     n = len(piece)
-    width = 1 << max(0, n - 1).bit_length()
+    width = 1 << (n - 2).bit_length() if n > 2 else 1  # the last byte starts no pair
     end = list(range(1, n + 1))  # where the token at i ends, which is where its neighbour starts
     before = list(range(-1, n))
+    rank = ranks.get
     tree = [NONE] * (2 * width)
-
-    def pair(i: int) -> int:
-        j = end[i]
-        rank = ranks.get(piece[i : end[j]]) if j < n else None
-        return NONE if rank is None else rank << 32 | i
-
-    for i in range(n):
-        tree[width + i] = pair(i)
+    at = width
+    for i in range(n - 1):
+        found = rank(piece[i : i + 2])
+        if found is not None:
+            tree[at] = found << 32 | i
+        at += 1
     for k in range(width - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, value: int) -> None:
+        left, right = tree[2 * k], tree[2 * k + 1]
+        tree[k] = left if left < right else right
+    while (top := tree[1]) != NONE:
+        i = top & 0xFFFFFFFF
+        gone = end[i]
+        end[i] = after = end[gone]
+        value = NONE
+        if after < n:
+            before[after] = i
+            found = rank(piece[i : end[after]])
+            if found is not None:
+                value = found << 32 | i
         k = width + i
+        if gone < width:
+            if gone == i + 1 and not i & 1:  # both leaves have one parent
+                tree[k + 1] = NONE
+            else:
+                g, least = width + gone, NONE
+                tree[g] = NONE
+                while g > 1:
+                    beside = tree[g ^ 1]
+                    if beside < least:
+                        least = beside
+                    g >>= 1
+                    if tree[g] == least:
+                        break
+                    tree[g] = least
         tree[k] = value
         while k > 1:
+            beside = tree[k ^ 1]
+            if beside < value:
+                value = beside
             k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
+            if tree[k] == value:
                 break
-            tree[k] = least
-
-    while tree[1] != NONE:
-        i = tree[1] & 0xFFFFFFFF
-        gone = end[i]
-        end[i] = end[gone]
-        if end[i] < n:
-            before[end[i]] = i
-        put(gone, NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            tree[k] = value
+        j = before[i]
+        if j >= 0:
+            found = rank(piece[j:after])
+            value = NONE if found is None else found << 32 | j
+            k = width + j
+            if tree[k] != value:
+                tree[k] = value
+                while k > 1:
+                    beside = tree[k ^ 1]
+                    if beside < value:
+                        value = beside
+                    k >>= 1
+                    if tree[k] == value:
+                        break
+                    tree[k] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -79,23 +109,37 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Splits texts by a pattern and merges each match; remembers short pieces, up to a bound."""
+    """Splits texts by a pattern and merges each match; remembers short ones as packed ids, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8")
-        ids = merge(raw, self.ranks)
-        if len(raw) <= CACHE_BYTES:
+    def __missing__(self, piece: str) -> bytes:
+        ids = merge(piece.encode("utf-8"), self.ranks)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[piece] = packed
+        return packed
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, self.find(text or "")))
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.find(text or ""))), dtype=np.int32)
+        return np.frombuffer(self.packed(text), dtype="<u4").astype(np.int32)
+
+
+def _encoder(held: dict) -> Encoder:
+    if "encoder" not in held:
+        held["encoder"] = Encoder(held["ranks"], held["pattern"])
+    return held["encoder"]
+
+
+def decoder(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {i: token for token, i in ranks.items()}
 
 
 class Tokenizer:
@@ -103,45 +147,52 @@ class Tokenizer:
     is that of the vocabulary."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
-        self.ranks = spark.sparkContext.broadcast(read_ranks(path))
-        self.pattern = pattern
+        # A worker keeps its copy of a broadcast between tasks, and with it the encoder put there.
+        self.sent = spark.sparkContext.broadcast({"ranks": read_ranks(path), "pattern": pattern})
 
     def encode(self, text: Column) -> Column:
         """Token ids of whole texts as an array of int; a null or empty text has none."""
-        ranks, pattern = self.ranks, self.pattern
+        sent = self.sent
 
         @pandas_udf("array<int>")
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = Encoder(ranks.value, pattern)
+            encoder = _encoder(sent.value)
             for texts in batches:
                 yield texts.map(encoder.encode)
 
         return ids(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """Struct of the number of token ids, their digest as little-endian unsigned 32-bit integers, and the
+        digest of the bytes they decode to.  Ids stay in the task: one text's are held at a time."""
+        sent = self.sent
+
+        @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder, token = _encoder(sent.value), decoder(sent.value["ranks"])
+            for texts in batches:
+                made = []
+                for text in texts:
+                    packed = encoder.packed(text)
+                    raw = b"".join(map(token.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
+                    made.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                yield pd.DataFrame(made, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return digests(text)
+
     def decode(self, ids: Column) -> Column:
         """The bytes of token ids; null ids give no bytes, an unknown id is an error."""
-        ranks = self.ranks
+        sent = self.sent
 
         @pandas_udf("binary")
         def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            token = {i: t for t, i in ranks.value.items()}
+            token = decoder(sent.value["ranks"])
             for rows in batches:
                 yield rows.map(lambda r: b"" if r is None else b"".join(map(token.__getitem__, r)))
 
         return raw(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """Struct of the count of token ids and their digest as little-endian unsigned 32-bit integers."""
-
-    @pandas_udf("struct<n_tokens: long, ids_sha256: string>")
-    def digest(rows: pd.Series) -> pd.DataFrame:
-        packed = [np.asarray(() if r is None else r, dtype="<u4") for r in rows]
-        return pd.DataFrame({"n_tokens": [len(p) for p in packed], "ids_sha256": [hashlib.sha256(p.tobytes()).hexdigest() for p in packed]})
-
-    return digest(ids)
-
-
 def encoded(docs: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``: whole texts encoded, one row per row, other columns as they are (one named
     ``ids`` is replaced).  Null and empty texts have no ids; no rows give no rows."""

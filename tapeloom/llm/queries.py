@@ -72,9 +72,8 @@ def _packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_bpe")
 def _bpe(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = bpe.encoded(table(spark, folder, "documents").select("doc_id", "text"), tokenizer)
-    done = done.select("doc_id", bpe.ids_digest(F.col("ids")).alias("d"), F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"))
-    return done.select("doc_id", "d.n_tokens", "d.ids_sha256", "decoded_sha256")
+    done = table(spark, folder, "documents").select("doc_id", tokenizer.round_trip(F.col("text")).alias("d"))
+    return done.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 SAID = "\\### Assistant: </turn> ok"

@@ -251,14 +251,17 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, ranks):
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rng = random.Random(6)
     texts = [*ODD, "<|endoftext|> it's 12345", "a" * 3000, " \n" * 500, "".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x3000)])) for _ in range(3000))]
+    bits = ["a", "word", "'s", ",", " ", " ", "  ", "   ", "\n", "\t", "\u00a0", "\u2003", "7", "\u00e9", "_", "\x85", "\x0b"]
+    texts += ["".join(rng.choice(bits) for _ in range(40)) for _ in range(300)]
     docs = table(spark, texts).withColumnRenamed("score", "ids")
     tokenizer = bpe.Tokenizer(spark, path, pattern)
-    done = bpe.encoded(docs, tokenizer).withColumn("raw", tokenizer.decode(F.col("ids"))).withColumn("d", bpe.ids_digest(F.col("ids")))
+    done = bpe.encoded(docs, tokenizer).withColumn("raw", tokenizer.decode(F.col("ids"))).withColumn("d", tokenizer.round_trip(F.col("text")))
     rows = done.collect()
     assert len(rows) == docs.count()
     for r in rows:
         want = known.encode_ordinary(r["text"] or "")
         assert r["ids"] == want and bytes(r["raw"]).decode() == (r["text"] or "") and r["d"]["n_tokens"] == len(want)
+        assert r["d"]["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
         assert r["d"]["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
     assert bpe.encoded(docs.limit(0), tokenizer).count() == 0
 
