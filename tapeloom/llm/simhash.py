@@ -34,10 +34,6 @@ class Scheme:
     and none is lost.  With ``lists`` set, so many choices are drawn with a fixed seed, for
     fingerprints too wide for a guarantee; recall is then a matter of measurement.  ``distinct``
     counts every feature of a text once.
-
-    With ``similarity`` set, pairs of over ``sure_bits`` differing bits link only if the Jaccard similarity of
-    their features reaches it, as read off the ``sketch`` smallest feature hashes of each: exact for
-    texts of fewer features, else with a standard error of about 0.02.
     """
 
     shingle: int = 3
@@ -46,9 +42,6 @@ class Scheme:
     key_bytes: int = 4
     lists: int | None = None
     distinct: bool = False
-    sure_bits: int | None = None
-    similarity: float | None = None
-    sketch: int = 0
 
     @property
     def least_shared(self) -> int:
@@ -67,11 +60,10 @@ class Scheme:
 # Three words, 64 bits, three of which may differ: every link is found.
 EXACT = Scheme()
 # Five words and a Jaccard similarity J of 0.8: at angle theta two fingerprints differ in a share theta / pi
-# of their bits, and cos(theta) = 2 J / (1 + J); 0.8 makes 116 of 768 bits on average, with a standard
-# deviation of 10.  146 bits leave out one such pair in a thousand; 108 are sure enough.  A list of three
-# bytes has a pair with probability 0.02, so 256 lists miss few; the more bytes to choose from, the less
-# the lists depend on each other.
-SIMILAR = Scheme(5, 96, 146, 3, lists=256, distinct=True, sure_bits=108, similarity=0.8, sketch=256)
+# of their bits, and cos(theta) = 2 J / (1 + J); 0.8 makes 116 of 768 bits on average and 0.7 makes 147, both
+# with a standard deviation of 10 to 11.  A list of three bytes has a pair with probability 0.02, so 256
+# lists miss few; the more bytes to choose from, the less the lists depend on each other.
+SIMILAR = Scheme(shingle=5, n_bytes=96, max_bits=126, key_bytes=3, lists=256, distinct=True)
 
 
 def _features(text: str | None, size: int) -> np.ndarray:
@@ -114,37 +106,13 @@ def _fingerprint(hashes: np.ndarray, scheme: Scheme) -> bytes:
 
 
 def fingerprints(text: Column, scheme: Scheme = EXACT) -> Column:
-    """Struct of ``fp`` and ``sketch``, the smallest feature hashes (their upper halves, in order)."""
-
-    @pandas_udf("fp binary, sketch binary")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        found = [_hashes(t, scheme) for t in texts]
-        smallest = [(np.sort(h)[: scheme.sketch] >> np.uint64(32)).astype("<u4").tobytes() for h in found]
-        return pd.DataFrame({"fp": [_fingerprint(h, scheme) for h in found], "sketch": smallest})
+    @pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, scheme))
 
     return of(text)
 
 
-def sketch_similarity(one: bytes, other: bytes, size: int) -> float:
-    """Jaccard similarity of two feature sets from their smallest ``size`` hashes; exact if both have fewer."""
-    a, b = (np.unique(np.frombuffer(x, dtype="<u4")) for x in (one, other))
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    # Beyond the last hash of a full sketch nothing is known.
-    known = min((int(x[-1]) for x, raw in ((a, one), (b, other)) if len(raw) >= 4 * size), default=1 << 32)
-    a, b = a[a <= known], b[b <= known]
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
-def similarity(one: Column, other: Column, scheme: Scheme) -> Column:
-    @pandas_udf("double")
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sketch_similarity(x, y, scheme.sketch) for x, y in zip(a, b)], dtype="float64")
-
-    return of(one, other)
-
-
 def posting_keys(fp: Column, scheme: Scheme) -> Column:
     """The names of the lists a fingerprint goes to.
 
@@ -179,34 +147,24 @@ class _Forest:
 
 
 class _Linker:
-    """Spanning links of the posting lists a task goes through: sure ones, and ones to be verified further,
-    each only between nodes that the task has not connected before."""
+    """Connects the nodes of the posting lists that a task goes through; pairs that are connected already are
+    not looked at again."""
 
     def __init__(self, scheme: Scheme) -> None:
-        self.scheme, self.sure, self.any, self.out = scheme, _Forest(), _Forest(), []
-        self.sure_bits = scheme.max_bits if scheme.sure_bits is None else scheme.sure_bits
+        self.scheme, self.forest = scheme, _Forest()
 
     def known(self, x: int, y: int) -> bool:
-        return self.sure.find(x) == self.sure.find(y)
-
-    def add(self, x: int, y: int, bits: int) -> None:
-        if bits <= self.sure_bits:
-            self.any.join(x, y)
-            if self.sure.join(x, y):
-                self.out.append((x, y, True))
-        elif self.any.join(x, y):
-            self.out.append((x, y, False))
+        return self.forest.find(x) == self.forest.find(y)
 
     def few(self, names: list[int], prints: list[int]) -> None:
         for i, j in combinations(range(len(names)), 2):
             differ = prints[i] ^ prints[j]
-            bits = differ.bit_count()
-            if bits <= self.scheme.max_bits and differ.to_bytes(self.scheme.n_bytes, "big").count(0) >= self.scheme.least_shared:
-                self.add(names[i], names[j], bits)
+            if differ.bit_count() <= self.scheme.max_bits and differ.to_bytes(self.scheme.n_bytes, "big").count(0) >= self.scheme.least_shared:
+                self.forest.join(names[i], names[j])
 
     def many(self, names: list[int], prints: np.ndarray) -> None:
-        """Each row against all later ones that are not surely connected with it, at once."""
-        roots = np.array([self.sure.find(x) for x in names])
+        """Each row against all later ones that are not connected with it, at once."""
+        roots = np.array([self.forest.find(x) for x in names])
         for i in range(len(names) - 1):
             rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
             if not len(rest):
@@ -217,15 +175,21 @@ class _Linker:
             bits = np.bitwise_count(differ).sum(axis=1)
             shared = (differ.view(np.uint8).reshape(len(rest), -1) == 0).sum(axis=1)
             fits = (shared >= self.scheme.least_shared) & (bits <= self.scheme.max_bits)
-            for j, n in zip(rest[fits].tolist(), bits[fits].tolist()):
-                self.add(names[i], names[j], n)
-                if n <= self.sure_bits and roots[j] != roots[i]:
+            for j in rest[fits].tolist():
+                self.forest.join(names[i], names[j])
+                if roots[j] != roots[i]:
                     least, most = sorted((roots[i], roots[j]))
                     roots[roots == most] = least
 
+    def links(self) -> pd.DataFrame:
+        """One link for every connected node but the least of its tree, to which it leads: tasks that meet the
+        same nodes mostly return the same links."""
+        pairs = [(x, self.forest.find(x)) for x in list(self.forest.parent)]
+        return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+
 
 def _link_lists(scheme: Scheme):
-    """For ``mapInPandas`` over rows sorted by list: a spanning set of the links in each list."""
+    """For ``mapInPandas`` over rows sorted by list: links that connect what the lists of a task connect."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         linker, tail = _Linker(scheme), None
@@ -237,12 +201,13 @@ def _link_lists(scheme: Scheme):
             if not len(edges):
                 tail = batch
                 continue
-            yield collect(batch.iloc[: edges[-1]], np.concatenate(([0], edges)), linker)
+            connect(batch.iloc[: edges[-1]], np.concatenate(([0], edges)), linker)
             tail = batch.iloc[edges[-1] :].reset_index(drop=True)
         if tail is not None and len(tail):
-            yield collect(tail, np.array([0, len(tail)]), linker)
+            connect(tail, np.array([0, len(tail)]), linker)
+        yield linker.links()
 
-    def collect(rows: pd.DataFrame, edges: np.ndarray, linker: _Linker) -> pd.DataFrame:
+    def connect(rows: pd.DataFrame, edges: np.ndarray, linker: _Linker) -> None:
         nodes, prints = rows["node"].to_numpy(), rows["fp"].to_numpy()
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
             names = nodes[start:end].tolist()
@@ -252,9 +217,6 @@ def _link_lists(scheme: Scheme):
                 linker.few(names, [int.from_bytes(p, "big") for p in prints[start:end]])
             else:
                 linker.many(names, np.frombuffer(b"".join(prints[start:end]), dtype=np.uint64).reshape(len(names), -1))
-        out = pd.DataFrame(linker.out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
-        linker.out = []
-        return out
 
     return run
 
@@ -273,49 +235,28 @@ def candidate_lists(nodes: DataFrame, scheme: Scheme, list_rows: int = LIST_ROWS
     return shared.select("key", "node", F.explode(parts).alias("part")).join(nodes.select("node", "fp"), "node")
 
 
-def _verified(found: DataFrame, prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """Of the links that are not sure, those between different sure components whose texts are similar."""
-    labels = pin(components(found.where("sure"), "a_name", "b_name"))
-    open_ = found.where("not sure").select("a_name", "b_name", "a_fp", "b_fp").distinct()
-    for end in "ab":
-        label = labels.select(F.col("node").alias(f"{end}_name"), F.col("label").alias(f"{end}_label"))
-        open_ = open_.join(label, f"{end}_name", "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", f"{end}_name"))
-    open_ = pin(open_.where("a_label <> b_label").select("a_name", "b_name", "a_fp", "b_fp"))
-    asked = open_.select(F.col("a_fp").alias("fp")).union(open_.select("b_fp")).distinct()
-    sketches = pin(prints.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("sketch").alias("sketch")))
-    for end in "ab":
-        open_ = open_.join(sketches.select(F.col("fp").alias(f"{end}_fp"), F.col("sketch").alias(f"{end}_sketch")), f"{end}_fp")
-    fits = similarity(F.col("a_sketch"), F.col("b_sketch"), scheme) >= scheme.similarity
-    return open_.where(fits).select("a_name", "b_name")
-
-
 def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, text: str = "text", key: str = "doc_id", list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``fp`` (binary) and ``component_id``.
 
     Equal fingerprints become one node before anything is compared, so a text copied a million times
     costs one row.  Nodes go to the posting lists of their positional bytes; pairs that meet are
-    tallied by shared bytes, verified by differing bits, and each task returns a spanning set of its
-    links only.  ``component_id`` is the smallest key reachable over links, itself included.
+    tallied by shared bytes, verified by differing bits, and each task returns one link per connected
+    node only.  ``component_id`` is the smallest key reachable over links, itself included.
 
     A null or empty text has the zero fingerprint and links like any other.  Rows with a null key keep
     their fingerprint and take part; ``component_id`` is null only if no row of the component has a
     key.  Repeated keys are rows of their own.  Other columns are ignored; no rows give no rows.
     """
-    made = docs.select(F.col(key).alias("doc"), fingerprints(F.col(text), scheme).alias("made"))
-    prints = pin(made.select("doc", "made.fp", "made.sketch"))
+    prints = pin(docs.select(F.col(key).alias("doc"), fingerprints(F.col(text), scheme).alias("fp")))
     nodes = pin(prints.groupBy("fp").agg(F.min("doc").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     lists = candidate_lists(nodes, scheme, list_rows).select("key", "part", "node", "fp")
+    found = lists.repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(_link_lists(scheme), "a long, b long")
     # Nodes are named by their smallest key first, so a label tells the component's key: looking it up by
     # label would bring a large component to one task.  Missing keys come last.
-    names = nodes.select("node", "fp", F.struct(F.col("least").isNull(), "least", "node").alias("name"))
-    found = lists.repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(_link_lists(scheme), "a long, b long, sure boolean")
+    links = found.distinct()
     for end in "ab":
-        found = found.join(names.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"), F.col("fp").alias(f"{end}_fp")), end)
-    if scheme.similarity is None:
-        links = found
-    else:
-        found = pin(found.select("a_name", "b_name", "a_fp", "b_fp", "sure"))
-        links = found.where("sure").unionByName(_verified(found, prints, scheme), allowMissingColumns=True)
+        name = F.struct(F.col("least").isNull(), "least", "node").alias(f"{end}_name")
+        links = links.join(nodes.select(F.col("node").alias(end), name), end)
     reached = components(links, "a_name", "b_name").select("node.node", F.col("label.least").alias("reached"))
     of_print = nodes.join(reached, "node", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
     return prints.join(of_print, "fp").select(F.col("doc").alias(key), "fp", "component_id")

@@ -90,24 +90,8 @@ def test_simhash_large_lists_link_like_pairs():
     packed = np.frombuffer(b"".join(p.to_bytes(8, "big") for p in prints), dtype=np.uint64).reshape(-1, 1)
     whole.many(list(range(len(prints))), packed)
     pairs.few(list(range(len(prints))), prints)
-    assert [whole.sure.find(i) for i in range(len(prints))] == [pairs.sure.find(i) for i in range(len(prints))]
-    assert 0 < len(whole.out) < len(prints)
-
-
-def test_sketches_tell_similarity():
-    rng = random.Random(2)
-    for n, tolerance in ((100, 1e-9), (4000, 0.08)):
-        a, b = ([" ".join(f"w{rng.randrange(10**6)}" for _ in range(n))] * 2)
-        b = " ".join(b.split()[: n * 9 // 10]) + " " + prose(rng, n // 10)
-        hashes = [simhash._hashes(t, simhash.SIMILAR) for t in (a, b)]
-        want = len(np_set(hashes[0]) & np_set(hashes[1])) / len(np_set(hashes[0]) | np_set(hashes[1]))
-        raw = [(h[:256] >> 32).astype("<u4").tobytes() for h in hashes]
-        assert simhash.sketch_similarity(*raw, 256) == pytest.approx(want, abs=tolerance)
-    assert simhash.sketch_similarity(b"", b"", 256) == 1.0 and simhash.sketch_similarity(b"", raw[0], 256) == 0.0
-
-
-def np_set(hashes):
-    return set(hashes.tolist())
+    assert [whole.forest.find(i) for i in range(len(prints))] == [pairs.forest.find(i) for i in range(len(prints))]
+    assert 0 < len(whole.links()) < len(prints)
 
 
 def test_simhash_wide_fingerprints_find_similar_texts(spark):
