@@ -107,6 +107,43 @@ def test_simhash_wide_fingerprints_find_similar_texts(spark):
     assert len(set(got.values())) >= 60  # different texts stay apart
 
 
+def brute_similar(texts, size=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    return [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("group_rows", [1000, 3])
+def test_similar_texts_link_by_their_shingles(spark, group_rows):
+    rng = random.Random(8)
+    pairs = []
+    for i in range(80):  # half of the pairs just reach a similarity of 0.8, half just miss it
+        base = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        kept = 356 if i % 2 else 345
+        pairs.append((" ".join(base), " ".join(base[: kept + 4] + [f"x{rng.randrange(10**6)}" for _ in range(400 - kept)])))
+    texts = [t for p in pairs for t in p] + ["", "one two", "One two"]
+    want = brute_similar(texts)
+    assert len(want) == 41
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(simhash.near_duplicates(docs, simhash.SIMILAR, group_rows=group_rows).select("doc_id", "component_id").collect())
+    linked = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j]}
+    assert linked <= set(want) and len(linked) >= 40
+
+
+def test_similar_pairs_are_all_found():
+    import numpy as np
+
+    rng = random.Random(9)
+    sets = [np.unique(np.array(rng.sample(range(12), rng.randrange(0, 12)), dtype=np.uint64)) for _ in range(120)]
+    for own in (np.zeros(120, dtype=int), np.arange(120) % 2):
+        got = {(i, j) for i, js in simhash.similar_pairs(sets, own, 0.8) for j in js.tolist()}
+        named = [set(x.tolist()) for x in sets]
+        want = {(i, j) for i, j in itertools.combinations(range(120), 2) if (own.max() == 0 or own[i] != own[j]) and len(named[i] & named[j]) >= 0.8 * len(named[i] | named[j])}
+        assert got == want
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     assert simhash.near_duplicates(spark.createDataFrame([(None, None)], "doc_id long, text string")).collect()[0]["component_id"] is None
