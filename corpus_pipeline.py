@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import classifier, packing, quality, secrets, simhash
 from tapeloom.llm.common import table
-from tapeloom.llm.queries import ACCEPT, quality_model
+from tapeloom.llm.queries import ACCEPT, quality_model, tokenizer
 from tapeloom.session import shared_folder
 
 
@@ -60,8 +60,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Give every document its bucket, batch and place."""
-    return packing.pack(docs)
+    """Give every document its bucket, batch and place by its number of tokens."""
+    return packing.pack(docs, tokenizer(spark).count(F.col("text")))
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("simhash_near_dedup", near_duplicates), ("secret_scan", redact), ("packing", pack)]

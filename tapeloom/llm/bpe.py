@@ -162,6 +162,18 @@ class Tokenizer:
 
         return ids(text)
 
+    def count(self, text: Column) -> Column:
+        """The number of token ids of whole texts; a null or empty text has none.  Ids stay in the task."""
+        sent = self.sent
+
+        @pandas_udf("long")
+        def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encoder = _encoder(sent.value)
+            for texts in batches:
+                yield pd.Series([len(encoder.packed(t)) // 4 for t in texts], dtype="int64")
+
+        return n_tokens(text)
+
     def round_trip(self, text: Column) -> Column:
         """Struct of the number of token ids, their digest as little-endian unsigned 32-bit integers, and the
         digest of the bytes they decode to.  Ids stay in the task: one text's are held at a time."""

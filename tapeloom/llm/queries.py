@@ -64,15 +64,18 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+    return bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op3_packing")
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), tokenizer(spark).count(F.col("text")))
 
 
 @query("op4_bpe")
 def _bpe(spark: SparkSession, folder: str) -> DataFrame:
-    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = table(spark, folder, "documents").select("doc_id", tokenizer.round_trip(F.col("text")).alias("d"))
+    done = table(spark, folder, "documents").select("doc_id", tokenizer(spark).round_trip(F.col("text")).alias("d"))
     return done.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 

@@ -415,6 +415,21 @@ def test_batches_fit_the_budget(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_counts_tokens(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tapeloom.llm.queries import QUERIES
+
+    rng = random.Random(11)
+    texts = ["\u8a9e\u6587" * 3000, "".join(rng.choice("0123456789abcdef") for _ in range(9000)), "https://a.example.com/x?y=1&z=2", "plain words here", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    encoder = bpe.Encoder(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    want = {i: len(encoder.encode(t)) for i, t in enumerate(texts)}
+    for rows in (QUERIES["op3_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: r["n_tokens"] for r in rows.collect()} == want
+
+
 def test_grid_is_bounded_and_never_below(spark):
     lengths = [0, 1, 2, 2047, 2048, 2049, 4096, 4097, 8191, 10**6 + 1, 10**9 + 7]
     got = spark.createDataFrame([(n,) for n in lengths], "n long").select(packing.grid(F.col("n"))).collect()
