@@ -17,8 +17,9 @@ BUCKETS, BUDGET = 12, 16_384
 # Lengths up to here are kept apart in the histogram; longer ones are rounded up by less than one part in
 # this many, so that the histogram is bounded whatever the lengths are.
 FINE = 2_048
-# Rows that share a numbering; a bucket is cut into as many parts as it has such.
-PART_ROWS = 2_000
+# Rows that share a numbering, or PART_BATCHES full batches if that is more; a bucket is cut into as many
+# parts as it has such.
+PART_ROWS, PART_BATCHES = 2_000, 16
 
 
 def grid(length: Column, fine: int = FINE) -> Column:
@@ -89,7 +90,7 @@ def pack(
     a batch of its own.  ``batch`` is unique over all buckets; ``slot`` counts from 0 inside a batch.
 
     Rows are numbered within parts of a bucket, chosen by a hash, so a bucket that holds most documents
-    is not one task; each part may leave one batch unfilled.  Order inside a part is by a hash of the
+    is not one task; each part of PART_BATCHES batches or more may leave one batch unfilled.  Order inside a part is by a hash of the
     key, the key and the length.  Null and empty texts have no tokens and need no room: they are in the
     first bucket.  Null and repeated keys are rows of their own; other columns are ignored; no rows give
     no rows.
@@ -103,7 +104,7 @@ def pack(
     parts = []
     for low, high in pairwise([-1, *bounds]):
         rows = sum(r["rows"] for r in histogram if low < r["g"] <= high)
-        parts.append(max(1, -(-rows // part_rows)))
+        parts.append(max(1, rows // max(part_rows, PART_BATCHES * max(1, budget // max(high, 1)))))
     firsts = [sum(parts[:i]) for i in range(len(parts))]
 
     def at(values: Sequence[int]) -> Column:

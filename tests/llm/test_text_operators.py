@@ -430,6 +430,12 @@ def test_packing_counts_tokens(spark, tmp_path):
         assert {r["doc_id"]: r["n_tokens"] for r in rows.collect()} == want
 
 
+def test_short_documents_fill_batches(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    sizes = sorted(r["count"] for r in packing.pack(docs).groupBy("batch").count().collect())
+    assert sizes == [30_000 - packing.BUDGET, packing.BUDGET]
+
+
 def test_grid_is_bounded_and_never_below(spark):
     lengths = [0, 1, 2, 2047, 2048, 2049, 4096, 4097, 8191, 10**6 + 1, 10**9 + 7]
     got = spark.createDataFrame([(n,) for n in lengths], "n long").select(packing.grid(F.col("n"))).collect()
