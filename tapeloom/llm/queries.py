@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, chat, classifier, language, packing, quality, search, secrets, simhash, urls
+from tapeloom.llm import bpe, chat, classifier, language, packing, quality, search, secrets, simhash, trie, urls
 from tapeloom.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,36 @@ def _language_id(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _top_k(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op13_prefix_trie",
+    """
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+               FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base,
+                   list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda k: CAST(ord(CAST(conv_id AS VARCHAR)[k]) AS BIGINT))),
+                               lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, (p & 1) * 3988292384))) AS crc
+            FROM t GROUP BY conv_id),
+    c AS (SELECT own.conv_id, own.n, own.base, (4294967295 - own.crc) % 6 AS h, least((4294967295 - own.crc) % 6, coalesce(b.n, 0)) AS got
+          FROM own LEFT JOIN own b ON b.conv_id = own.base),
+    r AS (SELECT c.conv_id, t.i + 1 AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+          UNION ALL SELECT c.conv_id, t.i - c.h + c.got + 1, role, text FROM c JOIN t USING (conv_id) WHERE t.i >= c.h),
+    k AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM c
+          UNION ALL SELECT conv_id, depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)), length(text) FROM r),
+    s AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends,
+                 lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM k),
+    n AS (SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM s GROUP BY depth, path),
+    kids AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, path)),
+    sub AS (SELECT k.depth, k.path, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved_tokens
+            FROM m JOIN k ON k.conv_id = m.conv_id AND k.depth <= m.depth GROUP BY k.depth, k.path)
+    SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+    FROM m JOIN sub USING (depth, path) LEFT JOIN m up ON up.depth = m.depth - 1 AND up.path = m.above
+    """,
+)
+def _prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    rebuilt = trie.shared_heads(trie.numbered_turns(table(spark, folder, "conversations")))
+    return trie.conversation_trie(trie.prefix_keys(rebuilt))
