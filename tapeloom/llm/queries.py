@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, chat, classifier, language, packing, quality, search, secrets, simhash, trie, urls
+from tapeloom.llm import bestfit, bpe, chat, classifier, language, packing, quality, search, secrets, simhash, trie, urls
 from tapeloom.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,6 +202,12 @@ def _top_k(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op12_best_fit_packing")
+def _best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bestfit.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(
     "op13_prefix_trie",
     """
