@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,13 +17,13 @@ PILOT = 64
 LONG = np.iinfo(np.int64)
 
 
-def integer_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, v``: each component x as floor(256 * x), x as double.  Rows with a null vector, or a
-    component that is null or not finite, take no part; neither do rows with a null key."""
+def integer_vectors(vectors: DataFrame, key: str, vector: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``id, v``: each component x as floor(256 * x), x as double, after the columns of ``carry``.  Rows with
+    a null vector, or a component that is null or not finite, take no part; neither do rows with a null key."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     sound = ~F.exists(F.col("x"), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    got = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(sound)
-    return got.select("id", F.transform("x", lambda c: F.floor(c * 256).cast("double")).alias("v"))
+    got = vectors.select(*carry, F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(sound)
+    return got.select(*carry, "id", F.transform("x", lambda c: F.floor(c * 256).cast("double")).alias("v"))
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
