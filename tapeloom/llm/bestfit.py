@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -221,17 +222,27 @@ def _open(pieces: DataFrame, capacity: int, named: int) -> tuple[DataFrame, int]
     sized = pieces.withColumn("room", F.floor(F.lit(capacity) / F.col("size")))
     # Ranges hold falling lengths, so there are at most as many rows as ranges and different rooms together.
     counts = sized.groupBy("room", "block").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("low")).collect()
-    table, room, seen = [], None, 0
-    for r in sorted(counts):
-        if r["room"] != room:
-            named += -(-seen // room) if room else 0
-            room, seen = r["room"], 0
-        table.append((r["room"], r["block"], seen - r["low"], named))
-        seen += r["n"]
-    named += -(-seen // room) if room else 0
-    placed = sized.join(F.broadcast(spark.createDataFrame(table, "room long, block int, shift long, named long")), ["room", "block"])
-    number = F.col("first") + F.col("shift")
-    return placed.select("id", "size", (F.floor(number / F.col("room")) + F.col("named")).alias("sequence"), (number % F.col("room") == 0).alias("opens")), named
+    table, free, last = [], 0, -1
+    for room, blocks in groupby(sorted(counts), key=lambda r: r["room"]):
+        blocks, longest = list(blocks), capacity // room
+        rows = sum(r["n"] for r in blocks)
+        # The first go to the sequence that was opened last, as long as they fit at their longest.
+        joining = min(rows, free // longest)
+        full, rest = divmod(rows - joining, room)
+        seen = 0
+        for r in blocks:
+            table.append((room, r["block"], seen - r["low"], joining, last, named))
+            seen += r["n"]
+        named += full + bool(rest)
+        if rows == joining:
+            free -= joining * longest
+        else:
+            free, last = capacity - (rest or room) * longest, named - 1
+    schema = "room long, block int, shift long, joining long, last long, named long"
+    placed = sized.join(F.broadcast(spark.createDataFrame(table, schema)), ["room", "block"])
+    number = F.col("first") + F.col("shift") - F.col("joining")
+    sequence = F.when(number < 0, F.col("last")).otherwise(F.floor(number / F.col("room")) + F.col("named"))
+    return placed.select("id", "size", sequence.alias("sequence"), ((number >= 0) & (number % F.col("room") == 0)).alias("opens")), named
 
 
 def _updated(gaps: DataFrame, placed: DataFrame, capacity: int) -> DataFrame:
