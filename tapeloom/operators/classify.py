@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-from math import exp, factorial
-
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import quantiles, running_sums, value_ranks
-from tapeloom.session import pin
+from tapeloom.operators.ordered import quantiles, running_sums
 
 
 def _c(name: str) -> Column:
@@ -88,179 +82,3 @@ def per_model_counts(matched: DataFrame, model: str) -> DataFrame:
     return matched.filter(_c(model).isNotNull()).groupBy(model).agg(
         F.count(F.lit(1)).alias("predictions"), F.count_if("is_match").alias("matches")
     )
-
-
-# --- decision thresholds --------------------------------------------------------------------
-
-MAX_THRESHOLDS = 512  # fixed value: longer candidate lists are thinned evenly
-
-
-def threshold_candidates(df: DataFrame, p: str, grid: Sequence[float] = ()) -> DataFrame:
-    """Distinct probabilities with the grid and 0, 0.5, 1, evenly thinned to at most 512."""
-    spark = df.sparkSession
-    fixed = spark.createDataFrame([(float(g),) for g in {*grid, 0.0, 0.5, 1.0}], "value double")
-    probs = df.filter(_c(p).between(0.0, 1.0)).select(_c(p).cast("double").alias("value"))
-    ranks = value_ranks(probs.distinct().unionByName(fixed).distinct(), [], "value")
-    n = ranks.agg(F.max("upto").alias("n"))
-    ranks = ranks.join(F.broadcast(n))  # one row
-    i = _c("upto") - 1
-    # Row i is kept when it is floor(j * (n-1) / 511) for some j in 0..511.
-    step = (_c("n") - 1) / (MAX_THRESHOLDS - 1)
-    j = F.ceil(i / step)
-    kept = (_c("n") <= MAX_THRESHOLDS) | (F.floor(j * step) == i)
-    return ranks.filter(kept).select(_c("value").alias("threshold"))
-
-
-def threshold_table(df: DataFrame, candidates: DataFrame, order: Sequence[str], y: str, p: str, profit: str) -> DataFrame:
-    """Metrics of trading on ``p >= threshold`` for each of the (at most 512) candidates.
-
-    Total, moments and accuracy need only running sums over scores: every row adds to all
-    thresholds not above its score.  The drawdown depends on time order, so rows are bucketed
-    by the highest candidate they reach and each block of time keeps a drawdown summary per
-    candidate; see ``_drawdowns``.
-    """
-    candidates = pin(candidates)
-    cuts = candidates.agg(F.array_sort(F.collect_list("threshold")).alias("cuts"))  # <= 512 values
-    rows = df.join(F.broadcast(cuts))
-    # number of candidates <= p, found by halving over the sorted array
-    def halve(found, s):
-        jump = F.pow(F.lit(2.0), s).cast("int")
-        fits = F.get("cuts", found + jump - 1) <= _c(p)
-        return F.when(F.coalesce(fits, F.lit(False)), found + jump).otherwise(found)
-
-    lo = F.aggregate(F.sequence(F.lit(9), F.lit(0)), F.lit(0), halve)
-    # The five summaries below all read these rows.
-    rows = pin(rows.select(*order, y, p, profit, lo.alias("reach")))
-    r = _c(profit)
-    by = rows.groupBy("reach").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(_c(y)).alias("pos"), F.sum(r).alias("s"), F.sum(r * r).alias("q"),
-        F.sum(F.when(r < 0, r * r)).alias("dq"), F.count_if(r < 0).alias("dn"), F.count_if(r != 0).alias("nz"),
-    )
-    # At most 513 rows: cumulate from the highest reach down.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(_c("reach").desc())
-    cum = by.select(
-        "reach", *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("n", "pos", "s", "q", "dq", "dn", "nz")],
-        *[F.sum(c).over(Window.partitionBy(F.lit(0))).alias(f"all_{c}") for c in ("n", "pos")],
-    )
-    marks = cuts.select(F.posexplode("cuts").alias("_i", "threshold")).withColumn("idx", _c("_i") + 1).drop("_i")
-    # A threshold counts rows reaching at least its index: take the lowest reach >= index.
-    at = marks.join(F.broadcast(cum), _c("reach") >= _c("idx"), "left").groupBy("idx", "threshold").agg(
-        F.min_by(F.struct(*[c for c in cum.columns]), "reach").alias("m")
-    ).select("idx", "threshold", "m.*")
-    total = rows.agg(F.count(F.lit(1)).alias("row_count"), F.sum(_c(y)).alias("pos_count"))
-    at = at.join(F.broadcast(total))  # one row
-    n_all = _c("row_count").cast("double")
-    s, q = F.coalesce("s", F.lit(0.0)), F.coalesce("q", F.lit(0.0))
-    mean = s / n_all
-    var = F.when(n_all > 1, (q - n_all * mean * mean) / (n_all - 1))
-    down = F.sqrt(F.try_divide(F.coalesce("dq", F.lit(0.0)), F.coalesce("dn", F.lit(0))))
-    taken, hits = F.coalesce("n", F.lit(0)), F.coalesce("pos", F.lit(0))
-    right = hits + (n_all - taken) - (_c("pos_count") - hits)
-    out = at.select(
-        "idx", "threshold", s.alias("profit"),
-        F.when(var > 1e-18, mean / F.sqrt(var)).otherwise(0.0).alias("sharpe_ratio"),
-        F.when(down > 0, F.try_divide(mean, down)).otherwise(0.0).alias("sortino_ratio"),
-        (right / n_all).alias("accuracy"), (F.coalesce("nz", F.lit(0)) > 0).alias("active"),
-    )
-    out = out.join(_drawdowns(rows, candidates, order, profit), "idx")
-    return out.join(_value_at_risk(rows, total, profit), "idx", "left").withColumn(
-        "var_95", F.coalesce("var_95", F.lit(0.0))
-    ).drop("idx")
-
-
-def _value_at_risk(rows: DataFrame, total: DataFrame, profit: str) -> DataFrame:
-    """Order statistic int(0.05 n) of each candidate's masked series.
-
-    Rows are counted per (reach, return) before being repeated for the candidates they take
-    part in; rows a candidate does not trade count as zeros.
-    """
-    counts = rows.groupBy("reach", _c(profit).alias("r")).agg(F.count(F.lit(1)).alias("c"))
-    taken = counts.filter("reach > 0").select(F.explode(F.sequence(F.lit(1), _c("reach"))).alias("idx"), "r", "c")
-    idle = counts.join(F.broadcast(rows.agg(F.max("reach").alias("top")))).filter("reach < top").select(
-        F.explode(F.sequence(_c("reach") + 1, _c("top"))).alias("idx"), F.lit(0.0).alias("r"), "c"
-    )
-    # Candidates above every probability trade nothing and have no losses.
-    per = taken.unionByName(idle).groupBy("idx", "r").agg(F.sum("c").alias("c"))
-    run = running_sums(per, ["idx"], ["r"], {"upto": _c("c")})
-    picked = run.join(F.broadcast(total.select("row_count"))).groupBy("idx").agg(  # one row
-        F.min(F.when(_c("upto") > F.floor(_c("row_count") * 0.05), _c("r"))).alias("var_95")
-    )
-    return picked
-
-
-def _drawdowns(rows: DataFrame, candidates: DataFrame, order: Sequence[str], profit: str) -> DataFrame:
-    """Drawdown of each candidate's masked series: one pass over time blocks, in tasks that
-    hold a block of rows and 512 running totals."""
-    from tapeloom.operators.ordered import BLOCK, lay_out
-
-    n_cuts = candidates.count()
-    lay = lay_out(rows.select(*order, "reach", _c(profit).alias("_r")), [], order)
-    cols = list(lay.order)
-
-    def summarise(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(cols, kind="mergesort")
-        r, reach = pdf["_r"].to_numpy(dtype=float), pdf["reach"].to_numpy()
-        total, hi, lo, drop = [], [], [], []
-        for i in range(1, n_cuts + 1):
-            cum = np.cumsum(np.where(reach >= i, r, 0.0))
-            peak = np.maximum.accumulate(cum)
-            total.append(cum[-1]); hi.append(cum.max()); lo.append(cum.min()); drop.append((peak - cum).max())
-        return pd.DataFrame({"_blk": int(pdf[BLOCK].iloc[0]), "idx": np.arange(1, n_cuts + 1), "_sum": total, "_hi": hi, "_lo": lo, "_drop": drop})
-
-    blocks = lay.df.groupBy(BLOCK).applyInPandas(summarise, "_blk long, idx int, _sum double, _hi double, _lo double, _drop double")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("idx").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    blocks = blocks.withColumn("_top", F.greatest(F.lit(0.0), F.max(_c("_base") + _c("_hi")).over(before)))
-    return blocks.groupBy("idx").agg(
-        F.max(F.greatest(F.lit(0.0), _c("_drop"), _c("_top") - _c("_base") - _c("_lo"))).alias("max_drawdown")
-    )
-
-
-def best_threshold(table: DataFrame, objective: str = "profit", max_drawdown: float | None = None, var_limit: float | None = None) -> DataFrame:
-    """The candidate with the highest objective within the risk limits; the lowest wins ties."""
-    rows = table
-    if max_drawdown is not None:
-        rows = rows.filter((_c("max_drawdown") <= max_drawdown) & _c("active"))
-    if var_limit is not None:
-        rows = rows.filter((_c("var_95") <= var_limit) & _c("active"))
-    return rows.orderBy(_c(objective).desc(), _c("threshold")).limit(1)
-
-
-# --- bootstrap ------------------------------------------------------------------------------
-
-
-def bootstrap(df: DataFrame, row_id: str, y: str, p: str, profit: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Mean and 2.5 / 97.5 % bounds of metrics over resamples with Poisson(1) row weights.
-
-    The weight of a row in a replicate is a fixed function of (row, replicate, seed), so a
-    recomputed task draws the same resample.  Weights are drawn inside the aggregation: rows
-    are expanded by replicate and reduced map-side, nothing wider is shuffled.
-    """
-    rep = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    rows = df.select(_c(row_id).alias("_id"), _c(y).alias("y"), _c(p).alias("p"), _c(profit).alias("r")).withColumn("rep", rep)
-    u = (F.pmod(F.xxhash64("_id", "rep", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    # Inverse of the Poisson(1) distribution function, up to where it is 1 in double precision.
-    cdf = list(accumulate(exp(-1) / factorial(k) for k in range(19)))
-    rows = rows.withColumn("_u", u).withColumn("w", sum(((_c("_u") > c).cast("int") for c in cdf), F.lit(0)))
-    w, r, hit = _c("w"), _c("r"), (_c("p") >= 0.5).cast("int") == _c("y")
-    n = F.sum(w)
-    mean = F.sum(w * r) / n
-    per = rows.filter("w > 0").groupBy("rep").agg(
-        (F.sum(w * hit.cast("int")) / n).alias("accuracy"),
-        (F.sum(w * F.pow(_c("p") - _c("y"), 2)) / n).alias("brier_score"),
-        F.sum(w * r).alias("profit"),
-        mean.alias("mean_return"),
-        F.try_divide(mean, F.sqrt(F.sum(w * r * r) / n - mean * mean)).alias("sharpe_ratio"),
-    )
-    names = ["accuracy", "brier_score", "profit", "mean_return", "sharpe_ratio"]
-    long = per.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _c(m).alias("v")) for m in names])).alias("e")).select("e.*")
-    return long.groupBy("metric").agg(
-        F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high")
-    )

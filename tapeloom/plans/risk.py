@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import scalar as S
 from tapeloom.operators import classify as C
+from tapeloom.operators import thresholds as TH
 from tapeloom.operators import matching as M
+from tapeloom.operators import resample as RS
 from tapeloom.operators import risk as R
 from tapeloom.operators.ordered import drawdown
 from tapeloom.operators.quality import net_of_costs
@@ -294,7 +296,21 @@ def threshold_table(spark, sf):
 
 def thresholds(spark, sf):
     x = hits(spark, sf).select("timestamp", "pred_id", "probability", "profit", (F.col("profit") > 0).cast("int").alias("y"))
-    return C.threshold_table(x, C.threshold_candidates(x, "probability", [0.333]), ["timestamp", "pred_id"], "y", "probability", "profit")
+    return TH.threshold_table(x, TH.threshold_candidates(x, "probability", [0.333]), ["timestamp", "pred_id"], "y", "probability", "profit")
+
+
+FINE_THRESHOLDS = THRESHOLDS.replace("probability AS p", "probability * 0.9::DOUBLE + (pred_id % 1009) / 10090.0::DOUBLE AS p")
+
+
+@query("threshold_table_fine", f"""
+WITH {FINE_THRESHOLDS}
+SELECT threshold, profit, sharpe_ratio, sortino_ratio, accuracy, active, max_drawdown, var_95 FROM tt""", ctes=MATCH,
+    doubles="threshold profit sharpe_ratio sortino_ratio accuracy max_drawdown var_95", digits=5)
+def threshold_table_fine(spark, sf):
+    """Scores of which nearly every row has its own, each of them a threshold."""
+    fine = F.col("probability") * 0.9 + (F.col("pred_id") % 1009) / 10090.0
+    x = hits(spark, sf).select("timestamp", "pred_id", fine.alias("p"), "profit", (F.col("profit") > 0).cast("int").alias("y"))
+    return TH.threshold_table(x, TH.threshold_candidates(x, "p", [0.333]), ["timestamp", "pred_id"], "y", "p", "profit")
 
 
 @query("best_threshold", f"""
@@ -302,13 +318,34 @@ WITH {THRESHOLDS}
 SELECT threshold, sharpe_ratio, max_drawdown FROM tt WHERE active AND max_drawdown <= 400000 ORDER BY sharpe_ratio DESC, threshold LIMIT 1""", ctes=MATCH,
     doubles="threshold sharpe_ratio max_drawdown", digits=5)
 def best_threshold(spark, sf):
-    return C.best_threshold(thresholds(spark, sf), "sharpe_ratio", 400000.0).select("threshold", "sharpe_ratio", "max_drawdown")
-
-
-@query("bootstrap_intervals")
+    return TH.best_threshold(thresholds(spark, sf), "sharpe_ratio", 400000.0).select("threshold", "sharpe_ratio", "max_drawdown")
+
+
+BOOTSTRAP_CUTS = " + ".join(f"(z >= {c})::INT" for c in RS.CUTS)
+
+
+@query("bootstrap_intervals", f"""
+WITH x AS (SELECT timestamp, pred_id, probability AS p, profit AS r, (profit > 0)::INT AS y, ('0x' || substr(md5(pred_id::VARCHAR), 1, 8))::BIGINT % {RS.PRIME} AS a FROM matched WHERE is_match),
+reps AS (SELECT b, ('0x' || substr(md5('0:' || b), 1, 8))::BIGINT % {RS.PRIME - 1} + 1 AS k FROM range(1000) t(b)),
+z AS (SELECT x.*, b, a * k % {RS.PRIME} AS z FROM x, reps),
+w AS (SELECT *, {BOOTSTRAP_CUTS} AS w FROM z),
+d AS (SELECT *, w * r AS wr FROM w WHERE w > 0),
+sums AS (SELECT b, sum(w) AS n, sum(w * ((p >= 0.5)::INT = y)::INT) / sum(w) AS accuracy, sum(w * (p - y) ** 2) / sum(w) AS brier_score, sum(wr) AS s, sum(wr * r) AS q,
+    coalesce(sum(wr * r) FILTER (r < 0), 0) AS dq, coalesce(sum(w) FILTER (r < 0), 0) AS dn FROM d GROUP BY 1),
+runs AS (SELECT b, sum(wr) OVER (PARTITION BY b ORDER BY timestamp, pred_id ROWS UNBOUNDED PRECEDING) AS cum, timestamp, pred_id FROM d),
+falls AS (SELECT b, max(fall) AS max_drawdown FROM (SELECT b, greatest(0, max(cum) OVER (PARTITION BY b ORDER BY timestamp, pred_id ROWS UNBOUNDED PRECEDING)) - cum AS fall FROM runs) GROUP BY 1),
+g AS (SELECT b, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM d GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER (PARTITION BY b) AS ap, sum(neg) OVER (PARTITION BY b) AS an FROM g WINDOW o AS (PARTITION BY b ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+areas AS (SELECT b, sum(pos * (an - fp + neg / 2.0::DOUBLE)) / any_value(ap * an) AS roc_auc, sum(pos * tp / (tp + fp)) / any_value(ap) AS pr_auc FROM c WHERE ap > 0 AND an > 0 GROUP BY 1),
+v AS (SELECT b, r, sum(w) OVER (PARTITION BY b ORDER BY r, pred_id ROWS UNBOUNDED PRECEDING) AS upto, floor(sum(w) OVER (PARTITION BY b) * 0.05::DOUBLE) AS place FROM d),
+risk AS (SELECT b, min(r) AS var_95 FROM v WHERE upto > place GROUP BY 1),
+per AS (SELECT accuracy, roc_auc, pr_auc, brier_score, (s / n) / sqrt((q - s * s / n) / (n - 1)) AS sharpe_ratio, (s / n) / sqrt(dq / dn) AS sortino_ratio, max_drawdown, var_95, s AS profit, s / n AS mean_return
+    FROM sums LEFT JOIN falls USING (b) LEFT JOIN areas USING (b) LEFT JOIN risk USING (b)),
+long AS (UNPIVOT per ON * INTO NAME metric VALUE v)
+SELECT metric, avg(v) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM long GROUP BY 1""", ctes=MATCH, doubles="mean low high", digits=4)
 def bootstrap_intervals(spark, sf):
     x = hits(spark, sf).withColumn("y", (F.col("profit") > 0).cast("int"))
-    return C.bootstrap(x, "pred_id", "y", "probability", "profit", replicates=100)
+    return RS.bootstrap(x, "pred_id", "y", "probability", "profit", order=["timestamp", "pred_id"])
 
 
 def model_table(spark, sf):

@@ -8,6 +8,7 @@ from tapeloom.functions import formula as FM
 from tapeloom.functions import scalar as S
 from tapeloom.operators import audits as A
 from tapeloom.operators import classify as C
+from tapeloom.operators import thresholds as TH
 from tapeloom.operators import joins as J
 from tapeloom.operators import labels as L
 from tapeloom.operators import matching as M
@@ -143,7 +144,7 @@ def test_formula_rejects_anything_not_listed():
 
 def test_candidate_thinning_matches_even_spacing(spark):
     df = spark.createDataFrame([(i / 2000.0,) for i in range(2000)], "p double")
-    got = sorted(r[0] for r in C.threshold_candidates(df, "p").collect())
+    got = sorted(r[0] for r in TH.threshold_candidates(df, "p", most=512).collect())
     full = np.unique(np.concatenate([np.arange(2000) / 2000.0, [0.0, 0.5, 1.0]]))
     want = full[np.linspace(0, len(full) - 1, 512, dtype=int)]
     assert got == pytest.approx(sorted(want))

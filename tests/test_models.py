@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import classify as C
+from tapeloom.operators import resample as RS
 from tapeloom.operators import drift as D
 from tapeloom.operators import graph as G
 from tapeloom.operators import labels as L
@@ -121,7 +122,7 @@ def test_shared_start_matches_loops(spark, rows):
 
 def test_bootstrap_brackets_the_mean(rows):
     pdf, df = rows
-    got = {r["metric"]: r for r in C.bootstrap(df.withColumn("p", F.col("label") * 0.6 + 0.2), "id", "label", "p", "profit", 200).collect()}
+    got = {r["metric"]: r for r in RS.bootstrap(df.withColumn("p", F.col("label") * 0.6 + 0.2), "id", "label", "p", "profit", replicates=200).collect()}
     m = got["mean_return"]
     assert m["low"] < pdf["profit"].mean() < m["high"]
     se = pdf["profit"].std() / 20
