@@ -2,39 +2,44 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.session import pin, shuffle_partitions
 
 CAPACITY, END = 2_048, 0
-# Different chunks a worker remembers; others are encoded again in each group of rows that has them.
-CACHE_CHUNKS = 600_000
-# Characters of the texts that are encoded together.
-GROUP_CHARS = 1 << 20
+# Short chunks that a worker remembers; others are encoded each time.
+CACHE_CHUNKS, CACHE_CHARS = 1_200_000, 40
+# Pieces that a task gives back at a time.
+GROUP_PIECES = 4_096
 # A round serves the lengths of which one sequence holds so many at least, and fewer than the next number.
 ROOMS = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 256)
 # Rounds of a class before what is left opens new sequences.
 SWEEPS = 2
 
 
-class ChunkEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and splits at it.
+class ChunkEncoder(dict):
+    """Ids of whole texts by a tokenizer of lower-cased words that drops white space.
 
-    Such a tokenizer gives a text the ids of its chunks between spaces, one after the other, so that each
-    different chunk is encoded once by the library and remembered as packed ids.  In chunks of Latin-1
-    characters the case, which the tokenizer drops as well, is put aside first, and closing punctuation
-    after a letter or digit, which always is a token of its own, is looked up by itself."""
+    Such a tokenizer gives a text the ids of its chunks between spaces, one after the other, so a chunk is
+    encoded by the library once and remembered as packed ids, up to a bound.  If the tokenizer's file
+    says that it normalizes to NFC and lower case, takes the matches of a pattern and spells them in
+    bytes, then a chunk of Latin-1 characters, which has no other normal form, is cut by that pattern
+    here and its matches, most of them known, go straight to the model.  All other chunks go through all
+    steps of the library."""
 
-    CLOSING = ",.;:!?"
+    STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
     def __init__(self, file: str) -> None:
+        super().__init__()
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
@@ -42,51 +47,38 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        if max(chunk) > "ÿ":
-            return (chunk,)
-        chunk = chunk.lower()
-        end = len(chunk)
-        while end > 1 and chunk[end - 1] in self.CLOSING:
-            end -= 1
-        if end == len(chunk) - 1 and chunk[end - 1].isalnum():
-            return chunk[:end], chunk[end:]
-        return (chunk,)
-
-    def group(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        missed = {c: self._parts(c) for chunks in split for c in chunks if c not in known}
-        fresh = list({p for parts in missed.values() for p in parts if p not in known})
-        found = {}
-        for part, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            ids = encoding.ids
-            found[part] = struct.pack(f"<{len(ids)}I", *ids)
-        for chunk, parts in missed.items():
-            found[chunk] = b"".join([known[p] if p in known else found[p] for p in parts])
-        if len(known) + len(found) <= CACHE_CHUNKS:
-            known.update(found)
-            look = known.__getitem__
+        self.model = self.tokenizer.model
+        self[""] = b""
+        made = json.loads(file)
+        steps = [[s["type"] for s in (made[kind] or {}).get(of, [])] for kind, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.find = None
+        if steps == list(self.STEPS):
+            split = made["pre_tokenizer"]["pretokenizers"][0]
+            if split["behavior"] == "Removed" and split["invert"]:
+                self.find = regex.compile(split["pattern"]["Regex"]).findall
+                spelled = self.tokenizer.pre_tokenizer.pre_tokenize_str
+                # Printable Latin-1; of the others some are white space to one library and not to another.
+                self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
+                self.spelling = str.maketrans({c: spelled(c)[0][0] for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x100)))})
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.find and self.plain(chunk):
+            found = self.find(chunk.lower())
+            if found == [chunk]:
+                ids = [token.id for token in self.model.tokenize(chunk.translate(self.spelling))]
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                packed = b"".join(map(self.__getitem__, found))
         else:
-            room = max(0, CACHE_CHUNKS - len(known))
-            known.update(list(found.items())[:room])
-            look = lambda c: known[c] if c in known else found[c]
-        return [b"".join(map(look, chunks)) for chunks in split]
-
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHE_CHUNKS and len(chunk) <= CACHE_CHARS:
+            self[chunk] = packed
+        return packed
 
-def _groups(rows: Iterable[tuple], limit: int = GROUP_CHARS) -> Iterator[list[tuple]]:
-    held, chars = [], 0
-    for row in rows:
-        held.append(row)
-        chars += len(row[1])
-        if chars >= limit:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -105,19 +97,22 @@ def token_pieces(docs: DataFrame, file: str, capacity: int = CAPACITY, key: str
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     end, step = struct.pack("<I", END), 4 * capacity
 
+    columns = ["key", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = sent.value
         encoder = held.get("encoder") or held.setdefault("encoder", ChunkEncoder(held["file"]))
         for batch in batches:
-            for rows in _groups(zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["text"])):
-                out = []
-                for (name, _), ids in zip(rows, encoder.group([t for _, t in rows])):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), step)):
-                        own = ids[at : at + step]
-                        out.append((name, piece, at // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else ())))
-                made = pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])], dtype=object)
-                yield made
+            out = []
+            for name, value in zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["text"]):
+                ids = encoder.packed(value) + end
+                for piece, at in enumerate(range(0, len(ids), step)):
+                    own = ids[at : at + step]
+                    out.append((name, piece, at // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else ())))
+                if len(out) >= GROUP_PIECES:
+                    yield pd.DataFrame(out, columns=columns, dtype=object)
+                    out = []
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.mapInPandas(cut, schema).withColumnRenamed("key", key)

@@ -154,17 +154,22 @@ def test_chunks_give_the_ids_of_whole_texts(library):
     rng = random.Random(3)
     letters = "aAéÉßΣσİı1²'.,;:!?-́\xa0\x1c\t\n 　漢ﬁ"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + [t or "" for t in ODD]
-    for i in range(0, len(texts), 500):
-        for text, ids in zip(texts[i : i + 500], encoder.group(texts[i : i + 500])):
-            assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    latin = "".join(map(chr, range(1, 256)))
+    texts += ["".join(rng.choice(latin) for _ in range(rng.randrange(40))) for _ in range(3000)] + list(latin)
+    for text in texts:
+        assert np.frombuffer(encoder.packed(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder.find and len(encoder) > 5000
+    encoder.find = None
+    for text in texts[:200]:
+        assert np.frombuffer(encoder.packed(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_chunks_beyond_the_memory_are_encoded(library, monkeypatch):
     monkeypatch.setattr(bestfit, "CACHE_CHUNKS", 3)
     encoder = bestfit.ChunkEncoder(open(FILE, encoding="utf-8").read())
     for _ in range(2):
-        assert np.frombuffer(encoder.group(["a few more words, than fit."])[0], dtype="<u4").tolist() == library.encode("a few more words, than fit.", add_special_tokens=False).ids
-    assert len(encoder.known) <= 4
+        assert np.frombuffer(encoder.packed("a few more words, than fit."), dtype="<u4").tolist() == library.encode("a few more words, than fit.", add_special_tokens=False).ids
+    assert len(encoder) == 3
 
 
 LENGTHS = {
