@@ -238,71 +238,3 @@ def mixup(df: DataFrame, order: Sequence[str], columns: Sequence[str], time: str
         F.lit(True).alias("is_synthetic"),
     )
     return df.select(*columns, time).withColumn("is_synthetic", F.lit(False)).unionByName(out)
-
-
-def _warped_costs(gaps: np.ndarray) -> np.ndarray:
-    """Least total gap from the first cell to each cell, over steps to the next row, column or both, for a
-    stack of gap matrices; cells of one anti-diagonal are filled at once."""
-    many, n, m = gaps.shape
-    out = np.full((many, n + 1, m + 1), np.inf)
-    out[:, 0, 0] = 0.0
-    for diagonal in range(n + m - 1):
-        i = np.arange(max(0, diagonal - m + 1), min(n, diagonal + 1))
-        j = diagonal - i
-        before = np.minimum(np.minimum(out[:, i, j + 1], out[:, i + 1, j]), out[:, i, j])
-        out[:, i + 1, j + 1] = gaps[:, i, j] + before
-    return out[:, 1:, 1:]
-
-
-def warped_partner(window: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """For each place of ``window`` the mean of the places of ``other`` that a best warping pairs with it.
-
-    A cell is on a best warping if the least costs to it from both ends make up the total.
-    """
-    gaps = np.abs(window[:, None] - other[None, :])
-    to = _warped_costs(gaps[None])[0]
-    back = _warped_costs(gaps[None, ::-1, ::-1])[0][::-1, ::-1]
-    paired = np.isclose(to + back - gaps, to[-1, -1], rtol=1e-9, atol=1e-12)
-    return (paired * other).sum(axis=1) / paired.sum(axis=1)
-
-
-def dtw_mixup(df: DataFrame, keys: Sequence[str], order: Sequence[str], price: str, window: int = 8, ratio: float = 0.5, seed: int = 0, search: int = 512) -> DataFrame:
-    """Windows mixed with the nearest earlier window by dynamic time warping.
-
-    Each sampled window looks for the nearest among the windows that end in the ``search`` rows before its
-    start, all of them at once; ``search`` sets how far back a partner may lie.  Draws are hashes of the
-    row's order, so they don't depend on placement.
-    """
-    lay = lay_out(df.select(*keys, *order, price), keys, order, before=search + 2 * window)
-    group = list(lay.group)
-    schema = T.StructType(
-        [lay.df.schema[k] for k in keys] + [lay.df.schema[o] for o in order]
-        + [T.StructField("mixed", T.ArrayType(T.DoubleType())), T.StructField("distance", T.DoubleType()), T.StructField("lam", T.DoubleType())]
-    )
-    names = [*keys, *order]
-    draw = F.xxhash64(*order, F.lit(seed))
-    rows = lay.df.withColumns(
-        {"_chosen": (F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < ratio / window) & F.col(OWN), "_draw": F.pmod(draw, F.lit((1 << 62) - 1))}
-    )
-
-    def run(pdf):
-        pdf = pdf.sort_values(POS).reset_index(drop=True)
-        x = pdf[price].to_numpy(dtype=float)
-        if len(x) < 2 * window:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        every = np.lib.stride_tricks.sliding_window_view(x, window)
-        out = []
-        for end in np.flatnonzero(pdf["_chosen"].to_numpy()):
-            start = end - window + 1
-            if start < window:
-                continue
-            mine = every[start]
-            others = every[max(0, start - window - search) : start - window + 1]
-            costs = _warped_costs(np.abs(mine[None, :, None] - others[:, None, :]))[:, -1, -1]
-            best = int(np.argmin(costs))
-            lam = float(np.random.default_rng(int(pdf["_draw"].iloc[end])).beta(0.4, 0.4))
-            mixed = lam * mine + (1 - lam) * warped_partner(mine, others[best])
-            out.append([*pdf.loc[end, names], mixed.tolist(), float(costs[best]), lam])
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    return rows.groupBy(*group).applyInPandas(run, schema)

@@ -11,6 +11,8 @@ from tapeloom.functions import formula as FM
 from tapeloom.functions import scalar as S
 from tapeloom.functions import scoring as SC
 from tapeloom.operators import labels as L
+from tapeloom.operators import resample as RS
+from tapeloom.operators import warping as WP
 from tapeloom.operators.ordered import quantiles
 from tapeloom.plans import base
 from tapeloom.plans.base import bars, query, table, ticks
@@ -129,7 +131,23 @@ def mixup_augmentation(spark, sf):
 
 @query("dtw_augmentation")
 def dtw_augmentation(spark, sf):
-    return L.dtw_mixup(ticks(spark, sf), ["symbol"], ["t", "id"], "bid", window=8, ratio=0.5).select("symbol", "id", "mixed", "distance", "lam")
+    return WP.dtw_mixup(ticks(spark, sf), ["symbol"], ["t", "id"], "bid", window=8, ratio=0.5).select("symbol", "id", "mixed", "distance", "lam")
+
+
+# Windows that start at a chosen row, all earlier windows of the symbol, and the table of least costs row by row.
+@query("dtw_partner", """
+WITH w AS (SELECT symbol, id, t, row_number() OVER o AS i, list(bid) OVER (PARTITION BY symbol ORDER BY t, id ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS x FROM ticks WINDOW o AS (PARTITION BY symbol ORDER BY t, id)),
+full_w AS (SELECT * FROM w WHERE len(x) = 6),
+q AS (SELECT * FROM full_w WHERE ('0x' || substr(md5('0:' || t || ':' || id), 1, 8))::BIGINT % 2147483647 < 2147483647 // 60),
+d AS (SELECT q.symbol, q.id, p.id AS partner_id, p.i, list_reduce(q.x, lambda above, a: list_reduce(list_zip(p.x, above[1:6], above[2:7]), lambda row, c: list_append(row, abs(a - c[1]) + least(row[len(row)], c[2], c[3])), ['Infinity'::DOUBLE]),
+    ['0'::DOUBLE, 'Infinity', 'Infinity', 'Infinity', 'Infinity', 'Infinity', 'Infinity'])[7] AS distance FROM q JOIN full_w p ON p.symbol = q.symbol AND p.i + 6 <= q.i)
+SELECT symbol, id, arg_min(partner_id, (distance, i)) AS partner_id, min(distance) AS distance FROM d GROUP BY 1, 2""", ctes="ticks", doubles="distance")
+def dtw_partner(spark, sf):
+    """The nearest earlier window of a sixtieth of all windows."""
+    x = ticks(spark, sf)
+    drawn = RS.row_number_of(F.concat_ws(":", F.lit(0), "t", "id")) < RS.PRIME // 60
+    found = WP.nearest_windows(x, ["symbol"], ["t", "id"], "bid", 6, drawn)
+    return found.select("symbol", "id", "partner_id", "distance")
 
 
 @query("union_with_synthetic", """

@@ -12,6 +12,7 @@ from tapeloom.operators import graph as G
 from tapeloom.operators import labels as L
 from tapeloom.operators import models as M
 from tapeloom.operators import spectral as SP
+from tapeloom.operators import warping as WP
 
 
 @pytest.fixture(scope="module")
@@ -156,13 +157,42 @@ def test_dtw_mixup_is_the_same_when_split(spark, small_blocks):
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(rng.normal(size=80).cumsum())], "symbol string, t long, price double")
 
     def run():
-        return sorted((r["t"], round(r["distance"], 9)) for r in L.dtw_mixup(df, ["symbol"], ["t"], "price", 4, 2.0).collect())
+        return sorted((r["t"], round(r["distance"], 9)) for r in WP.dtw_mixup(df, ["symbol"], ["t"], "price", 4, 2.0).collect())
 
     split = run()
     spark.conf.unset(BLOCK_ROWS_CONF)
     assert split == run() and split
 
 
+def slow_warp(a, b):
+    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+    cost[0, 0] = 0
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            cost[i, j] = abs(x - y) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
+    return cost[-1, -1]
+
+
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_nearest_window_of_the_whole_series(spark, small_blocks, monkeypatch, window):
+    monkeypatch.setattr(WP, "SEGMENT", 3)
+    rng = np.random.default_rng(6)
+    rows = [(s, i, None if i % 31 == 30 else float(v)) for s in ("a", "b", None) for i, v in enumerate(rng.integers(0, 6, size=70))]
+    rows.append(("short", 0, 1.0))
+    df = spark.createDataFrame(rows, "symbol string, t long, price double")
+    got = {(r["symbol"], r["t"]): (r["distance"], r["partner_t"]) for r in WP.nearest_windows(df, ["symbol"], ["t"], "price", window, F.col("t") % 5 == 2).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        x = [r[2] for r in rows if r[0] == s]
+        for at in range(2, 70 - window + 1, 5):
+            if None in x[at : at + window]:
+                continue
+            all_ = [(slow_warp(x[at : at + window], x[k : k + window]), k) for k in range(at - window + 1) if None not in x[k : k + window]]
+            if all_:
+                want[s, at] = min(all_)
+    assert got == want and len(want) >= 30
+
+
 def test_wavelet_and_cross_spectrum(spark):
     flat = spark.createDataFrame([("s", i, 3.0) for i in range(40)], "symbol string, t long, x double")
     got = SP.wavelet_statistics(flat, ["symbol"], ["t"], "x", windows=(16, 32)).orderBy("t").collect()
