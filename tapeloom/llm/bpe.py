@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -163,14 +164,20 @@ class Tokenizer:
         return ids(text)
 
     def count(self, text: Column) -> Column:
-        """The number of token ids of whole texts; a null or empty text has none.  Ids stay in the task."""
+        """The number of token ids of whole texts; a null or empty text has none.  Ids stay in the task.
+
+        Only their number is wanted here, so the ids are the tokenizer library's, by the same ranks and
+        pattern; :func:`merge` gives the same ones."""
         sent = self.sent
 
         @pandas_udf("long")
         def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _encoder(sent.value)
+            held = sent.value
+            if "library" not in held:
+                held["library"] = tiktoken.Encoding("ranks", pat_str=held["pattern"], mergeable_ranks=held["ranks"], special_tokens={})
+            encode = held["library"].encode_ordinary
             for texts in batches:
-                yield pd.Series([len(encoder.packed(t)) // 4 for t in texts], dtype="int64")
+                yield pd.Series([len(encode(t or "")) for t in texts], dtype="int64")
 
         return n_tokens(text)
 
