@@ -16,7 +16,7 @@ from tapeloom.session import pin
 # Rows of a tree and anchors of a block: what a task holds, by construction.
 TREE_ROWS, BLOCK_ROWS = 8_192, 512
 # Levels shrink by this factor; nodes of so few rows are leaves; so many nodes are taken from the queue at once.
-SHRINK, LEAF_ROWS, STEP = 1.3, 16, 16
+SHRINK, LEAF_ROWS, STEP = 1.3, 256, 512
 LONG = np.iinfo(np.int64)
 # Integer products are exact in floats below this.
 EXACT = 2.0**52
@@ -38,6 +38,8 @@ class CoverTree:
         self.centre, self.radius, self.low, self.high, self.first, self.last = (tree[c] for c in ("centre", "radius", "low", "high", "first", "last"))
         self.norms = np.sqrt(np.einsum("ij,ij->i", rows, rows)) if len(rows) else np.zeros(0)
         self.sphere = float(self.norms.max(initial=0.0))
+        # The angle that a node's radius, a chord of the sphere, spans.
+        self.spread = 2 * np.arcsin(np.clip(self.radius / (2 * (self.sphere or 1.0)), 0.0, 1.0))
 
     def _grow(self) -> dict:
         """Level by level; also sorts the rows."""
@@ -85,11 +87,11 @@ class CoverTree:
         return made
 
     def products(self, at: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
-        """Exact inner products; beyond a long they count as its limit."""
+        """Exact inner products as whole numbers; beyond a long they count as its limit."""
         width = min(self.rows.shape[1], len(query))
-        rows, query = self.rows[at][:, :width], query[:width]
-        if self.sphere * float(np.sqrt(query @ query)) < EXACT:
-            return (rows @ query).astype(np.int64)
+        rows, query = self.rows[at, :width], query[:width]
+        if self.sphere * math.sqrt(query @ query) < EXACT:
+            return rows @ query
         exact = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows]
         return np.array([min(max(s, LONG.min), LONG.max) for s in exact], dtype=np.int64)
 
@@ -100,7 +102,7 @@ class CoverTree:
         if not scale:
             return np.zeros(len(nodes)), np.zeros(len(nodes))
         angle = np.arccos(np.clip(scores / scale, -1.0, 1.0))
-        spread = 2 * np.arcsin(np.clip(self.radius[nodes] / (2 * self.sphere), 0.0, 1.0))
+        spread = self.spread[nodes]
         slack = 1e-6 * scale + 1
         return scale * np.cos(np.minimum(np.pi, angle + spread)) - slack, scale * np.cos(np.maximum(0.0, angle - spread)) + slack
 
@@ -109,8 +111,8 @@ class CoverTree:
         smaller ids.
 
         Nodes are taken by their largest possible score; one is left out when no window between its
-        threshold (its ``k``-th best so far) and its end meets the node's bounds.  Rows of leaves are
-        verified by their exact products; for a leaf of one row that is the product of its centre.
+        threshold (its ``k``-th best so far) and its end meets the node's bounds.  Rows of leaves, which
+        lie side by side, are verified by their exact products.
         """
         best: list[list[tuple[int, int]]] = [[] for _ in windows]
         open_windows = [i for i, (low, high) in enumerate(windows) if low <= high]
@@ -124,25 +126,29 @@ class CoverTree:
             least = np.array(list(floors.values()), dtype=float)
             return ((lowest[:, None] <= most) & (highest[:, None] >= least)).any(axis=1)
 
-        def verify(rows: np.ndarray, scores: np.ndarray) -> None:
-            use = allowed[rows]
-            rows, scores = rows[use], scores[use]
+        def verify(leaves: np.ndarray) -> None:
+            low, high = np.sort(self.low[leaves]), np.sort(self.high[leaves])
+            gaps = np.flatnonzero(low[1:] != high[:-1])  # leaves side by side are one slice
+            slices = list(map(slice, low[np.r_[0, gaps + 1]].tolist(), high[np.r_[gaps, -1]].tolist()))
+            scores = np.concatenate([self.products(s, query) for s in slices])
+            use = np.concatenate([allowed[s] for s in slices]) & (scores >= min(floors.values())) & (scores <= end)
+            if not use.any():
+                return
+            scores, ids = scores[use], np.concatenate([self.ids[s] for s in slices])[use]
             for i in open_windows:
                 hit = np.flatnonzero((scores >= floors[i]) & (scores <= windows[i][1]))
                 if len(hit):
-                    hit = hit[np.lexsort((self.ids[rows[hit]], -scores[hit]))[:k]]
-                    found = [*best[i], *zip(scores[hit].tolist(), self.ids[rows[hit]].tolist())]
+                    if len(hit) > 4 * k:  # ties with the k-th stay
+                        hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k]]
+                    found = [*best[i], *((int(s), n) for s, n in zip(scores[hit].tolist(), ids[hit].tolist()))]
                     best[i] = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
                     if len(best[i]) == k:
                         floors[i] = best[i][-1][0]  # an equal score with a smaller id still counts
 
         def look(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Verify leaves of one row; the others with their bounds."""
-            scores = self.products(self.centre[nodes], query)
-            single = self.high[nodes] - self.low[nodes] == 1
-            verify(self.centre[nodes[single]], scores[single])
-            return nodes[~single], *self.bounds(nodes[~single], scores[~single].astype(float), norm)
+            return nodes, *self.bounds(nodes, self.products(self.centre[nodes], query).astype(float), norm)
 
+        end = max(windows[i][1] for i in open_windows)
         queue, lowest, highest = look(np.array([0]))
         while len(queue):
             use = meets(lowest, highest)
@@ -153,8 +159,7 @@ class CoverTree:
             now, queue, lowest, highest = queue[:STEP], queue[STEP:], lowest[STEP:], highest[STEP:]
             inner = self.last[now] > 0
             if not inner.all():
-                rows = np.concatenate([np.arange(self.low[n], self.high[n]) for n in now[~inner]])
-                verify(rows, self.products(rows, query))
+                verify(now[~inner])
             if inner.any():
                 more = look(np.concatenate([np.arange(self.first[n], self.last[n]) for n in now[inner]]))
                 queue, lowest, highest = (np.concatenate(pair) for pair in zip((queue, lowest, highest), more))

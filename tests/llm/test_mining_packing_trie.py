@@ -76,10 +76,11 @@ def test_hard_negatives_of_few_rows(spark):
     assert mined(spark, [(5, [1.0], 1, 1, "", ""), (6, [1.0], 1, 1, "", ""), (8, [0.9], 2, 1, "", "")]) == [(5, 6, 1, 8, 65536, 58880)]
 
 
-def test_cover_tree_bounds_hold():
+def test_cover_tree_bounds_hold(monkeypatch):
     rng = np.random.default_rng(2)
     rows = np.floor(rng.normal(size=(700, 6)) * rng.choice([10, 300], size=(700, 1)))
     rows[50:90] = rows[3]
+    monkeypatch.setattr(negatives, "LEAF_ROWS", 16)
     tree = negatives.CoverTree(np.arange(700), np.zeros(700, dtype=np.int64), rows)
     assert sorted(map(tuple, tree.rows)) == sorted(map(tuple, rows))
     query = np.floor(rng.normal(size=6) * 100)
