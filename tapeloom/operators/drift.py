@@ -98,32 +98,63 @@ def drift_report(baseline: DataFrame, recent: DataFrame, columns: Sequence[str],
 # --- sequential detectors -------------------------------------------------------------------
 
 
-def page_hinkley_step(value, state, delta=0.005, threshold=50.0, min_samples=30):
-    """One update; state is (n, mean, cumulative, minimum)."""
-    n, mean, cum, low = state
-    n += 1
-    mean += (value - mean) / n
-    cum += value - mean - delta
-    low = min(low, cum)
-    if n >= min_samples and cum - low > threshold:
-        return True, (0.0, 0.0, 0.0, 0.0)
-    return False, (n, mean, cum, low)
-
-
-def cusum_step(value, state, drift=0.0, threshold=5.0):
-    """One update; state is (n, mean, upper, lower)."""
-    n, mean, up, down = state
-    n += 1
-    mean += (value - mean) / n
-    up = max(0.0, up + value - mean - drift)
-    down = min(0.0, down + value - mean + drift)
-    if up > threshold or -down > threshold:
-        return True, (0.0, 0.0, 0.0, 0.0)
-    return False, (n, mean, up, down)
-
-
+# Count, mean and the two sums of a detector that has seen nothing, as its state.
 STATE = ("s0", "s1", "s2", "s3")
 START = (0.0, 0.0, 0.0, 0.0)
+# Values looked at together first; the stretch doubles until an alarm.
+STRETCH = 256
+
+
+def _off_mean(values, count: float, mean: float):
+    """Counts, running means and distances of each value from the mean that includes it."""
+    import numpy as np
+
+    counts = count + np.arange(1, len(values) + 1)
+    means = (mean * count + np.cumsum(values)) / counts
+    return counts, means, values - means
+
+
+def page_hinkley_levels(values, state, delta=0.005, threshold=50.0, min_samples=30):
+    """The sum of distances less ``delta`` over its lowest level so far, which alarms above ``threshold``
+    once there are ``min_samples``; with the states after each value."""
+    import numpy as np
+
+    counts, means, off = _off_mean(values, state[0], state[1])
+    total = state[2] + np.cumsum(off - delta)
+    floor = np.minimum(np.minimum.accumulate(total), state[3])
+    return (total - floor > threshold) & (counts >= min_samples), (counts, means, total, floor)
+
+
+def cusum_levels(values, state, drift=0.0, threshold=5.0):
+    """Two sums that 0 holds from below and from above, of distances less and plus ``drift``; either alarms
+    beyond ``threshold``.  A sum held at 0 is a free sum over its lowest level below 0."""
+    import numpy as np
+
+    counts, means, off = _off_mean(values, state[0], state[1])
+    free = state[2] + np.cumsum(off - drift), state[3] + np.cumsum(off + drift)
+    upper = free[0] - np.minimum(np.minimum.accumulate(free[0]), 0.0)
+    lower = free[1] - np.maximum(np.maximum.accumulate(free[1]), 0.0)
+    return (upper > threshold) | (lower < -threshold), (counts, means, upper, lower)
+
+
+RULES = {"page_hinkley": page_hinkley_levels, "cusum": cusum_levels}
+
+
+def alarm_places(values, state: tuple, rule: str, **settings) -> tuple[list[int], tuple]:
+    """Places of alarms in ``values`` and the state after them; an alarm starts the detector anew.
+
+    A stretch of values is taken at once up to its first alarm."""
+    places, at, width = [], 0, STRETCH
+    while at < len(values):
+        part = values[at : at + width]
+        hits, states = RULES[rule](part, state, **settings)
+        if hits.any():
+            first = int(hits.argmax())
+            places.append(at + first)
+            state, at, width = START, at + first + 1, STRETCH
+        else:
+            state, at, width = tuple(float(s[-1]) for s in states), at + len(part), 2 * width
+    return places, state
 
 
 def change_alarms(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rule: str, **settings) -> DataFrame:
@@ -132,15 +163,11 @@ def change_alarms(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     The detectors reset on alarm, so their state must pass from row to row; long keys are
     walked block by block with only the state handed on.
     """
-    one = {"page_hinkley": page_hinkley_step, "cusum": cusum_step}[rule]
 
     def step(pdf, state):
-        state = START if state is None else tuple(float(s) for s in state)
-        alarms = []
-        for v in pdf[value].tolist():
-            hit, state = one(v, state, **settings)
-            alarms.append(hit)
-        return pdf[alarms], state
+        before = START if state is None else tuple(float(s) for s in state)
+        places, after = alarm_places(pdf[value].to_numpy(dtype=float), before, rule, **settings)
+        return pdf.iloc[places], after
 
     cols = [*keys, *order, value]
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema)

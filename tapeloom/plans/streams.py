@@ -48,6 +48,15 @@ def closing_stream(spark, sf):
     return arriving(e, "t", last=e.limit(0).unionByName(beat, allowMissingColumns=True))
 
 
+def shuffled_stream(spark, sf):
+    """The events out of order: each arrives up to six hours after its time, which the watermark allows for,
+    and a heartbeat of another key a year later lets all of them pass."""
+    e = ticks(spark, sf).withColumns({"ts": F.timestamp_micros("t"), "seen": F.col("t") + F.pmod(F.xxhash64("id"), F.lit(6 * 3_600_000_000))})
+    late = 365 * 86_400_000_000
+    beat = e.agg((F.max("t") + late).alias("t")).select(F.lit("heartbeat").alias("symbol"), "t", F.timestamp_micros("t").alias("ts"), (F.col("t") + late).alias("seen"))
+    return arriving(e, "seen", last=e.limit(0).unionByName(beat, allowMissingColumns=True)).withWatermark("ts", "6 hours")
+
+
 @query("stream_validation", f"""
 WITH {JSON_LINES}
 SELECT count_if(reason IS NULL) AS accepted, count_if(reason IS NOT NULL) AS rejected, sum(k) FILTER (reason IS NULL)::BIGINT AS total_k FROM lines""", ints="accepted rejected")
@@ -94,14 +103,14 @@ def stream_sessions(spark, sf):
 
 @query("stream_page_hinkley")
 def stream_page_hinkley(spark, sf):
-    s = event_stream(spark, sf).select("symbol", "t", "id", "bid")
-    return run_to_table(ST.change_alarms(s, ["symbol"], ["t", "id"], "bid", "page_hinkley", threshold=400.0), "ph").select("symbol", "id")
+    s = shuffled_stream(spark, sf).select("symbol", "t", "id", "bid", "ts")
+    return run_to_table(ST.change_alarms(s, ["symbol"], ["t", "id"], "bid", "page_hinkley", "ts", threshold=400.0), "ph").select("symbol", "id")
 
 
 @query("stream_cusum")
 def stream_cusum(spark, sf):
-    s = event_stream(spark, sf).select("symbol", "t", "id", "bid")
-    return run_to_table(ST.change_alarms(s, ["symbol"], ["t", "id"], "bid", "cusum", threshold=150.0, drift=0.5), "cusum").select("symbol", "id")
+    s = shuffled_stream(spark, sf).select("symbol", "t", "id", "bid", "ts")
+    return run_to_table(ST.change_alarms(s, ["symbol"], ["t", "id"], "bid", "cusum", "ts", threshold=150.0, drift=0.5), "cusum").select("symbol", "id")
 
 
 # The streamed detectors must raise the alarms of the batch ones.
@@ -125,8 +134,8 @@ d AS (SELECT symbol, t, id, pow(v - 10, 2) + pow(s - 0.002, 2) AS a, pow(v - 25,
 r AS (SELECT symbol, t, id, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS regime FROM d), p AS (SELECT *, lag(regime) OVER (PARTITION BY symbol ORDER BY t, id) AS prev FROM r)
 SELECT symbol, id, regime FROM p WHERE prev IS NULL OR prev <> regime""", ctes="ticks")
 def stream_regimes(spark, sf):
-    s = event_stream(spark, sf).select("symbol", "t", "id", "bid", "ask")
-    return run_to_table(ST.regime_changes(s, ["symbol"], ["t", "id"], "bid", "ask", 20, REGIMES), "regimes").select("symbol", "id", "regime")
+    s = shuffled_stream(spark, sf).select("symbol", "t", "id", "bid", "ask", "ts")
+    return run_to_table(ST.regime_changes(s, ["symbol"], ["t", "id"], "bid", "ask", 20, REGIMES, "ts"), "regimes").select("symbol", "id", "regime")
 
 
 @query("stream_confidence_weighted")

@@ -1,7 +1,8 @@
 """Keyed state processors: change detectors, online drift, regimes, confidence-weighted updates.
 
-State per key is of fixed size.  Rows of a key within one micro-batch are put in time order;
-the size of a micro-batch is bounded by the source's trigger options.
+Besides what a rule keeps, a key's state holds the rows that the watermark has not passed yet: they are
+released in time order by event-time timers, so the order of arrival within the delay changes nothing, and
+rows later than that are dropped.  Processors without a time column take each micro-batch in order.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapeloom.operators.drift import START, cusum_step, page_hinkley_step, sample_gaps
+from tapeloom.operators.drift import START, alarm_places, sample_gaps
 from tapeloom.streaming.runner import use_rocksdb
 
 
@@ -23,21 +25,66 @@ def _in_order(parts, order):
     return pdf.sort_values(order, kind="mergesort")
 
 
+WAITS = "waits_us"
+
+
 class _OrderedProcessor(StatefulProcessor):
-    """Holds one tuple of state per key and passes ordered rows to ``advance``."""
+    """Holds one tuple of state per key and passes ordered rows to ``advance``.
+
+    With ``waiting``, the columns of a row and the type of each, rows wait in a list until the watermark
+    passes their time, which is there as microseconds in ``waits_us``."""
 
     state_schema = ""
+    waiting: T.StructType | None = None
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], out: Sequence[str]):
         self.keys, self.order, self.out = list(keys), list(order), list(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
+        if self.waiting is not None:
+            self.held = handle.getListState("held", self.waiting)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
 
-    def handleInputRows(self, key, rows, timer_values):
+        if self.waiting is None:
+            yield from self._advanced(_in_order(rows, self.order))
+            return
+        pdf = pd.concat(list(rows), ignore_index=True)[self.waiting.names]
+        pdf = pdf.dropna(subset=[WAITS])
+        if not len(pdf):
+            return
+        first = pdf[WAITS].min()
+        values = pdf.astype(object).where(pdf.notna(), None)
+        self.held.appendList([tuple(r) for r in values.itertuples(index=False)])
+        self._wait_for(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        if self.waiting is None or not self.held.exists():
+            return
+        pdf = pd.DataFrame(list(self.held.get()), columns=self.waiting.names)
+        due = pdf[WAITS] <= 1_000 * timerValues.getCurrentWatermarkInMs()
+        if not due.any():
+            return
+        later = pdf[~due]
+        if len(later):
+            self.held.put([tuple(r) for r in later.itertuples(index=False)])
+            self._wait_for(later[WAITS].min())
+        else:
+            self.held.clear()
+        yield from self._advanced(pdf[due].sort_values(self.order, kind="mergesort"))
+
+    def _wait_for(self, time) -> None:
+        # The first millisecond at which all of the row's microseconds have passed.
+        self.handle.registerTimer(int(-(-int(time) // 1_000)))
+
+    def _advanced(self, pdf):
         import pandas as pd
 
-        pdf = _in_order(rows, self.order)
         before = self.state.get() if self.state.exists() else None
         out, after = self.advance(pdf, before)
         self.state.update(after)
@@ -51,10 +98,14 @@ class _OrderedProcessor(StatefulProcessor):
         pass
 
 
-def _process(stream: DataFrame, keys, processor, fields: list[T.StructField]) -> DataFrame:
+def _process(stream: DataFrame, keys, processor, fields: list[T.StructField], time: str | None = None) -> DataFrame:
+    """Run a processor; ``time`` is a timestamp column with a watermark, by which rows are put in order."""
     use_rocksdb(stream.sparkSession)
+    if time is not None:
+        stream = stream.withColumn(WAITS, F.unix_micros(time))
+        processor.waiting = T.StructType([f for f in stream.schema if f.name != time])
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None" if time is None else "EventTime"
     )
 
 
@@ -70,18 +121,14 @@ class _Detector(_OrderedProcessor):
         self.value, self.rule, self.settings = value, rule, settings
 
     def advance(self, pdf, before):
-        one = {"page_hinkley": page_hinkley_step, "cusum": cusum_step}[self.rule]
         state = START if before is None else tuple(before)
-        hits = []
-        for v in pdf[self.value].tolist():
-            hit, state = one(v, state, **self.settings)
-            hits.append(hit)
-        return pdf[hits], tuple(float(s) for s in state)
+        places, after = alarm_places(pdf[self.value].to_numpy(dtype=float), state, self.rule, **self.settings)
+        return pdf.iloc[places], tuple(float(s) for s in after)
 
 
-def change_alarms(stream: DataFrame, keys, order, value: str, rule: str, **settings) -> DataFrame:
-    """Rows at which the detector raised an alarm."""
-    return _process(stream, keys, _Detector(keys, order, value, rule, settings), _fields(stream, [*keys, *order, value]))
+def change_alarms(stream: DataFrame, keys, order, value: str, rule: str, time: str | None = None, **settings) -> DataFrame:
+    """Rows at which the detector raised an alarm, in the order of ``time`` if it is given."""
+    return _process(stream, keys, _Detector(keys, order, value, rule, settings), _fields(stream, [*keys, *order, value]), time)
 
 
 class _Drift(_OrderedProcessor):
@@ -146,26 +193,26 @@ class _Regime(_OrderedProcessor):
     def advance(self, pdf, before):
         import numpy as np
 
-        prices, spreads, last = ([], [], None) if before is None else (list(before[0]), list(before[1]), before[2])
-        last = None if last is None or last < 0 else int(last)
-        centres, out = np.asarray(self.centres, dtype=float), []
-        for row in pdf.to_dict("records"):
-            prices = (prices + [(row[self.bid] + row[self.ask]) / 2.0])[-self.window :]
-            spreads = (spreads + [row[self.ask] - row[self.bid]])[-self.window :]
-            if len(prices) < self.window:
-                continue
-            x = np.array([np.std(prices), np.mean(spreads)])
-            now = int(((centres - x) ** 2).sum(axis=1).argmin())
-            if now != last:
-                out.append({**row, "regime": now})
-                last = now
-        return out, (prices, spreads, -1 if last is None else last)
-
-
-def regime_changes(stream: DataFrame, keys, order, bid: str, ask: str, window: int, centres) -> DataFrame:
-    """Emit the nearest centre of (deviation of mid price, mean spread) whenever it changes."""
+        held = ([], [], -1) if before is None else before
+        bid, ask = (pdf[c].to_numpy(dtype=float) for c in (self.bid, self.ask))
+        prices, spreads = np.concatenate([held[0], (bid + ask) / 2.0]), np.concatenate([held[1], ask - bid])
+        out, last = [], int(held[2])
+        if len(prices) >= self.window:
+            view = np.lib.stride_tricks.sliding_window_view
+            x = np.column_stack([view(prices, self.window).std(axis=1), view(spreads, self.window).mean(axis=1)])
+            now = ((np.asarray(self.centres, dtype=float)[None] - x[:, None]) ** 2).sum(axis=2).argmin(axis=1)
+            changed = np.flatnonzero(now != np.r_[last, now[:-1]])
+            out = pdf.iloc[len(pdf) - len(now) + changed].assign(regime=now[changed].astype("int32"))
+            last = int(now[-1])
+        kept = max(0, len(prices) - self.window + 1)
+        return out, (prices[kept:].tolist(), spreads[kept:].tolist(), last)
+
+
+def regime_changes(stream: DataFrame, keys, order, bid: str, ask: str, window: int, centres, time: str | None = None) -> DataFrame:
+    """Emit the nearest centre of (deviation of mid price, mean spread) whenever it changes, in the order of
+    ``time`` if it is given."""
     fields = _fields(stream, [*keys, *order]) + [T.StructField("regime", T.IntegerType())]
-    return _process(stream, keys, _Regime(keys, order, bid, ask, window, centres), fields)
+    return _process(stream, keys, _Regime(keys, order, bid, ask, window, centres), fields, time)
 
 
 class _ConfidenceWeighted(_OrderedProcessor):

@@ -133,20 +133,48 @@ def test_detectors_alarm_where_expected(spark, blocks):
 
 
 def test_long_detector_series_passes_state_between_blocks(spark, small_blocks):
-    from tapeloom.operators.drift import START, change_alarms, cusum_step
+    from tapeloom.operators.drift import change_alarms
 
     pdf = series(9, 60)
     got = {r["id"] for r in change_alarms(spark.createDataFrame(pdf), ["symbol"], ["t", "id"], "x", "cusum", threshold=8.0).collect()}
     want = set()
     for _, g in pdf.sort_values(["t", "id"]).groupby("symbol"):
-        state = START
-        for i, v in zip(g["id"], g["x"]):
-            hit, state = cusum_step(v, state, threshold=8.0)
-            if hit:
-                want.add(i)
+        want |= {g["id"].iloc[k] for k in slow_alarms(g["x"].tolist(), "cusum", 8.0, 0.0)}
     assert got == want
 
 
+def slow_alarms(values, rule, threshold, slack, least=1):
+    """Sums from their definitions, over all values since the last alarm."""
+    places, start = [], 0
+    for k in range(len(values)):
+        seen = np.array(values[start : k + 1])
+        off = seen - np.cumsum(seen) / np.arange(1, len(seen) + 1)
+        if rule == "page_hinkley":
+            total = np.concatenate([[0.0], np.cumsum(off - slack)])
+            level = total[-1] - total.min()
+        else:
+            up, down = (np.concatenate([[0.0], np.cumsum(off + side * slack)]) for side in (-1, 1))
+            level = max(up[-1] - up.min(), down.max() - down[-1])
+        if level > threshold and len(seen) >= least:
+            places.append(k)
+            start = k + 1
+    return places
+
+
+@pytest.mark.parametrize("stretch", [1, 4, 256])
+def test_alarms_in_stretches_are_those_of_the_definition(stretch, monkeypatch):
+    from tapeloom.operators import drift
+
+    monkeypatch.setattr(drift, "STRETCH", stretch)
+    rng = np.random.default_rng(stretch)
+    values = rng.normal(size=300) + np.repeat([0, 2, -1], 100)
+    for cut in (0, 7, 300):
+        for rule, settings, slow in (("cusum", {"threshold": 4.0, "drift": 0.2}, (4.0, 0.2)), ("page_hinkley", {"threshold": 5.0, "delta": 0.1, "min_samples": 9}, (5.0, 0.1, 9))):
+            first, state = drift.alarm_places(values[:cut], drift.START, rule, **settings)
+            second, _ = drift.alarm_places(values[cut:], state, rule, **settings)
+            assert [*first, *(cut + k for k in second)] == slow_alarms(values.tolist(), rule, *slow)
+
+
 def test_empty_and_single_row(spark):
     empty = spark.createDataFrame([], "symbol string, t long, id long, x double")
     assert running_sums(empty, ["symbol"], ["t", "id"], {"s": F.col("x")}).count() == 0

@@ -25,6 +25,21 @@ def test_stream_detector_equals_batch(spark):
     assert sorted(r["t"] for r in got.collect()) == batch and batch
 
 
+def test_late_rows_are_put_in_order_and_later_ones_dropped(spark):
+    from tapeloom.operators.drift import change_alarms
+
+    df, _ = numbers(spark)
+    batch = sorted(r["t"] for r in change_alarms(df, ["key"], ["t"], "v", "cusum", threshold=6.0).collect())
+    timed = df.select("key", "t", "v", F.timestamp_seconds(F.col("t") + 1000).alias("ts"))
+    # Rows arrive up to 20 seconds late; a heartbeat ends the series and a row after it comes too late.
+    shaken = timed.withColumn("seen", F.col("t") + F.pmod(F.xxhash64("t"), F.lit(20)))
+    ends = spark.createDataFrame([("beat", 1000, 0.0, 2000), ("k", 10, 1e9, 3000)], "key string, t long, v double, seen long")
+    ends = ends.select("key", "t", "v", F.timestamp_seconds(F.col("t") + 1000).alias("ts"), "seen")
+    stream = arriving(shaken.union(ends), "seen", 6).withWatermark("ts", "20 seconds").drop("seen")
+    late = run_to_table(ST.change_alarms(stream, ["key"], ["t"], "v", "cusum", "ts", threshold=6.0), "late")
+    assert sorted(r["t"] for r in late.collect()) == batch and batch
+
+
 def test_online_drift_sees_the_shift(spark):
     df, _ = numbers(spark, 150)
     got = run_to_table(ST.online_drift(arriving(df.withColumn("key", F.lit("x")), "t"), ["key"], ["t"], "v", 60, 40, 1e9, 0.5), "test").collect()
