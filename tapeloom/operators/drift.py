@@ -172,107 +172,3 @@ def change_alarms(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     cols = [*keys, *order, value]
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema)
     return scan_in_rounds(df, keys, order, step, out, STATE, [value])
-
-
-# --- isolation forest -----------------------------------------------------------------------
-
-EULER = 0.5772156649015329
-
-
-def _path_norm(n):
-    import math
-
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
-
-
-def fit_forest(df: DataFrame, columns: Sequence[str], row_id: str, trees: int = 50, sample: int = 256, seed: int = 0) -> list:
-    """Isolation trees on hashed samples of about ``sample`` rows each.
-
-    The samples (trees x sample rows, a fixed bound) are drawn by Spark; each tree is grown
-    in its own group.  Returns the trees as nested tuples, bounded by the same product.
-    """
-    total = df.count()
-    share = min(1.0, 1.25 * sample / max(total, 1))
-    u = (F.pmod(F.xxhash64(row_id, "tree", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    # one explode per row would multiply the table, so first thin rows to those any tree takes
-    near = 1 - (1 - share) ** trees
-    pre = (F.pmod(F.xxhash64(row_id, F.lit(seed + 1)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    drawn = (
-        df.select(row_id, *columns).filter(pre < near)
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_u", u).filter(_c("_u") < share / near)
-    )
-    cols = list(columns)
-
-    def grow(pdf):
-        import json
-
-        import numpy as np
-        import pandas as pd
-
-        tree = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("_u")[cols].to_numpy(dtype=float)[:sample]
-        rng = np.random.default_rng([seed, tree])
-        limit = int(np.ceil(np.log2(max(len(x), 2))))
-
-        def split(rows, depth):
-            lo, hi = rows.min(axis=0), rows.max(axis=0)
-            open_cols = np.flatnonzero(hi > lo)
-            if depth >= limit or len(rows) <= 1 or not len(open_cols):
-                return depth + _path_norm(len(rows))
-            c = int(rng.choice(open_cols))
-            at = float(rng.uniform(lo[c], hi[c]))
-            left = rows[:, c] < at
-            if left.all() or not left.any():
-                return depth + _path_norm(len(rows))
-            return [c, at, split(rows[left], depth + 1), split(rows[~left], depth + 1)]
-
-        return pd.DataFrame({"tree": [tree], "n": [len(x)], "body": [json.dumps(split(x, 0))]})
-
-    grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, n int, body string").orderBy("tree").collect()
-    import json
-
-    return [(r["n"], json.loads(r["body"])) for r in grown]
-
-
-def score_forest(df: DataFrame, columns: Sequence[str], forest: list, name: str = "anomaly_score") -> DataFrame:
-    """Isolation score in (0, 1) per row; larger is more isolated."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
-    cols = list(columns)
-
-    @F.pandas_udf("double")
-    def score(*series):
-        import numpy as np
-        import pandas as pd
-
-        x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        depth = np.zeros(len(x))
-
-        def walk(node, at):
-            if not isinstance(node, list):
-                depth[at] += node
-                return
-            c, cut, low, high = node
-            side = x[at, c] < cut
-            if side.any():
-                walk(low, at[side])
-            if not side.all():
-                walk(high, at[~side])
-
-        for _, tree in shared.value:
-            walk(tree, np.arange(len(x)))
-        norm = np.mean([_path_norm(n) for n, _ in shared.value]) or 1.0
-        return pd.Series(np.power(2.0, -depth / len(shared.value) / norm))
-
-    return df.withColumn(name, score(*[_c(c).cast("double") for c in cols]))
-
-
-def forest_drift(baseline: DataFrame, recent: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
-    """Share of recent rows that a forest of the baseline isolates (score above 0.5), per feature."""
-    out = None
-    for c in columns:
-        base = baseline.filter(_c(c).isNotNull())
-        scored = score_forest(recent.filter(_c(c).isNotNull()), [c], fit_forest(base, [c], row_id))
-        one = scored.agg(F.avg((_c("anomaly_score") > 0.5).cast("double")).alias("drift")).select(F.lit(c).alias("feature"), "drift")
-        out = one if out is None else out.unionByName(one)
-    return out

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import scoring as SC
 from tapeloom.operators import drift as D
+from tapeloom.operators import forest as FO
 from tapeloom.operators import graph as G
 from tapeloom.operators import joins as J
 from tapeloom.operators import models as M
 from tapeloom.operators import spectral as SP
 from tapeloom.operators import windows as W
+from tapeloom.operators.forest import EULER, path_norm
+from tapeloom.operators.resample import PRIME
 from tapeloom.plans.base import SYMBOLS, bars, query, table, ticks
 from tapeloom.plans.joins import EDGES
 
@@ -83,15 +86,56 @@ def cusum(spark, sf):
     return D.change_alarms(ticks(spark, sf), ["symbol"], ["t", "id"], "bid", "cusum", threshold=150.0, drift=0.5).select("symbol", "id")
 
 
-@query("isolation_forest")
+def forest_sql(rows: str, names: list[str], sample: int = 256, depth: int = 8, trees: int = 100) -> str:
+    """Isolation trees replayed: ``rows`` is a query of event_id and x0, x1, ... to grow from; makes the tables
+    ``c0`` to ``c8`` of nodes per level and needs ``scored_rows`` to make ``paths`` (event_id, mean length)."""
+    def uniform(use):
+        return f"('0x' || substr(md5('0:' || tree || ':' || node || ':{use}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+    many = len(names)
+    opens = " + ".join(f"(h{i} > l{i})::INT" for i in range(many))
+    listed = "list_filter([" + ", ".join(f"CASE WHEN h{i} > l{i} THEN {i} ELSE -1 END" for i in range(many)) + "], lambda i: i >= 0)"
+    pick = lambda what: "CASE col " + " ".join(f"WHEN {i} THEN {what}{i}" for i in range(many)) + " END"
+    xs = ", ".join(f"x{i}" for i in range(many))
+    parts = [f"""grow_from AS (SELECT *, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % {PRIME} AS a FROM ({rows})),
+tree_factors AS (SELECT b AS tree, ('0x' || substr(md5('0:' || b), 1, 8))::BIGINT % {PRIME - 1} + 1 AS k FROM range({trees}) t(b)),
+s0 AS MATERIALIZED (SELECT tree, 1 AS node, {xs} FROM grow_from, tree_factors QUALIFY row_number() OVER (PARTITION BY tree ORDER BY a * k % {PRIME}, event_id) <= {sample})"""]
+    paths = []
+    parts.append(f"q0 AS MATERIALIZED (SELECT event_id, tree, 1 AS node, {xs} FROM scored_rows, tree_factors)")
+    for d in range(depth + 1):
+        ranges = ", ".join(f"min(x{i}) AS l{i}, max(x{i}) AS h{i}" for i in range(many))
+        column = f"CASE WHEN n > 1 AND {opens} > 0 THEN {listed}[floor({uniform('column')} * ({opens}))::INT + 1] ELSE -1 END" if d < depth else "-1"
+        parts.append(f"g{d} AS (SELECT tree, node, count(*) AS n, {ranges} FROM s{d} GROUP BY 1, 2)")
+        parts.append(f"k{d} AS (SELECT *, {column} AS col FROM g{d})")
+        parts.append(f"m{d} AS (SELECT *, {pick('l')} + {uniform('cut')} * ({pick('h')} - {pick('l')}) AS cut, {pick('l')} AS low FROM k{d})")
+        parts.append(f"c{d} AS MATERIALIZED (SELECT tree, node, CASE WHEN cut > low THEN col ELSE -1 END AS col, cut, {d} + CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + {EULER}) - 2 * (n - 1) / n::DOUBLE END AS length FROM m{d})")
+        paths.append(f"SELECT event_id, length FROM q{d} JOIN c{d} USING (tree, node) WHERE col < 0")
+        if d < depth:
+            for name, key in (("s", ""), ("q", "event_id, ")):
+                parts.append(f"{name}{d + 1} AS MATERIALIZED (SELECT {key}tree, 2 * node + CASE WHEN {pick('x')} < cut THEN 0 ELSE 1 END AS node, {xs} FROM {name}{d} JOIN c{d} USING (tree, node) WHERE col >= 0)")
+    parts.append("paths AS (SELECT event_id, sum(length) / 100 AS length FROM (" + " UNION ALL ".join(paths) + ") GROUP BY 1)")
+    return ",\n".join(parts)
+
+
+@query("isolation_forest", f"""
+WITH scored_rows AS (SELECT event_id, value AS x0, user_id::DOUBLE AS x1 FROM events),
+{forest_sql("SELECT event_id, value AS x0, user_id::DOUBLE AS x1 FROM events", COLS)}
+SELECT event_id, value, user_id::DOUBLE AS user_id, pow(2, -length / {path_norm(256)}) AS anomaly_score FROM events JOIN paths USING (event_id)""", doubles="anomaly_score")
 def isolation_forest(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user_id"))
-    return D.score_forest(e, COLS, D.fit_forest(e, COLS, "event_id"))
+    return FO.score_forest(e, COLS, FO.fit_forest(e, COLS, "event_id"))
 
 
-@query("isolation_drift")
+def _drift_sql(column: str) -> str:
+    early = "ts < TIMESTAMP '2024-01-16'"
+    return f"""SELECT '{column}' AS feature, drift FROM (WITH scored_rows AS (SELECT event_id, {column}::DOUBLE AS x0 FROM events WHERE NOT {early}),
+{forest_sql(f"SELECT event_id, {column}::DOUBLE AS x0 FROM events WHERE {early}", ["x0"])}
+SELECT avg((pow(2, -length / {path_norm(256)}) > 0.5)::INT) AS drift FROM paths)"""
+
+
+@query("isolation_drift", " UNION ALL ".join(map(_drift_sql, COLS)), doubles="drift")
 def isolation_drift(spark, sf):
-    return D.forest_drift(*halves(spark, sf), COLS, "event_id")
+    return FO.forest_drift(*halves(spark, sf), COLS, "event_id")
 
 
 # --- graph ----------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import classify as C
 from tapeloom.operators import resample as RS
 from tapeloom.operators import drift as D
+from tapeloom.operators import forest as FO
 from tapeloom.operators import graph as G
 from tapeloom.operators import labels as L
 from tapeloom.operators import models as M
@@ -134,9 +135,9 @@ def test_forest_isolates_an_outlier(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=500), [12.0]])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, v double")
-    forest = D.fit_forest(df, ["v"], "id", trees=30, sample=128)
-    assert len(forest) == 30 and all(n > 60 for n, _ in forest)
-    scored = D.score_forest(df, ["v"], forest).toPandas().set_index("id")["anomaly_score"]
+    forest = FO.fit_forest(df, ["v"], "id", trees=30, sample=128)
+    assert len(forest.column) == 30 and forest.sample == 128
+    scored = FO.score_forest(df, ["v"], forest).toPandas().set_index("id")["anomaly_score"]
     assert scored.idxmax() == 500
 
 
@@ -164,6 +165,25 @@ def test_dtw_mixup_is_the_same_when_split(spark, small_blocks):
     assert split == run() and split
 
 
+def test_forest_of_odd_tables(spark):
+    rows = [(i, 5.0, None if i % 9 == 0 else float(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    forest = FO.fit_forest(df, ["a", "b"], "id", trees=7, sample=16)
+    assert forest.sample == 16 and set(forest.column.ravel()) <= {-1, 1}  # a never varies
+    inner = forest.column >= 0
+    assert ((forest.cut > 0) & (forest.cut < 3))[inner].all() and inner[:, 1].any()
+    assert (forest.length[~inner][forest.length[~inner] > 0] <= 4 + FO.path_norm(16)).all()
+    few = FO.fit_forest(df.limit(1), ["a"], "id", trees=2)
+    assert few.sample == 1 and FO.score_forest(df, ["a"], few).count() == 40
+    assert FO.fit_forest(df.limit(0), ["a"], "id", trees=2).sample == 0
+
+
+def test_forest_is_the_same_wherever_rows_lie(spark):
+    df = spark.createDataFrame([(i, float(i * i % 97)) for i in range(300)], "id long, v double")
+    one, two = (FO.fit_forest(d, ["v"], "id", trees=5, sample=32) for d in (df, df.repartition(7)))
+    assert (one.column == two.column).all() and (one.cut == two.cut).all() and (one.length == two.length).all()
+
+
 def slow_warp(a, b):
     cost = np.full((len(a) + 1, len(b) + 1), np.inf)
     cost[0, 0] = 0
