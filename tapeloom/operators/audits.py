@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.ordered import over_rows, row_index, running_sums
+from tapeloom.operators.resample import PRIME, row_number_of
 
 
 def _c(name: str) -> Column:
@@ -115,15 +116,17 @@ def vector_mean(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
 
 
 def noisy_group_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[str], action: str, copies: str, scale: float = 1e-3, seed: int = 0) -> DataFrame:
-    """Group means with small normal noise, the rounded mean action, repeated per contributor."""
+    """Group means with small normal noise, the rounded mean action, repeated per contributor.
+
+    Noise comes from uniform numbers from the MD5 of seed, column, use and key: the same after a recomputed
+    task."""
     means = df.groupBy(*keys).agg(
         *[F.avg(c).alias(c) for c in columns], F.round(F.avg(action)).cast("int").alias(action), F.count(F.lit(1)).alias(copies)
     )
-    # noise from hashed uniforms: the same after a recomputed task
     def noise(i):
         def u(j):
-            h = F.xxhash64(*keys, F.lit(seed), F.lit(i), F.lit(j))
-            return (F.pmod(h, F.lit(1 << 53)) + 0.5) / float(1 << 53)
+            return (row_number_of(F.concat_ws(":", F.lit(seed), F.lit(i), F.lit(j), *keys)) + 0.5) / float(PRIME)
+
         return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1)) * scale
 
     rows = means.withColumns({c: _c(c) + noise(i) for i, c in enumerate(columns)})

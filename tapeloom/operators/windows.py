@@ -647,35 +647,64 @@ def kalman(df, keys, order, price, process_var=1e-5, measurement_var=1e-2, name=
     return lay.finish(rows).drop("_i", *parts, "_level", "_trend")
 
 
-def ewma_anomaly(df, keys, order, value, threshold=3.0, alpha=0.3):
-    """Is the last value further than ``threshold`` weighted deviations from the weighted mean?
+def ewm_sums(df, keys, order, value, alpha=0.3):
+    """Per key the weighted sums of its rows, weights (1-a)^age with the newest row at age 0: ``last_value,
+    rows, w, w2, ewm_mean, ss`` (weights, their squares, mean, squared distances from it).
 
-    Weights (1-a)^age over all rows of a key, newest first; they are summed per block, no order needed
-    once rows are numbered.
-    """
+    Sums are taken per block; no order is needed once rows are numbered."""
     ranked = row_index(df, keys, order, "_i")
     last = ranked.groupBy(*keys).agg(F.max("_i").alias("_last"))
     rows = join_on(ranked, last, keys).withColumn("_age", _c("_last") - _c("_i"))
     w = F.pow(F.lit(1.0 - alpha), _c("_age"))
     x = _c(value)
     stats = rows.groupBy(*keys).agg(
-        F.max_by(value, -_c("_age")).alias("last_value"),
-        F.sum(w).alias("_w"), F.sum(w * w).alias("_w2"), F.sum(w * x).alias("_wx"),
+        F.max_by(value, -_c("_age")).alias("last_value"), (F.max("_last") + 1).alias("rows"),
+        F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.sum(w * x).alias("_wx"),
     )
-    stats = stats.withColumn("ewm_mean", _c("_wx") / _c("_w"))
+    stats = stats.withColumn("ewm_mean", _c("_wx") / _c("w")).drop("_wx")
     spread = join_on(rows, stats.select(*keys, "ewm_mean"), keys).groupBy(*keys).agg(
-        F.sum(w * F.pow(x - _c("ewm_mean"), 2)).alias("_ss")
+        F.sum(w * F.pow(x - _c("ewm_mean"), 2)).alias("ss")
+    )
+    return join_on(stats, spread, keys)
+
+
+def join_ewm_sums(older, newer, keys, alpha=0.3):
+    """:func:`ewm_sums` of all rows from those of older and of newer ones: older weights age by the number of
+    newer rows."""
+    fields = ("last_value", "rows", "w", "w2", "ewm_mean", "ss")
+    sides = older.withColumn("_new", F.lit(False)).unionByName(newer.withColumn("_new", F.lit(True)))
+    # One row per key and side.
+    both = sides.groupBy(*keys).agg(
+        *[F.max(F.when(_c("_new") == new, F.struct(*fields))).alias(name) for name, new in (("_o", False), ("_n", True))]
+    )
+    zero = F.struct(F.lit(None).cast("double").alias("last_value"), F.lit(0).cast("long").alias("rows"), *[F.lit(0.0).alias(f) for f in fields[2:]])
+    o, n = F.coalesce("_o", zero), F.coalesce("_n", zero)
+    fade = F.pow(F.lit(1.0 - alpha), n["rows"])
+    w, faded = o["w"] * fade + n["w"], o["w"] * fade
+    mean = (faded * o["ewm_mean"] + n["w"] * n["ewm_mean"]) / w
+    ss = o["ss"] * fade + n["ss"] + faded * n["w"] / w * F.pow(o["ewm_mean"] - n["ewm_mean"], 2)
+    return both.select(
+        *keys, F.when(n["rows"] > 0, n["last_value"]).otherwise(o["last_value"]).alias("last_value"), (o["rows"] + n["rows"]).alias("rows"),
+        w.alias("w"), (o["w2"] * fade * fade + n["w2"]).alias("w2"), mean.alias("ewm_mean"), ss.alias("ss"),
     )
-    out = join_on(stats, spread, keys)
-    bias = _c("_w") * _c("_w") - _c("_w2")
-    var = F.coalesce(F.try_divide(_c("_ss") / _c("_w") * _c("_w") * _c("_w"), bias), F.lit(0.0))
-    out = out.withColumn("ewm_std", F.when(bias > 1e-15, F.sqrt(var)).otherwise(0.0))
+
+
+def ewm_verdict(sums, keys, threshold=3.0):
+    """``last_value, ewm_mean, ewm_std, is_anomaly`` per key."""
+    bias = _c("w") * _c("w") - _c("w2")
+    var = F.coalesce(F.try_divide(_c("ss") / _c("w") * _c("w") * _c("w"), bias), F.lit(0.0))
+    out = sums.withColumn("ewm_std", F.when(bias > 1e-15, F.sqrt(var)).otherwise(0.0))
     scale = F.when(_c("ewm_std") == 0, 1.0).otherwise(_c("ewm_std"))
     return out.withColumn(
         "is_anomaly", F.abs(_c("last_value") - _c("ewm_mean")) > threshold * scale
     ).select(*keys, "last_value", "ewm_mean", "ewm_std", "is_anomaly")
 
 
+def ewma_anomaly(df, keys, order, value, threshold=3.0, alpha=0.3):
+    """Is the last value further than ``threshold`` weighted deviations from the weighted mean?"""
+    return ewm_verdict(ewm_sums(df, keys, order, value, alpha), keys, threshold)
+
+
 def model_weights(df, order, model, profit, correct, models: Sequence[int], alpha=0.1):
     """After each outcome: softmax over models of their running profit plus hit rate."""
     rows = df.withColumn("_hit", _c(correct).cast("double"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.scalar import hour_of, session_tag
 from tapeloom.operators import audits as A
 from tapeloom.operators import ticks as TK
+from tapeloom.operators.resample import PRIME
 from tapeloom.plans import base
 from tapeloom.plans.base import query, table, ticks
 
@@ -106,7 +107,18 @@ def headline_pooling(spark, sf):
     return m.select("symbol", "headline_count", F.get("mean", F.lit(0)).alias("emb_0"), F.get("mean", F.lit(63)).alias("emb_63"))
 
 
-@query("noisy_group_mean")
+def _drawn(*parts):
+    """A uniform number from the MD5 of the parts, as in SQL."""
+    return f"((('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 8))::BIGINT % {PRIME} + 0.5::DOUBLE) / {PRIME}.0::DOUBLE)"
+
+
+def _noise(i):
+    return f"sqrt(-2 * ln({_drawn(f"'0:{i}:0'", 'symbol')})) * cos(2 * pi() * {_drawn(f"'0:{i}:1'", 'symbol')}) * 1e-3"
+
+
+@query("noisy_group_mean", f"""
+WITH g AS (SELECT symbol, avg(bid) AS bid, avg(ask) AS ask, round(avg(user_id % 2))::INT AS action, count(*) AS n FROM ticks GROUP BY 1)
+SELECT symbol, bid + {_noise(0)} AS bid, ask + {_noise(1)} AS ask, action, unnest(range(1, n + 1)) AS copy FROM g""", ctes="ticks", doubles="bid ask")
 def noisy_group_mean(spark, sf):
     rows = ticks(spark, sf).select("symbol", "bid", "ask", (F.col("user_id") % 2).alias("action"))
     return A.noisy_group_mean(rows, ["symbol"], ["bid", "ask"], "action", "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators.drift import melt
+from tapeloom.operators.resample import PRIME
 from tapeloom.plans import base
 from tapeloom.plans.analytics import FEATS, training_rows
 from tapeloom.plans.base import ORACLES, query, table, ticks
@@ -166,13 +167,32 @@ def stream_metric_alarms(spark, sf):
     return P.metric_alarms(event_stream(spark, sf).select("symbol", "t", "id", "bid"), ["symbol"], ["t", "id"], "bid", 1.5)
 
 
+@query("stream_metric_alarms_final")
+def stream_metric_alarms_final(spark, sf):
+    """The verdict after the last micro-batch is the one over the whole table."""
+    seen = P.metric_alarms(event_stream(spark, sf).select("symbol", "t", "id", "bid"), ["symbol"], ["t", "id"], "bid", 1.5)
+    rounded = {c: F.round(c, 6) + F.lit(0.0) for c in ("last_value", "ewm_mean", "ewm_std")}
+    return seen.where("batch_no = 2").drop("batch_no").withColumns(rounded)
+
+
+ORACLES["stream_metric_alarms_final"] = ORACLES["ewma_anomaly"]
+
+
 @query("stream_sgd_updates")
 def stream_sgd_updates(spark, sf):
     rows = training_rows(spark, sf).withColumns({f: F.col(f) / 50.0 for f in FEATS})
     return P.sgd_updates(arriving(rows, "t"), FEATS, "label")
 
 
-@query("stream_replay_sample")
+def _draw_sql(rows, ids, weight, k):
+    number = f"(('0x' || substr(md5('0:' || {" || ':' || ".join(ids)}), 1, 8))::BIGINT % {PRIME} + 0.5::DOUBLE) / {PRIME}.0::DOUBLE"
+    return f"SELECT * FROM {rows} ORDER BY -ln({number}) / greatest({weight}, 1e-6::DOUBLE), {', '.join(ids)} LIMIT {k}"
+
+
+@query("stream_replay_sample", f"""
+WITH d AS (SELECT t, decision_id, probability, (profit > 0)::INT AS y, greatest(1e-15::DOUBLE, least(1 - 1e-15::DOUBLE, probability)) AS p FROM decisions),
+w AS (SELECT t, decision_id, probability, y, -ln(CASE WHEN y = 1 THEN p ELSE 1 - p END) + abs(probability - y) AS weight FROM d ORDER BY t DESC, decision_id DESC LIMIT 500)
+SELECT * FROM ({_draw_sql("w", ["t", "decision_id"], "weight", 50)})""", ctes="decisions", doubles="probability weight")
 def stream_replay_sample(spark, sf):
     rows = base.decisions(spark, sf).select("t", "decision_id", "probability", (F.col("profit") > 0).cast("int").alias("y"))
     rows = rows.withColumn("weight", P.replay_weight("probability", "y"))
@@ -185,7 +205,9 @@ def stream_calibration(spark, sf):
     return P.running_calibration(arriving(rows, "t"), ["t", "decision_id"], "probability", "y", 1000)
 
 
-@query("weighted_sample")
+@query("weighted_sample", f"""
+WITH w AS (SELECT decision_id, probability, abs(profit) AS weight FROM decisions)
+SELECT * FROM ({_draw_sql("w", ["decision_id"], "weight", 100)})""", ctes="decisions", doubles="probability weight")
 def weighted_sample(spark, sf):
     return P.weighted_sample(base.decisions(spark, sf).select("decision_id", "probability", F.abs("profit").alias("weight")), ["decision_id"], "weight", 100)
 

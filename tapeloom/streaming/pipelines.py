@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.operators.resample import PRIME, row_number_of
 from tapeloom.sources.readers import parse_json_lines
 from tapeloom.streaming.runner import Versions, new_folder, run_batches
 
@@ -78,23 +79,24 @@ def strategy_totals(stream: DataFrame, strategy: str, metric: str) -> DataFrame:
 
 
 def metric_alarms(stream: DataFrame, keys: Sequence[str], order: Sequence[str], metric: str, threshold: float, alpha: float = 0.3) -> DataFrame:
-    """After each micro-batch, keys whose newest value is far from its weighted mean.
+    """After each micro-batch, the newest value of each key against its weighted mean, as ``batch_no``.
 
-    Only the newest rows that still carry weight are kept between batches.
+    What is kept between batches is one row of weighted sums per key, which all rows so far are part of.
     """
-    from tapeloom.operators.windows import ewma_anomaly
-    from tapeloom.sources.writers import newest_per_key
+    from tapeloom.operators.windows import ewm_sums, ewm_verdict, join_ewm_sums
 
     spark = stream.sparkSession
-    keep = int(40.0 / alpha) + 1
     cols = [*keys, *order, metric]
-    history = Versions(spark, new_folder(spark, "history"), stream.select(*cols).schema)
+    fields = "last_value double, rows long, w double, w2 double, ewm_mean double, ss double"
+    schema = T.StructType([*[stream.schema[k] for k in keys], *T.StructType.fromDDL(fields)])
+    history = Versions(spark, new_folder(spark, "history"), schema)
     out = new_folder(spark, "alarms")
 
     def handle(batch: DataFrame, n: int) -> None:
-        rows = history.read(before=n).unionByName(batch.select(*cols))
-        history.write(newest_per_key(rows, list(keys), list(order), keep), n)
-        seen = ewma_anomaly(history.read(), keys, order, metric, threshold, alpha)
+        rows = batch.select(*cols).withColumn(metric, F.col(metric).cast("double"))
+        newer = ewm_sums(rows, keys, order, metric, alpha)
+        history.write(join_ewm_sums(history.read(before=n), newer, keys, alpha).select(*schema.names), n)
+        seen = ewm_verdict(history.read(), keys, threshold)
         seen.withColumn("batch_no", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     run_batches(stream, handle, "alarms")
@@ -148,8 +150,10 @@ def replay_sample(stream: DataFrame, order: Sequence[str], weight: str, capacity
 
 
 def weighted_sample(df: DataFrame, row_id: Sequence[str], weight: str, k: int, seed: int = 0, floor: float = 1e-6) -> DataFrame:
-    """``k`` rows without replacement with probability by weight (exponential-key method)."""
-    u = (F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    """``k`` rows without replacement with probability by weight (exponential-key method).
+
+    A row's uniform number comes from the MD5 of seed and id, so a recomputed task draws the same."""
+    u = (row_number_of(F.concat_ws(":", F.lit(seed), *row_id)) + 0.5) / float(PRIME)
     key = -F.ln(u) / F.greatest(F.col(weight).cast("double"), F.lit(floor))
     return df.withColumn("_key", key).orderBy("_key", *row_id).limit(k).drop("_key")
 
