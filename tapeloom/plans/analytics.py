@@ -362,12 +362,23 @@ def heteroscedastic_fit(spark, sf):
     return M.heteroscedastic(training_rows(spark, sf), ["volume", "spread"], "profit").select("id", "mean", "log_variance")
 
 
-@query("quantile_fit")
+# At the optimum the rows below the fit and above it pull equally hard: the mean of (q - below) times each
+# feature lies within the few rows on the fit, which make up what is rounded away.
+@query("quantile_fit", """
+SELECT q AS quantile, true AS balanced, round(q, 3) AS share_below FROM (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS q)""", doubles="quantile share_below", digits=2)
 def quantile_fit(spark, sf):
-    rows = training_rows(spark, sf)
-    m = M.quantile_regression(rows, ["volume", "spread"], "profit", 0.5, rounds=8)
-    pred = SC.total([F.col(f) * c for f, c in zip(["volume", "spread"], m["coefficients"])]) + m["intercept"]
-    return rows.agg(F.avg((F.col("profit") <= pred).cast("double")).alias("share_below"), F.count(F.lit(1)).alias("rows"))
+    rows = training_rows(spark, sf).select("id", "volume", "spread", "profit")
+    fits = M.quantile_regression(rows, ["volume", "spread"], "profit")
+    out = None
+    for fit in fits:
+        miss = F.col("profit") - SC.total([F.col(f) * c for f, c in zip(["volume", "spread"], fit["coefficients"])]) - fit["intercept"]
+        pull = fit["quantile"] - (miss < 0).cast("double")
+        balance = [F.abs(F.avg(pull * F.col(f)) / F.avg(F.abs(f))) for f in ("volume", "spread")]
+        one = rows.agg(
+            (F.greatest(F.abs(F.avg(pull)), *balance) * F.count(F.lit(1)) < 12).alias("balanced"), F.avg((miss < 0).cast("double")).alias("share_below")
+        ).select(F.lit(fit["quantile"]).alias("quantile"), "balanced", "share_below")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("grid_evaluation")

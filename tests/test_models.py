@@ -165,6 +165,23 @@ def test_dtw_mixup_is_the_same_when_split(spark, small_blocks):
     assert split == run() and split
 
 
+def test_quantile_fits_reach_the_least_loss(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=60) * 30 + 100
+    y = 5 * x + rng.exponential(size=60) * 40
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0)], "x double, y double")
+
+    def loss(q, slope, start):
+        r = y - slope * x - start
+        return np.where(r >= 0, q * r, (q - 1) * r).sum()
+
+    for fit in M.quantile_regression(df, ["x"], "y", (0.1, 0.5, 0.9)):
+        # A best line goes through two of the points.
+        lines = [((y[j] - y[i]) / (x[j] - x[i]), i) for i in range(60) for j in range(i)]
+        least = min(loss(fit["quantile"], s, y[i] - s * x[i]) for s, i in lines)
+        assert loss(fit["quantile"], fit["coefficients"][0], fit["intercept"]) == pytest.approx(least, rel=1e-3)
+
+
 def test_forest_of_odd_tables(spark):
     rows = [(i, 5.0, None if i % 9 == 0 else float(i % 4)) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
