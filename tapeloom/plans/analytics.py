@@ -357,7 +357,16 @@ def permutation_importance(spark, sf):
     return M.permutation_importance(training_rows(spark, sf), "id", FEATS, "label", score)
 
 
-@query("heteroscedastic_fit")
+def _plane(rows, y, name):
+    """Least squares of ``y`` on volume and spread from the moments of ``rows``."""
+    return f"""{name} AS (SELECT my - b1 * mx - b2 * mz AS b0, b1, b2 FROM (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM (
+    SELECT avg(volume) AS mx, avg(spread) AS mz, avg({y}) AS my, var_pop(volume) AS xx, var_pop(spread) AS zz, covar_pop(volume, spread) AS xz, covar_pop(volume, {y}) AS xy, covar_pop(spread, {y}) AS zy FROM {rows})))"""
+
+
+@query("heteroscedastic_fit", f"""
+WITH {TRAINING}, {_plane("t", "bid - 20", "a")},
+r AS (SELECT id, volume, spread, b0 + b1 * volume + b2 * spread AS mean, ln(pow(bid - 20 - (b0 + b1 * volume + b2 * spread), 2) + 1e-6) AS lr FROM t, a), {_plane("r", "lr", "v")}
+SELECT id, mean, b0 + b1 * volume + b2 * spread AS log_variance FROM r, v""", ctes="ticks", doubles="mean log_variance", digits=4)
 def heteroscedastic_fit(spark, sf):
     return M.heteroscedastic(training_rows(spark, sf), ["volume", "spread"], "profit").select("id", "mean", "log_variance")
 
