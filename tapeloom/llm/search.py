@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import pin
+
 # Vectors of a shard (64 components: 8 MB) and of a block of queries: both bounds hold by construction.
 SHARD_ROWS = 32_768
 BLOCK_ROWS = 1_024
@@ -119,19 +121,19 @@ def _search(k: int):
                     last, index = row.shard, Postings(ids, _matrix(row.vectors, width))
                 out = []
                 queries = _matrix(row.query_vectors, max(max((len(v) for v in row.query_vectors), default=0), index.matrix.shape[1]))
-                for query_id, query in zip(row.query_ids.tolist(), queries):
+                for number, query_id, query in zip(row.numbers.tolist(), row.query_ids.tolist(), queries):
                     ids, scores = max_score(index, query_id, query, k)
-                    out += [(query_id, i, min(max(int(s), LONG.min), LONG.max)) for i, s in zip(ids.tolist(), scores.tolist())]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+                    out += [(number, query_id, i, min(max(int(s), LONG.min), LONG.max)) for i, s in zip(ids.tolist(), scores.tolist())]
+                yield pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"], dtype="int64")
 
     return run
 
 
-def _packed(rows: DataFrame, name: str, pieces: int, ids: str, vectors: str) -> DataFrame:
-    """One row per piece with its ids and vectors as arrays; pieces are of nearly equal size."""
+def _packed(rows: DataFrame, name: str, pieces: int, **columns: str) -> DataFrame:
+    """One row per piece with the ``columns`` of its rows as arrays; pieces are of nearly equal size."""
     number = F.pmod(F.xxhash64("id"), F.lit(pieces))
-    packed = rows.groupBy(number.alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    return packed.select(name, F.col("rows")["id"].alias(ids), F.col("rows")["v"].alias(vectors))
+    packed = rows.groupBy(number.alias(name)).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return packed.select(name, *[F.col("rows")[c].alias(a) for c, a in columns.items()])
 
 
 def top_k(
@@ -152,17 +154,19 @@ def top_k(
 
     Rows with a null key, a null vector or a component that is null or not finite take no part.  Vectors
     of different lengths count as ending in zeros; an empty vector scores 0.  Rows that repeat a key are
-    all skipped by the query of that key, and are candidates each.  Scores beyond a long are given as
+    all skipped by queries of that key, and are candidates each; as queries, equal rows are asked once and
+    different ones each for itself, with the same ``query_id``.  Scores beyond a long are given as
     its limit.  Other columns are ignored; no rows or no queries give no rows.
     """
     rows = integer_vectors(vectors, key, vector)
-    queries = integer_vectors(vectors.where(is_query), key, vector).dropDuplicates(["id"])
+    # Numbers depend on placement, so the queries are written once.
+    queries = pin(integer_vectors(vectors.where(is_query), key, vector).distinct().withColumn("query", F.monotonically_increasing_id()))
     shards = max(1, math.ceil(rows.count() / shard_rows))
     blocks = max(1, math.ceil(queries.count() / block_rows))
-    pieces = _packed(rows, "shard", shards, "ids", "vectors")
-    asked = _packed(queries, "block", blocks, "query_ids", "query_vectors")
+    pieces = _packed(rows, "shard", shards, id="ids", v="vectors")
+    asked = _packed(queries, "block", blocks, query="numbers", id="query_ids", v="query_vectors")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = pieces.join(asked, "shard").select("shard", "ids", "vectors", "query_ids", "query_vectors")
-    found = found.mapInPandas(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pieces.join(asked, "shard").select("shard", "ids", "vectors", "numbers", "query_ids", "query_vectors")
+    found = found.mapInPandas(_search(k), "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

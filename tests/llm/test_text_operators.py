@@ -373,6 +373,13 @@ def test_top_k_against_brute_force(spark, shape):
         assert list(map(tuple, got)) == want
 
 
+def test_top_k_answers_every_query_of_a_repeated_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 2.0])]
+    found = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted([(50, 1, 1, 3 * 256**2), (50, 2, 2, 256**2), (50, 1, 2, 2 * 256**2), (50, 2, 1, 256**2)])
+
+
 def test_top_k_with_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0e9]), (50, [1.0e9])], "vec_id long, embedding array<double>")
     got = search.top_k(few, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
