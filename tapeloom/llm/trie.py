@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import BLOCK, Layout, over_rows, row_index, running_sums
+from tapeloom.operators.ordered import Layout, over_rows, row_index, running_sums
 from tapeloom.session import pin
 
 # Members whose ids are joined to one string before the strings of a node are digested in order.
