@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapeloom.operators.ordered import OWN, POS, lay_out, over_rows, quantiles, row_index
+from tapeloom.operators.ordered import over_rows, quantiles, row_index
 
 
 def _c(name: str) -> Column:

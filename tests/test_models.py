@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import classify as C
 from tapeloom.operators import resample as RS
-from tapeloom.operators import drift as D
 from tapeloom.operators import forest as FO
 from tapeloom.operators import graph as G
 from tapeloom.operators import labels as L
