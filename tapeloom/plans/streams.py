@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tapeloom.operators.drift import melt
@@ -10,6 +12,7 @@ from tapeloom.plans import base
 from tapeloom.plans.analytics import FEATS, training_rows
 from tapeloom.plans.base import ORACLES, query, table, ticks
 from tapeloom.plans.logs_in import JSON_LINES, MESSAGE, json_lines
+from tapeloom.session import pin
 from tapeloom.sources import schemas as S
 from tapeloom.sources.readers import follow_csv
 from tapeloom.streaming import pipelines as P
@@ -18,19 +21,19 @@ from tapeloom.streaming.runner import follow_parquet, new_folder, run_to_table
 
 
 FILES = 4  # files written per slice and read per micro-batch
+BATCH_ROWS = 1_000_000  # rows of a micro-batch of streams whose results don't depend on where batches end
 
 
 def arriving(df, order, slices=3, last=None):
     """``df`` as a stream: slices of ``order`` arrive one after the other, a slice per batch, then the rows
-    of ``last``."""
+    of ``last``.  Rows are dealt into slices once, so that each is read twice however many slices there are."""
     spark = df.sparkSession
     folder = new_folder(spark, "arriving")
     marks = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10000)).first()[0]
-    bounds = [None, *marks, None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        part = df if lo is None else df.filter(F.col(order) > lo)
-        part = part if hi is None else part.filter(F.col(order) <= hi)
-        part.repartition(FILES).write.mode("append").parquet(folder)
+    below = F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col(order))
+    dealt = pin(df.where(F.col(order).isNotNull()).withColumn("_slice", F.size(below)), by=["_slice"])
+    for i in range(slices):
+        dealt.where(F.col("_slice") == i).drop("_slice").repartition(FILES).write.mode("append").parquet(folder)
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(folder)
     return follow_parquet(spark, folder, df.schema, FILES)
@@ -55,7 +58,8 @@ def shuffled_stream(spark, sf):
     e = ticks(spark, sf).withColumns({"ts": F.timestamp_micros("t"), "seen": F.col("t") + F.pmod(F.xxhash64("id"), F.lit(6 * 3_600_000_000))})
     late = 365 * 86_400_000_000
     beat = e.agg((F.max("t") + late).alias("t")).select(F.lit("heartbeat").alias("symbol"), "t", F.timestamp_micros("t").alias("ts"), (F.col("t") + late).alias("seen"))
-    return arriving(e, "seen", last=e.limit(0).unionByName(beat, allowMissingColumns=True)).withWatermark("ts", "6 hours")
+    slices = max(3, math.ceil(e.count() / BATCH_ROWS))
+    return arriving(e, "seen", slices, e.limit(0).unionByName(beat, allowMissingColumns=True)).withWatermark("ts", "6 hours")
 
 
 @query("stream_validation", f"""

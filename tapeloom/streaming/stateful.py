@@ -26,16 +26,37 @@ def _in_order(parts, order):
 
 
 WAITS = "waits_us"
+# A piece of waiting rows as the state holds it: its first and last time and the rows as an Arrow batch.
+HELD = "first long, last long, rows binary"
+# Waiting rows of one piece, and released rows that a rule takes at once.
+PIECE_ROWS, RELEASE_ROWS = 10_000, 100_000
+
+
+def _packed(pdf) -> tuple:
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return int(pdf[WAITS].min()), int(pdf[WAITS].max()), sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(rows).read_all().to_pandas()
 
 
 class _OrderedProcessor(StatefulProcessor):
     """Holds one tuple of state per key and passes ordered rows to ``advance``.
 
-    With ``waiting``, the columns of a row and the type of each, rows wait in a list until the watermark
-    passes their time, which is there as microseconds in ``waits_us``."""
+    With ``waiting``, the columns of a row, rows wait in packed pieces until the watermark passes their
+    time, which is there as microseconds in ``waits_us``.  They are never objects of their own, and a
+    rule gets them in stretches of bounded length."""
 
     state_schema = ""
-    waiting: T.StructType | None = None
+    waiting: Sequence[str] | None = None
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], out: Sequence[str]):
         self.keys, self.order, self.out = list(keys), list(order), list(out)
@@ -44,52 +65,67 @@ class _OrderedProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
         if self.waiting is not None:
-            self.held = handle.getListState("held", self.waiting)
+            self.held = handle.getListState("held", HELD)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         if self.waiting is None:
-            yield from self._advanced(_in_order(rows, self.order))
+            yield from self._advanced([_in_order(rows, self.order)])
             return
-        pdf = pd.concat(list(rows), ignore_index=True)[self.waiting.names]
-        pdf = pdf.dropna(subset=[WAITS])
-        if not len(pdf):
-            return
-        first = pdf[WAITS].min()
-        values = pdf.astype(object).where(pdf.notna(), None)
-        self.held.appendList([tuple(r) for r in values.itertuples(index=False)])
-        self._wait_for(first)
+        first = None
+        for part in rows:
+            pdf = part[self.waiting].dropna(subset=[WAITS])
+            if len(pdf):
+                pieces = [_packed(pdf.iloc[s : s + PIECE_ROWS]) for s in range(0, len(pdf), PIECE_ROWS)]
+                self.held.appendList(pieces)
+                first = min([p[0] for p in pieces] if first is None else [first, *(p[0] for p in pieces)])
+        if first is not None:
+            self._wait_for(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         if self.waiting is None or not self.held.exists():
             return
-        pdf = pd.DataFrame(list(self.held.get()), columns=self.waiting.names)
-        due = pdf[WAITS] <= 1_000 * timerValues.getCurrentWatermarkInMs()
-        if not due.any():
+        now = 1_000 * timerValues.getCurrentWatermarkInMs()
+        due, later, kept = [], [], []
+        for piece in self.held.get():
+            if piece[0] > now:
+                kept.append(tuple(piece))
+                continue
+            pdf = _unpacked(piece[2])
+            passed = pdf[WAITS] <= now
+            due.append(pdf[passed])
+            if piece[1] > now:
+                later.append(pdf[~passed])
+        if not due:
             return
-        later = pdf[~due]
-        if len(later):
-            self.held.put([tuple(r) for r in later.itertuples(index=False)])
-            self._wait_for(later[WAITS].min())
+        if later:
+            rest = pd.concat(later, ignore_index=True)
+            kept += [_packed(rest.iloc[s : s + PIECE_ROWS]) for s in range(0, len(rest), PIECE_ROWS)]
+        if kept:
+            self.held.put(kept)
+            self._wait_for(min(p[0] for p in kept))
         else:
             self.held.clear()
-        yield from self._advanced(pdf[due].sort_values(self.order, kind="mergesort"))
+        rows = _in_order(due, self.order)
+        del due, later
+        yield from self._advanced(rows.iloc[s : s + RELEASE_ROWS] for s in range(0, len(rows), RELEASE_ROWS))
 
     def _wait_for(self, time) -> None:
         # The first millisecond at which all of the row's microseconds have passed.
         self.handle.registerTimer(int(-(-int(time) // 1_000)))
 
-    def _advanced(self, pdf):
+    def _advanced(self, parts):
         import pandas as pd
 
         before = self.state.get() if self.state.exists() else None
-        out, after = self.advance(pdf, before)
-        self.state.update(after)
-        if len(out):
-            yield pd.DataFrame(out)[self.out]
+        for pdf in parts:
+            out, before = self.advance(pdf, before)
+            if len(out):
+                yield pd.DataFrame(out)[self.out]
+        self.state.update(before)
 
     def advance(self, pdf, before):
         raise NotImplementedError
@@ -103,7 +139,7 @@ def _process(stream: DataFrame, keys, processor, fields: list[T.StructField], ti
     use_rocksdb(stream.sparkSession)
     if time is not None:
         stream = stream.withColumn(WAITS, F.unix_micros(time))
-        processor.waiting = T.StructType([f for f in stream.schema if f.name != time])
+        processor.waiting = [c for c in stream.columns if c != time]
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="None" if time is None else "EventTime"
     )
