@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.asof import asof
 from tapeloom.operators.matching import latest_per_key
-from tapeloom.operators.ordered import over_rows
+from tapeloom.operators.ordered import OWN, POS, lay_out
+from tapeloom.session import parts_for, pin
+
 
 def point_in_time(left, right, by, left_time, right_time, left_id, right_id, features, ttl):
     """Left rows with the newest feature values not older than ``ttl``, null otherwise."""
@@ -35,23 +37,27 @@ def sentiment_by_symbol(left: DataFrame, scores: DataFrame) -> DataFrame:
 def news_sequence(left, news, left_time, news_time, left_id, news_id, vector, window, dim, horizon):
     """Per row the last ``window`` news vectors within ``horizon``, zero-padded on the left.
 
-    Each news row first collects itself and its predecessors, so that one as-of lookup
-    brings the whole sequence and no pairs of rows and news are formed.
+    Each news row first collects itself and its predecessors, so that one lookup brings the whole
+    sequence and no pairs of rows and news are formed.  The ordered pass over both sides carries only
+    the place of a news row; sequences are joined to the rows that have one within ``horizon``.
     """
-
-    def build(df, lay):
-        item = F.struct(F.col(news_time).alias("t"), F.col(vector).cast("array<double>").alias("v"))
-        return df.withColumn("recent", F.collect_list(item).over(lay.rows(1 - window, 0)))
-
-    packed = over_rows(news, ["symbol"], [news_time, news_id], build, before=window)
-    hit = asof(left, packed.select("symbol", news_time, news_id, "recent"), ["symbol"], left_time, news_time, left_id, news_id)
+    lay = lay_out(news, ["symbol"], [news_time, news_id], before=window)
+    item = F.struct(F.col(news_time).alias("t"), F.col(vector).alias("v"))
+    packed = lay.df.withColumn("recent", F.collect_list(item).over(lay.rows(1 - window, 0))).filter(F.col(OWN))
+    packed = pin(packed.select("symbol", F.col(news_time).alias("_nt"), F.col(POS).alias("_news"), "recent"))
+    hit = asof(left, packed.drop("recent"), ["symbol"], left_time, "_nt", left_id, "_news")
+    near = F.col("match._nt") >= F.col(left_time) - horizon if horizon > 0 else F.col("match").isNotNull()
+    # Rows without news get places that no news has, all over, so that they don't meet in one task.
+    none = -1 - F.pmod(F.xxhash64(left_id), F.lit(1 << 30))
+    hit = hit.withColumn("_news", F.when(near, F.col("match._news")).otherwise(none)).drop("match")
+    hit = hit.join(packed.select("_news", "recent"), "_news", "left").drop("_news")
     zero = F.array_repeat(F.lit(0.0), dim)
-    recent = F.coalesce(F.col("match.recent"), F.array().cast("array<struct<t:bigint,v:array<double>>>"))
-    kept = F.filter(recent, lambda x: x["t"] >= F.col(left_time) - horizon) if horizon > 0 else recent
-    vectors = F.transform(kept, lambda x: x["v"])
-    return hit.withColumn("news_count", F.size(vectors)).withColumn(
-        "news_sequence", F.concat(F.array_repeat(zero, F.lit(window) - F.size(vectors)), vectors)
-    ).drop("match")
+    recent = F.filter("recent", lambda x: x["t"] >= F.col(left_time) - horizon) if horizon > 0 else F.col("recent")
+    vectors = F.transform(recent, lambda x: x["v"].cast("array<double>"))
+    vectors = F.coalesce(vectors, F.array().cast("array<array<double>>"))
+    return hit.withColumn("_vectors", vectors).withColumn("news_count", F.size("_vectors")).withColumn(
+        "news_sequence", F.concat(F.array_repeat(zero, F.lit(window) - F.size("_vectors")), "_vectors")
+    ).drop("recent", "_vectors")
 
 
 def calendar_steps(calendar: DataFrame, window: int) -> DataFrame:
@@ -130,18 +136,28 @@ def entity_paths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Articles reached from each symbol through its entities and their sector peers.
 
     Paths are counted with multiplicity.  Counts and sentiment sums are aggregated at each
-    hop, so that the number of rows stays bounded by the number of edges.
+    hop, so that the number of rows stays bounded by the number of edges.  Edges are made distinct without
+    direction and typed once, in parts of about PART_ROWS rows.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    ends = pin(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(low.alias("a"), high.alias("b")))
+    parts = parts_for(ends)
+    pairs = ends.repartition(parts, "a", "b").distinct()
+    way, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(way)).otherwise(F.array(way, back))
+    both = pairs.select(F.explode(ways).alias("e")).select("e.*")
     kind = vertices.select(F.col("id").alias("dst"), "type", "sentiment")
-    hop = both.join(kind, "dst")
+    hop = pin(both.repartition(parts, "dst").join(kind.repartition(parts, "dst"), "dst").select("src", "dst", "type", "sentiment"))
     company = F.col("type").isin("entity", "company")
     start = vertices.filter(F.col("type") == "symbol").select(F.col("id").alias("symbol"))
     ents = vertices.filter(company).select(F.col("id").alias("ent"))
-    # articles per entity: count and sentiment sum
-    articles = ents.join(hop.filter(F.col("type") == "article"), F.col("ent") == F.col("src")).groupBy("ent").agg(
+    # articles per entity: count and sentiment sum, summed before the join; a vertex may come more than once
+    sums = hop.filter(F.col("type") == "article").groupBy(F.col("src").alias("ent")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("sentiment", F.lit(0.0))).alias("s")
     )
+    articles = ents.groupBy("ent").agg(F.count(F.lit(1)).alias("k")).join(sums, "ent").select(
+        "ent", (F.col("n") * F.col("k")).alias("n"), (F.col("s") * F.col("k")).alias("s")
+    )
     to_sector = ents.join(hop.filter(F.col("type") == "sector"), F.col("ent") == F.col("src")).select(
         "ent", F.col("dst").alias("sector")
     )

@@ -9,6 +9,7 @@ from tapeloom.operators import joins as J
 from tapeloom.operators import matching as M
 from tapeloom.plans import base
 from tapeloom.plans.base import bars, query, table, ticks
+from tapeloom.session import parts_for
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
@@ -195,7 +196,8 @@ def _entity_graph(spark, sf):
     ent = s.select(F.concat(F.lit("ent"), "s_suppkey").alias("id"), F.lit("company").alias("type"), F.lit(None).cast("double").alias("sentiment"))
     band = F.concat(F.lit("sec"), (F.col("s_suppkey") % 7).cast("string"))
     sec = s.select(band.alias("id"), F.lit("sector").alias("type"), F.lit(None).cast("double").alias("sentiment")).distinct()
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
+    li = items.repartition(parts_for(items), "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_discount").alias("d"))
     art = li.groupBy("l_orderkey").agg(F.max("d").alias("sentiment")).select(
         F.concat(F.lit("art"), "l_orderkey").alias("id"), F.lit("article").alias("type"), "sentiment")
     edges = (
