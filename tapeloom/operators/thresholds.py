@@ -19,6 +19,8 @@ from tapeloom.session import pin
 
 # Histories merged in one pass over time blocks, and children of a node of the tree over returns.
 FAN_IN, FAN_OUT = 8, 32
+# Nodes that marks are in, up to which the rows of other nodes are left out of a level by a broadcast.
+MOST_NODES = 65_536
 _FALL = ("total", "high", "low", "fall")
 
 
@@ -130,7 +132,8 @@ def _order_statistics(rows: DataFrame, marks: DataFrame, share: float) -> DataFr
     A tree over the ranks of distinct returns is walked down by all marks together.  On a level each mark is
     in one node; running counts over falling scores tell how many rows each child of the node has by
     then, masked rows counting at zero, and with that the child to go on in.  A level is one ordered pass
-    over rows and marks; the number of levels grows with the logarithm of the number of returns."""
+    over marks and, of the nodes they are in, one row per score and child; the number of levels grows with
+    the logarithm of the number of returns."""
     counts = pin(rows.filter(_c("p").isNotNull()).groupBy((-_c("p")).alias("neg"), _c("r").alias("value")).agg(F.count(F.lit(1)).alias("c")))
     spark = rows.sparkSession
     values = counts.select("value").union(spark.createDataFrame([(0.0,)], "value double")).distinct()
@@ -146,10 +149,15 @@ def _order_statistics(rows: DataFrame, marks: DataFrame, share: float) -> DataFr
         below = FAN_OUT**level
         digit = F.floor(_c("rank") / below) % FAN_OUT
         null = F.lit(None).cast("long")
-        seen = events.select("neg", F.floor(_c("rank") / (below * FAN_OUT)).alias("node"), F.lit(0).alias("ask"), digit.alias("digit"), "c", null.alias("place"), null.alias("idle"), "rank")
-        asked = state.select("neg", "node", F.lit(1).alias("ask"), null.alias("digit"), F.lit(0).cast("long").alias("c"), "place", "idle", null.alias("rank"))
+        seen = events.select("neg", F.floor(_c("rank") / (below * FAN_OUT)).alias("node"), digit.alias("digit"), "c")
+        if level < levels - 1:
+            entered = pin(state.select("node").distinct())
+            if entered.count() <= MOST_NODES:
+                seen = seen.join(F.broadcast(entered), "node", "left_semi")
+        seen = seen.groupBy("neg", "node", "digit").agg(F.sum("c").alias("c")).select("neg", "node", F.lit(0).alias("ask"), "digit", "c", null.alias("place"), null.alias("idle"))
+        asked = state.select("neg", "node", F.lit(1).alias("ask"), null.alias("digit"), F.lit(0).cast("long").alias("c"), "place", "idle")
         run = running_sums(
-            seen.union(asked), ["node"], ["neg", "ask", "rank"], {f: F.when(_c("digit") == d, _c("c")).otherwise(0) for d, f in enumerate(fields)}
+            seen.union(asked), ["node"], ["neg", "ask", "digit"], {f: F.when(_c("digit") == d, _c("c")).otherwise(0) for d, f in enumerate(fields)}
         ).where("ask = 1")
         here, at = zero // (below * FAN_OUT), zero // below % FAN_OUT
         idle = F.when(_c("node") == here, _c("idle")).otherwise(0)
