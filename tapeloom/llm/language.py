@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tapeloom.operators.ordered import value_ranks
 from tapeloom.session import pin
 
 ORDER = 4
@@ -20,8 +21,8 @@ SPACE = 32
 PASS_CHARS, GATHER = 1 << 19, 1 << 20
 # Slots of the hash array of one order and language: bounds a model to 2**SLOT_BITS * 8 bytes for each.
 SLOT_BITS = 21
-# Training texts that calibrate the rejection, and the share of them to accept.
-CALIBRATION_ROWS, ACCEPT = 4_000, 0.995
+# The share of training texts that the rejection accepts.
+ACCEPT = 0.995
 # How fast a language's share falls with its entropy per symbol.
 SHARPNESS = 20.0
 UNKNOWN = "und"
@@ -241,6 +242,13 @@ class LanguageModels:
             return -totals / np.where(lengths > 0, lengths, np.nan)[:, None]
 
 
+def upper_limits(told: DataFrame, share: float = ACCEPT) -> DataFrame:
+    """``lang, limit``: the lowest entropy that at least ``share`` of a language's rows do not exceed."""
+    ranks = value_ranks(told, ["lang"], "entropy")
+    totals = ranks.groupBy("lang").agg(F.max("upto").alias("rows"))  # one row per language
+    return ranks.join(F.broadcast(totals), "lang").where(F.col("upto") >= F.ceil(F.col("rows") * share)).groupBy("lang").agg(F.min("value").alias("limit"))
+
+
 class LanguageIdentifier:
     """Models and the entropy above which each language is rejected, as measured on training texts."""
 
@@ -248,10 +256,10 @@ class LanguageIdentifier:
         self.models, self.limits = models, limits
 
     @classmethod
-    def fit(cls, docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> LanguageIdentifier:
+    def fit(cls, docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageIdentifier:
         """Learn from all rows with a language.  Spark counts and weighs the grams; what reaches the driver,
         and the executors from there, is at most one number pair per slot, gram size and language.  The
-        limits are quantiles over about CALIBRATION_ROWS texts, chosen by a hash of the key."""
+        limits are exact quantiles over all texts that the models tell right."""
         known = docs.where(F.col(lang).isNotNull())
         counts = pin(gram_counts(docs, lang, text))
         languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
@@ -259,12 +267,12 @@ class LanguageIdentifier:
         rows = folded(kneser_ney(counts)).select(place.cast("short").alias("place"), "size", "slot", "log_p", "log_back")
         models = LanguageModels(languages, rows.toArrow())
         learned = cls(models, {})
-        if not languages or not (n := known.count()):
+        if not languages:
             return learned
-        chosen = F.pmod(F.xxhash64(key), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, CALIBRATION_ROWS / n))
-        own = known.where(chosen).withColumn("_told", learned.predict(F.col(text))).where(F.col("_told.best") == F.col(lang))
-        cut = own.groupBy(F.col(lang).alias("lang")).agg(F.percentile_approx("_told.entropy", ACCEPT, 10_000).alias("limit"))
-        return cls(models, {r["lang"]: r["limit"] for r in cut.toLocalIterator()})
+        own = known.withColumn("_told", learned.predict(F.col(text))).where(F.col("_told.best") == F.col(lang))
+        # One row per language.
+        cut = upper_limits(own.select(F.col(lang).alias("lang"), F.col("_told.entropy").alias("entropy")))
+        return cls(models, {r["lang"]: r["limit"] for r in cut.collect()})
 
     def predict(self, text: Column) -> Column:
         """Struct of ``best`` (null without a letter), its ``entropy`` and ``score``."""
