@@ -101,3 +101,69 @@ def test_alarms_and_calibration(spark):
     cal = P.running_calibration(arriving(df.withColumn("y", (F.col("v") > 1).cast("int")), "t"), ["t"], "v", "y", 50).orderBy("batch_no").collect()
     assert [r["n"] for r in cal][-1] == 50
     assert cal[-1]["conformal_lower"] == pytest.approx(np.quantile(v[-50:], 0.05))
+
+
+def test_waiting_rows_are_held_in_pieces_and_released_in_stretches(monkeypatch):
+    import pandas as pd
+
+    class Held:
+        items = []
+
+        def exists(self):
+            return bool(self.items)
+
+        def appendList(self, more):
+            self.items = [*self.items, *more]
+
+        def put(self, all_):
+            self.items = list(all_)
+
+        def clear(self):
+            self.items = []
+
+        def get(self):
+            return iter(self.items)
+
+    class Value(Held):
+        def update(self, value):
+            self.items = value
+
+        def get(self):
+            return self.items
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):
+            return Value()
+
+        def getListState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    monkeypatch.setattr(ST, "RELEASE_ROWS", 50)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=300) + np.repeat([0.0, 4.0], 150)
+    rows = pd.DataFrame({"key": "k", "t": np.arange(300), "v": v, ST.WAITS: np.arange(300) * 1000})
+    taken = []
+    p = ST._Detector(["key"], ["t"], "v", "cusum", {"threshold": 6.0})
+    p.waiting = list(rows.columns)
+    advance = p.advance
+    p.advance = lambda pdf, before: (taken.append(len(pdf)), advance(pdf, before))[1]
+    p.init(Handle())
+    assert not list(p.handleInputRows(("k",), iter([rows.sample(frac=1, random_state=1)[:200], rows.sample(frac=1, random_state=1)[200:]]), Now(-1)))
+    assert len(p.held.items) == 2  # a piece for each batch, not an item for each row
+    got = [t for at in (199, 199, 10_000) for out in p.handleExpiredTimer(("k",), Now(at), None) for t in out["t"]]
+    from tapeloom.operators.drift import START, alarm_places
+
+    assert got == alarm_places(v, START, "cusum", threshold=6.0)[0] and got
+    assert taken == [50] * 6 and not p.held.exists()
