@@ -177,3 +177,12 @@ def test_pipeline_runs_as_registered(spark, folder):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"](spark, folder).count() > 0
+
+
+def test_language_limits_are_quantiles_over_all_texts(spark):
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} {chr(97 + i * 7 % 26)}ne more {i % 13 * 'x'}", "en") for i in range(9_000)], "doc_id long, text string, lang string").repartition(4)
+    model = language.LanguageIdentifier.fit(docs)
+    entropies = np.sort([r["e"] for r in docs.select(model.predict(F.col("text")).getField("entropy").alias("e")).collect()])
+    assert model.limits == {"en": entropies[int(np.ceil(9_000 * language.ACCEPT)) - 1]}
+    told = spark.createDataFrame([("a", float(i)) for i in range(10_000)], "lang string, entropy double")
+    assert [tuple(r) for r in language.upper_limits(told, 0.9999).collect()] == [("a", 9_998.0)]
