@@ -76,6 +76,42 @@ def test_hard_negatives_of_few_rows(spark):
     assert mined(spark, [(5, [1.0], 1, 1, "", ""), (6, [1.0], 1, 1, "", ""), (8, [0.9], 2, 1, "", "")]) == [(5, 6, 1, 8, 65536, 58880)]
 
 
+def test_trees_and_blocks_meet_without_a_table_of_pairs(spark, monkeypatch):
+    """A joined table of trees and blocks grows with the square of the input and was broadcast."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist(), int(rng.integers(3)), 1, "", "") for i in range(160)]
+    plans, pin = [], negatives.pin
+    monkeypatch.setattr(negatives, "pin", lambda df: (plans.append((df.columns, df._jdf.queryExecution().toString())), pin(df))[1])
+    assert mined(spark, rows, tree_rows=8, block_rows=4) == brute_negatives(rows) != []
+    assert [("Join" in plan) for columns, plan in plans if "rank" in columns] == [False]
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_anchors_search_trees_together(monkeypatch, same, spread):
+    monkeypatch.setattr(negatives, "LEAF_ROWS", 16)
+    monkeypatch.setattr(negatives, "CHILD_ROWS", 2)
+    monkeypatch.setattr(negatives, "GROUP", 7)
+    monkeypatch.setattr(negatives, "PIECE", 20)
+    rng = np.random.default_rng(5)
+    rows = np.floor(256 * (rng.normal(size=(8, 6))[rng.integers(8, size=500)] + spread * rng.normal(size=(500, 6))))
+    rows[:, 3][rng.random(500) < 0.5] = 0
+    rows[40:90] = rows[3]
+    ids, labels, k = rng.integers(400, size=500), rng.integers(3, size=500), 4
+    at = np.arange(0, 500, 11)
+    low, high = rng.integers(-100_000, 100_000, size=(2, len(at), 2))
+    asks = negatives.Asks(at, ids[at], labels[at], rows[at], low, high, k)
+    for part in (slice(0, 300), slice(300, 500)):
+        negatives.CoverTree(ids[part], labels[part], rows[part]).search(asks, same)
+    want = []
+    for n, i in enumerate(at):
+        scores = rows @ rows[i]
+        for w in range(2):
+            fit = (scores >= low[n, w]) & (scores <= high[n, w]) & ((labels == labels[i]) & (ids != ids[i]) if same else labels != labels[i])
+            want += [(i, w, m, -s) for s, m in sorted(zip(-scores[fit], ids[fit]))[:k]]
+    assert sorted(map(tuple, asks.rows_found().to_numpy().tolist())) == sorted(want) != []
+
+
 def test_cover_tree_bounds_hold(monkeypatch):
     rng = np.random.default_rng(2)
     rows = np.floor(rng.normal(size=(700, 6)) * rng.choice([10, 300], size=(700, 1)))
